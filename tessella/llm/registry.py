@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, languagemodel, licenses, mixing, packing, pii, quality, simhash, urls
+from . import fingerprint, languagemodel, licenses, mixing, packing, pii, quality, simhash, suffixes, urls
 
 QUERIES = {
     "op1_hilbert_packing": packing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_license_scan": licenses.op3,
     "op4_url_filter": urls.op4,
     "op5_source_mix": mixing.op5,
+    "op6_suffix_merge": suffixes.op6,
     "op7_weighted_fingerprint": fingerprint.op7,
     "op8_golay_simhash": simhash.op8,
     "op9_surrogate_pii": pii.op9,
