@@ -321,20 +321,23 @@ def score_documents(docs: DataFrame) -> DataFrame:
         words, blob = sent.value
         network = words.network().loads(blob)
         for batch in batches:
-            found, rest, local = [], [], []
+            found, rest, times, ends, local = [], [], [], [0], []
             for text in _texts(batch):
                 ids, own = words.ids(text)
-                beyond = np.flatnonzero(ids < 0)
-                rest.append(list(Counter(own[i] for i in beyond).items()))
+                beyond = Counter(own[i] for i in np.flatnonzero(ids < 0))
+                rest += beyond.keys()
+                times += beyond.values()
+                ends.append(len(rest))
                 seen = ids[ids >= 0]
                 rare = seen[seen >= WORDS]
                 base = words.log_base[seen].sum() if len(seen) else 0.0
                 extra = words.log_base[rare].sum() - len(rare) * words.log_rare if len(rare) else 0.0
                 local.append((len(ids), len(seen), float(base), float(extra)))
-                found.append(np.where(ids < 0, RARE, np.minimum(ids, RARE)))
+                found.append(np.where(ids < 0, RARE, np.minimum(ids, RARE)).astype(np.int16))
+            pairs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int64())], ["w", "n"]))
+            del rest, times
             scores = network.score(found)
             n, known, base, extra = map(np.array, zip(*local, strict=True)) if local else ([],) * 4
-            pairs = pa.array([[{"w": w, "n": k} for w, k in r] for r in rest], pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores + extra, pa.float64()), pairs], ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "part", "rest"])
 
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, part double, rest array<struct<w:binary,n:long>>"
