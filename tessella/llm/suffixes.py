@@ -10,14 +10,15 @@ Sorting every suffix would exchange many times the input, so the work is in two
    all but those of its smallest doc_id are covered. Where one anchor has several
    classes, their windows may still be equal in part: those of the smallest doc_id of each
    class go to round 2. Everything else is unique.
-2. *Suffixes.* The suffixes at these windows, cut at 50 bytes, are sorted per task into
-   runs, front-coded and exchanged by prefix. Each receiver combines its runs with a
-   loser tree that keeps the length of the prefix known to be shared and compares only
-   what follows. Equal suffixes come out side by side; all but the smallest doc_id's are
-   covered.
+2. *Suffixes.* The suffixes at these segments' anchors, as far as the segment goes, are
+   sorted per task into runs, front-coded and exchanged by prefix, with the bytes before
+   the anchor. Each receiver combines its runs with a loser tree that keeps the length of
+   the prefix known to be shared and compares only what follows. The shared lengths tell
+   which suffixes agree as far as a window reaches; with equal bytes before the anchor
+   the windows are equal, and all but the smallest doc_id's are covered.
 
-Runs hold each distinct segment or suffix once with its smallest doc_id, so a passage in
-a third of all documents is exchanged once a task.
+Runs hold each distinct segment once with its smallest doc_id, so a passage in a third of
+all documents is exchanged once a task.
 
 Defined cases: a null or empty text, and one under 50 bytes, loses nothing and has no
 partner; equal strings in one document, or in rows with one doc_id, do not count; a null
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,8 +138,11 @@ class Batch:
         return gram, whole
 
 
-_SEGMENT = np.dtype([("g", "u1", 6), ("s", "u1", 6), ("row", "<u4"), ("first", "<u4"), ("more", "u1")])
-_PLACE = np.dtype([("first", "<u4"), ("more", "u1")])
+#: g only groups segments within a bucket (a clash costs a comparison in round 2); s, with g and the bucket, names a segment.
+_SEGMENT = np.dtype([("g", "<u4"), ("s", "u1", 6), ("row", "<u2"), ("first", "<u4"), ("more", "u1"), ("anchor", "u1")])
+#: Documents handled as one run; a row number fits 16 bits.
+MAX_ROWS = 4_000
+_PLACE = np.dtype([("first", "<u4"), ("more", "u1"), ("anchor", "u1")])
 COVERED, UNSURE, RUN = 0, 1, 2
 OUT = "kind int, bucket int, d long, th int, blob binary, docs binary"
 _OUT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("d", pa.int64()), ("th", pa.int32()), ("blob", pa.binary()), ("docs", pa.binary())])
@@ -147,18 +152,18 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, _OUT, strict=True)], schema=_OUT)
 
 
-def _by_doc(kind: int, key: np.ndarray, docs: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> list[tuple]:
-    """A row for each document: its places; ``key`` numbers the documents."""
+def _by_doc(kind: int, key: np.ndarray, docs: np.ndarray, hashes: np.ndarray, places: np.ndarray, parts: int = 1) -> list[tuple]:
+    """A row for each document: its places; ``key`` numbers the documents, ``parts`` buckets take the rows."""
     order = np.argsort(key, kind="stable")
     key, places = key[order], places[order]
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
     ends = [*cut[1:], len(key)] if len(key) else []
-    return [(kind, 0, int(docs[key[a]]), int(hashes[key[a]]), places[a:b].tobytes(), None) for a, b in zip(cut, ends, strict=True)]
+    return [(kind, a % parts, int(docs[key[a]]), int(hashes[key[a]]), places[a:b].tobytes(), None) for a, b in zip(cut, ends, strict=True)]
 
 
-def _places(first: np.ndarray, more: np.ndarray) -> np.ndarray:
+def _places(first: np.ndarray, more: np.ndarray | int, anchor: np.ndarray | int = 0) -> np.ndarray:
     out = np.empty(len(first), _PLACE)
-    out["first"], out["more"] = first, more
+    out["first"], out["more"], out["anchor"] = first, more, anchor
     return out
 
 
@@ -174,23 +179,24 @@ def _as_int(x: np.ndarray) -> np.ndarray:
 
 def _segment_runs(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw in batches:
+        for raw in (b.slice(i, MAX_ROWS) for b in batches for i in range(0, b.num_rows, MAX_ROWS)):
             batch = Batch(raw)
             row, first, more, anchor = batch.segments()
             gram, whole = batch.hashes(first, more, anchor)
-            del anchor
+            anchor = (anchor - first).astype(np.uint8)
             doc = batch.doc[row]
             order = np.lexsort((doc, whole, gram))
-            gram, whole, doc, row, first, more = (x[order] for x in (gram, whole, doc, row, first, more))
+            gram, whole, doc, row, first, more, anchor = (x[order] for x in (gram, whole, doc, row, first, more, anchor))
             first = first - batch.starts[row]
             new = np.r_[True, (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])] if len(gram) else np.empty(0, bool)
             least = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] if len(new) else doc
             covered = doc > least
-            rows = _by_doc(COVERED, row[covered], batch.doc, batch.hash, _places(first[covered], more[covered]))
+            rows = _by_doc(COVERED, row[covered], batch.doc, batch.hash, _places(first[covered], more[covered]), parts)
             keep = ~covered
             packed = np.empty(int(keep.sum()), _SEGMENT)
-            packed["g"], packed["s"], packed["row"], packed["first"], packed["more"] = _top48(gram[keep]), _top48(whole[keep]), row[keep], first[keep], more[keep]
-            bucket = (gram[keep] >> np.uint64(8)) % np.uint64(parts)
+            packed["g"], packed["s"], packed["row"] = gram[keep] >> np.uint64(32), _top48(whole[keep]), row[keep]
+            packed["first"], packed["more"], packed["anchor"] = first[keep], more[keep], anchor[keep]
+            bucket = (gram[keep] & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(parts + 1))
             for b in range(parts):
@@ -205,18 +211,22 @@ def _segment_runs(parts: int):
     return run
 
 
-def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[bytes, bytes]]]]:
-    """The runs of each bucket, from rows sorted by bucket."""
+def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, list[tuple[bytes, bytes]]]]:
+    """From rows sorted by bucket: the runs of each bucket, or rows that are settled and pass on."""
     bucket, runs = None, []
     for batch in batches:
+        kinds = batch.column("kind").to_numpy()
+        if (kinds != RUN).any():
+            yield batch.filter(pa.array(kinds != RUN)), []
+        batch = batch.filter(pa.array(kinds == RUN))
         for b, blob, docs in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), batch.column("docs").to_pylist(), strict=True):
             if b != bucket:
                 if runs:
-                    yield bucket, runs
+                    yield None, runs
                 bucket, runs = b, []
             runs.append((blob, docs))
     if runs:
-        yield bucket, runs
+        yield None, runs
 
 
 def _doc_tables(runs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,15 +237,18 @@ def _doc_tables(runs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray
 
 
 def _match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, runs in _bucket_groups(batches):
+    for settled, runs in _bucket_groups(batches):
+        if settled is not None:
+            yield settled
+            continue
         docs, hashes, begin = _doc_tables(runs)
         items = [np.frombuffer(b, _SEGMENT) for b, _ in runs]
         key = np.concatenate([x["row"].astype(np.int64) + at for x, at in zip(items, begin, strict=False)])
         item = np.concatenate(items)
-        gram, whole, doc = _as_int(item["g"]), _as_int(item["s"]), docs[key]
+        gram, whole, doc = item["g"], _as_int(item["s"]), docs[key]
         order = np.lexsort((doc, whole, gram))
         gram, whole, doc, key = gram[order], whole[order], doc[order], key[order]
-        place = _places(item["first"][order], item["more"][order])
+        place = _places(item["first"][order], item["more"][order], item["anchor"][order])
         group = np.r_[True, gram[1:] != gram[:-1]]
         new = group | np.r_[True, whole[1:] != whole[:-1]]
         at = np.arange(len(new))
@@ -329,74 +342,95 @@ def merge_runs(runs: list[list[bytes]], shared: list[bytes]) -> Iterator[tuple[i
             node >>= 1
 
 
-_SUFFIX = np.dtype([("row", "<u4"), ("first", "<u4")])
+#: What goes with a suffix: its document, its segment's first window and further windows, and the bytes before it, nearest first.
+_SUFFIX = np.dtype([("row", "<u2"), ("first", "<u4"), ("more", "u1"), ("anchor", "u1"), ("before", "u1", REACH - 1)])
 
 
 def _suffix_runs(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw in batches:
+        for raw in (b.slice(i, MAX_ROWS) for b in batches for i in range(0, b.num_rows, MAX_ROWS)):
             batch = Batch(raw)
-            rows, firsts = [], []
-            for i, blobs in enumerate(raw.column("places").to_pylist()):
-                place = np.frombuffer(b"".join(blobs), _PLACE)
-                more = place["more"].astype(np.int64)
-                start = np.repeat(place["first"].astype(np.int64), more + 1)
-                step = np.arange(len(start)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-                firsts.append(start + step)
-                rows.append(np.full(len(start), i))
-            row, first = np.concatenate(rows), np.concatenate(firsts)
-            suffix = sliding_window_view(batch.buffer, LENGTH)[batch.starts[row] + first]
-            doc = batch.doc[row]
-            order = np.lexsort((doc, suffix.view(f"S{LENGTH}").ravel()))
-            suffix, row, first, doc = suffix[order], row[order], first[order], doc[order]
-            new = np.r_[True, (suffix[1:] != suffix[:-1]).any(axis=1)] if len(suffix) else np.empty(0, bool)
-            least = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] if len(new) else doc
-            covered = doc > least
-            out = _by_doc(COVERED, row[covered], batch.doc, batch.hash, _places(first[covered], np.zeros(int(covered.sum()))))
-            keep = ~covered
-            suffix, row, first = suffix[keep], row[keep], first[keep]
+            found = [np.frombuffer(b"".join(blobs), _PLACE) for blobs in raw.column("places").to_pylist()]
+            place = np.concatenate(found) if found else np.empty(0, _PLACE)
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            start = batch.starts[row] + place["first"]
+            at, more = place["anchor"].astype(np.int64), place["more"].astype(np.int64)
+            # the suffix at the anchor as far as the segment goes, and what stands before it, backwards
+            suffix = sliding_window_view(batch.buffer, LENGTH)[start + at] * (np.arange(LENGTH) < (more + LENGTH - at)[:, None])
+            step = np.arange(1, REACH)
+            before = batch.buffer[np.maximum((start + at)[:, None] - step, 0)] * (step <= at[:, None])
+            order = np.argsort(suffix.astype(np.uint8).view(f"S{LENGTH}").ravel(), kind="stable")
+            suffix = suffix[order].astype(np.uint8)
+            about = np.empty(len(order), _SUFFIX)
+            about["row"], about["before"] = row[order], before[order]
+            for name in ("first", "more", "anchor"):
+                about[name] = place[name][order]
             bucket = _mixed(np.ascontiguousarray(suffix[:, :8]).view(np.uint64).ravel()) % np.uint64(parts)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(parts + 1))
+            out = []
             for b in range(parts):
                 own = order[ends[b] : ends[b + 1]]
                 if len(own):
-                    used, index = np.unique(row[own], return_inverse=True)
-                    about = np.empty(len(own), _SUFFIX)
-                    about["row"], about["first"] = index, first[own]
+                    mine = about[own]
+                    used, mine["row"] = np.unique(mine["row"], return_inverse=True)
                     shared, rest = front_code(suffix[own])
-                    out.append((RUN, b, None, None, len(own).to_bytes(4, "little") + shared + about.tobytes() + rest, batch.doc[used].tobytes() + batch.hash[used].tobytes()))
+                    out.append((RUN, b, None, None, len(own).to_bytes(4, "little") + shared + mine.tobytes() + rest, batch.doc[used].tobytes() + batch.hash[used].tobytes()))
             for i in range(0, len(out), 2000):
                 yield _emit(out[i : i + 2000])
 
     return run
 
 
+def _covered_windows(known: np.ndarray, about: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index, window start) of covered windows among suffixes in merged order.
+
+    A window that begins ``o`` bytes before the anchor equals another if the suffixes
+    share ``LENGTH - o`` bytes, which the merge has told for neighbours and so for all
+    between, and the ``o`` bytes before them are equal.
+    """
+    high = about["anchor"].astype(np.int64)
+    low = high - about["more"]
+    before = np.zeros(len(about), np.uint64)
+    for o in range(REACH):
+        if o:
+            before = _mixed(before * np.uint64(0x100000001B3) + about["before"][:, o - 1] + np.uint64(o))
+        has = np.flatnonzero((low <= o) & (o <= high))
+        if not len(has):
+            continue
+        shared = np.cumsum(known < LENGTH - o)[has]
+        order = np.lexsort((doc[has], before[has], shared))
+        has, shared = has[order], shared[order]
+        new = np.r_[True, (shared[1:] != shared[:-1]) | (before[has][1:] != before[has][:-1])]
+        least = doc[has][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        covered = has[doc[has] > least]
+        yield covered, about["first"][covered] + (high[covered] - o)
+
+
 def _merge_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, runs in _bucket_groups(batches):
+    for settled, runs in _bucket_groups(batches):
+        if settled is not None:
+            yield settled
+            continue
         docs, hashes, begin = _doc_tables(runs)
-        strings, shared, about = [], [], []
+        strings, shared, about, keys = [], [], [], []
         for (blob, _), at in zip(runs, begin, strict=False):
             n = int.from_bytes(blob[:4], "little")
             shared.append(blob[4 : 4 + n])
-            item = np.frombuffer(blob, _SUFFIX, n, 4 + n)
-            about.append((item["row"].astype(np.int64) + at, item["first"]))
+            about.append(np.frombuffer(blob, _SUFFIX, n, 4 + n))
+            keys.append(about[-1]["row"].astype(np.int64) + at)
             strings.append(read_front_coded(shared[-1], blob[4 + n + n * _SUFFIX.itemsize :]))
         n = sum(map(len, strings))
         offset = np.cumsum([0, *map(len, strings)]).tolist()
-        order, new = np.empty(n, np.int64), np.empty(n, bool)
-        for i, (run, index, known) in enumerate(merge_runs(strings, shared)):
-            order[i] = offset[run] + index
-            new[i] = known < LENGTH
-        new[:1] = True
+        order, known = np.empty(n, np.int64), np.empty(n, np.int64)
+        for i, (run, index, same) in enumerate(merge_runs(strings, shared)):
+            order[i], known[i] = offset[run] + index, same
+        known[:1] = 0
         del strings
-        key = np.concatenate([a for a, _ in about])[order]
-        first = np.concatenate([b for _, b in about])[order]
-        doc = docs[key]
-        start = np.flatnonzero(new)
-        least = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.r_[start, n]))
-        covered = doc > least
-        rows = _by_doc(COVERED, key[covered], docs, hashes, _places(first[covered], np.zeros(int(covered.sum()))))
+        key, item = np.concatenate(keys)[order], np.concatenate(about)[order]
+        found = list(_covered_windows(known, item, docs[key]))
+        index, first = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+        rows = _by_doc(COVERED, key[index], docs, hashes, _places(first, 0))
         for i in range(0, len(rows), 5000):
             yield _emit(rows[i : i + 5000])
 
@@ -435,9 +469,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of rounds that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of rounds that are over: its cleaner follows garbage collection."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def covered_places(docs: DataFrame) -> DataFrame:
@@ -447,18 +483,16 @@ def covered_places(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("d"), F.hash("text").alias("th"), "text")
 
     def exchanged(found: DataFrame, match) -> DataFrame:
-        runs = found.filter(F.col("kind") == RUN)
-        return runs.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(match, OUT)
+        return found.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(match, OUT)
 
-    segments = materialize(rows.mapInArrow(_segment_runs(parts), OUT), "segments")
-    matched = materialize(exchanged(segments, _match_segments), "matched")
+    matched = materialize(exchanged(rows.mapInArrow(_segment_runs(parts), OUT), _match_segments), "matched")
     _release(spark)
     unsure = matched.filter(F.col("kind") == UNSURE).groupBy("d", "th").agg(F.collect_list("blob").alias("places"))
-    suffixes = materialize(rows.join(unsure, ["d", "th"]).select("d", "th", "text", "places").mapInArrow(_suffix_runs(parts), OUT), "suffixes")
+    suffixes = rows.join(unsure, ["d", "th"]).select("d", "th", "text", "places").mapInArrow(_suffix_runs(parts), OUT)
     merged = materialize(exchanged(suffixes, _merge_suffixes), "merged")
     _release(spark)
-    found = [t.filter(F.col("kind") == COVERED).select("d", "th", "blob") for t in (segments, matched, suffixes, merged)]
-    return found[0].union(found[1]).union(found[2]).union(found[3]).groupBy("d", "th").agg(F.collect_list("blob").alias("places"))
+    found = matched.filter(F.col("kind") == COVERED).select("d", "th", "blob").union(merged.select("d", "th", "blob"))
+    return found.groupBy("d", "th").agg(F.collect_list("blob").alias("places"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
