@@ -313,7 +313,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     train = rows.filter(~F.col("held_out"))
     counts = materialize(word_counts(train), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(LOOKUP).collect()]
+    # written first, so that the driver gets LOOKUP rows and not as many from each partition
+    top = sorted(((bytes(r["word"]), r["c"]) for r in materialize(counts.orderBy(F.desc("c"), "word").limit(LOOKUP), "top").collect()), key=lambda x: (-x[1], x[0]))
     vocabulary = Vocabulary(top, total, distinct)
     sent = spark.sparkContext.broadcast((vocabulary, fit(train, vocabulary)))
 
