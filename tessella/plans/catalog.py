@@ -1,17 +1,165 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the graph engine and their SQL."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..operators.relational import OPERATORS
+from ..sources.tables import INPUTS, UNIT_DUCK, UNIT_SPARK
+from .dialect import TABLES, duck_sql, run_sql
+
+
+def _names(sql: str) -> list[str]:
+    return re.findall(r"\{(\w+)\}", sql)
+
+
+def inputs(spark: SparkSession, sf_dir: str, sql: str) -> dict[str, DataFrame]:
+    """The inputs that ``sql`` names, built from the driver's tables."""
+    out: dict[str, DataFrame] = {}
+
+    def need(name: str) -> None:
+        if name in out:
+            return
+        if name in TABLES:
+            out[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            return
+        text = UNIT_SPARK if name == "unit_elements" else INPUTS[name]
+        for x in _names(text):
+            need(x)
+        out[name] = run_sql(spark, text, **out)
+
+    for x in _names(sql):
+        need(x)
+    return out
+
+
+def oracle(sql: str) -> str:
+    """``sql`` with its inputs written out, for DuckDB."""
+    while names := [n for n in _names(sql)]:
+        for n in names:
+            text = n if n in TABLES else UNIT_DUCK if n == "unit_elements" else f"{INPUTS[n]}"
+            sql = sql.replace("{" + n + "}", text if n in TABLES else f"({text})")
+    return duck_sql(sql)
+
+
+def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run_sql(spark, OPERATORS[name], **inputs(spark, sf_dir, OPERATORS[name]))
+
+    return run
+
+
+FLAGSHIP = "select uri, round(sum(w), 6) as degree from (select start_uri as uri, ln(1 + weight) as w from {assertions} where relation in ('AF', 'RO', 'NO') and weight >= 10 union all select end_uri, ln(1 + weight) from {assertions} where relation in ('AF', 'RO', 'NO') and weight >= 10) t group by uri order by degree desc, uri limit 20"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top nodes by log-weighted degree of the filtered assertion graph."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity >= 10")
-    ends = items.select(F.concat(F.lit("/c/en/part_"), "l_partkey").alias("uri"), F.log1p("l_quantity").alias("w")).union(items.select(F.concat(F.lit("/c/en/supp_"), "l_suppkey"), F.log1p("l_quantity")))
-    return ends.groupBy("uri").agg(F.round(F.sum("w"), 6).alias("degree")).orderBy(F.desc("degree"), "uri").limit(20)
+    return run_sql(spark, FLAGSHIP, **inputs(spark, sf_dir, FLAGSHIP))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"flagship_degree_top20": flagship} | {name: _query(name) for name in OPERATORS}
+ORACLES: dict[str, str] = {"flagship_degree_top20": oracle(FLAGSHIP)} | {name: oracle(sql) for name, sql in OPERATORS.items()}
+
+
+def _more() -> None:
+    """Queries whose operators are loops, arrays or streams; SQL where it can express them."""
+    from pyspark.sql import functions as F
+
+    from ..operators import coding, components, iterative, spectral, text, vectors
+    from ..session import materialize
+    from ..sources import assertions
+
+    def of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+        return inputs(spark, sf_dir, "{" + name + "}")[name]
+
+    fragments = oracle("select * from {fragments}")
+    walk = f"with recursive e as (select src, dst from ({fragments}) f union select dst, src from ({fragments}) f), c as (select src as node, src as root from e union select e.dst, c.root from c join e on e.src = c.node)"
+
+    def add(name: str, query, sql: str | None = None) -> None:
+        QUERIES[name] = query
+        if sql:
+            ORACLES[name] = sql
+
+    add("g1_connected_components", lambda s, d: components.components(of(s, d, "fragments")), f"{walk} select node, min(root) as root from c group by node")
+    add("t4_largest_component", lambda s, d: iterative.largest_component(components.components(of(s, d, "fragments"))).select("node", "root"), f"{walk}, l as (select node, min(root) as root from c group by node) select node, root from l where root = (select root from l group by root order by count(*) desc, root limit 1)")
+
+    def hops(s: SparkSession, d: str) -> DataFrame:
+        edges = of(s, d, "fragments")
+        sources = edges.select(F.col("src").alias("node")).distinct().orderBy("node").limit(10)
+        return iterative.bfs_distances(edges, sources)
+
+    add("g9_shortest_paths", hops, f"with recursive e as (select src, dst from ({fragments}) f union select dst, src from ({fragments}) f), s as (select distinct src as node from ({fragments}) f order by node limit 10), c as (select node as source, node, 0 as hops from s union select c.source, e.dst, c.hops + 1 from c join e on e.src = c.node where c.hops < 12) select source, node, min(hops) as hops from c group by source, node")
+
+    def distances(s: SparkSession, d: str) -> DataFrame:
+        return of(s, d, "sparse").groupBy("src", "dst").agg((1 / F.sum("weight")).alias("distance"))
+
+    add("g24_greedy_matching", lambda s, d: iterative.greedy_matching(distances(s, d)))
+    add("g26_agglomeration", lambda s, d: iterative.agglomerate(of(s, d, "sparse").select(F.col("src").alias("node")).union(of(s, d, "sparse").select("dst")), distances(s, d), 0.3))
+    labels = lambda s, d: of(s, d, "mapping").select(F.col("fine").alias("node"), F.col("coarse").alias("label"))
+    add("g30_label_quotient", lambda s, d: iterative.label_quotient(of(s, d, "directed"), labels(s, d)).withColumn("weight", F.round("weight", 6)), oracle("select src, dst, round(sum(weight), 6) as weight from {directed} group by src, dst"))
+    add("g37_hierarchy", lambda s, d: iterative.hierarchy(of(s, d, "sparse").select(F.col("src").alias("node")).union(of(s, d, "sparse").select("dst")).distinct(), of(s, d, "sparse"), 0.4, 3))
+    add("g38_contraction_plan", lambda s, d: iterative.contraction_plan(s, 100000, 0.35, 64, 12), "with recursive p as (select 0::bigint as level, 100000::bigint as nodes union all select level + 1, nodes - cast(floor(nodes * 0.35 + 1e-12) as bigint) from p where level < 12 and nodes - floor(nodes * 0.35 + 1e-12) >= 64) select level, nodes from p")
+    pair = "list_inner_product(a.v::double[], b.v::double[]) / sqrt(list_inner_product(a.v::double[], a.v::double[]) * list_inner_product(b.v::double[], b.v::double[]))"
+    knn_sql = f"select id, rank, nbr, round(distance, 6) as distance from (select a.id, b.id as nbr, round(1 - {pair}, 9) as distance, row_number() over (partition by a.id order by round(1 - {pair}, 9), b.id) as rank from (select vec_id as id, embedding as v from embeddings) a join (select vec_id as id, embedding as v from embeddings) b on a.id <> b.id) t where rank <= "
+    add("j9_cosine_knn", lambda s, d: vectors.cosine_knn(of(s, d, "vectors"), 8).withColumn("distance", F.round("distance", 6)), knn_sql + "8")
+    add("w5_kth_radius", lambda s, d: vectors.cosine_knn(of(s, d, "vectors"), 5).filter("rank = 5").select("id", F.round("distance", 6).alias("radius")), f"select id, distance as radius from ({knn_sql}5) q where rank = 5")
+
+    def replay(s: SparkSession, d: str) -> DataFrame:
+        kept = of(s, d, "vectors").filter("id % 5 <> 0").select("id")
+        return vectors.knn_under_exclusion(vectors.cosine_knn(of(s, d, "vectors"), 64), kept, 3).withColumn("distance", F.round("distance", 6))
+
+    add("w10_knn_under_exclusion", replay)
+    add("m9_wishart_clusters", lambda s, d: vectors.wishart_clusters(materialize(vectors.cosine_knn(of(s, d, "vectors"), 8), "knn"), 8))
+    add("l7_vector_index", lambda s, d: vectors.lsh_buckets(of(s, d, "vectors")))
+    quotient = lambda s, d: run_sql(s, OPERATORS["j5_quotient"], **inputs(s, d, OPERATORS["j5_quotient"]))
+
+    def modes(s: SparkSession, d: str) -> DataFrame:
+        values, _ = spectral.top_eigenpairs(quotient(s, d), 8)
+        return s.createDataFrame([(i, round(float(v), 9)) for i, v in enumerate(values)], "k int, lam double")
+
+    add("g14_top_eigenvalues", modes)
+    add("g20_linear_step", lambda s, d: spectral.spmv(spectral.normalized_adjacency(of(s, d, "both")), of(s, d, "state").select("id", F.array("x").alias("xs"))).select("id", F.round(F.col("xs")[0], 6).alias("y")), oracle("with d as (select src as id, sum(weight) as degree from {both} group by src) select e.src as id, round(sum(e.weight / sqrt(a.degree * b.degree) * s.x), 6) as y from {both} e join d a on a.id = e.src join d b on b.id = e.dst join {state} s on s.id = e.dst group by e.src"))
+    add("m28_edge_codec_round_trip", lambda s, d: coding.round_trip(of(s, d, "records")), "select count(*) as records, true as coded, 0 as differing from events")
+
+    def huffman(s: SparkSession, d: str) -> DataFrame:
+        counts = {r["relation"]: r["n"] for r in of(s, d, "records").groupBy("relation").agg(F.count("*").alias("n")).collect()}
+        lengths = coding.huffman_lengths(counts)
+        codes = coding.canonical_codes(lengths)
+        return s.createDataFrame([(k, counts[k], lengths[k], codes[k]) for k in sorted(counts)], "relation string, n long, bits int, code string")
+
+    add("m19_canonical_huffman", huffman)
+    add("a32_cooccurrence", lambda s, d: text.cooccurrence(of(s, d, "corpus")), text.COOCCURRENCE_SQL)
+    add("j18_concept_contexts", lambda s, d: text.contexts(of(s, d, "corpus"), "license"))
+    add("st1_stream_window_counts", _stream_counts, "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+
+    def lines(s: SparkSession, d: str) -> DataFrame:
+        e = of(s, d, "assertions")
+        weight = F.when(F.col("line") == 7, F.lit('"x"')).when(F.col("line") == 6, F.lit("true")).otherwise(F.col("weight").cast("string"))
+        meta = F.concat(F.lit('{"weight": '), weight, F.lit(', "dataset": "'), F.col("dataset"), F.lit('", "sources": ["/s/a"]}'))
+        fields = [F.concat(F.lit("/a/"), F.col("relation")), F.concat(F.lit("/r/"), F.col("relation")), F.col("start_uri"), F.col("end_uri")]
+        value = F.when(F.col("line") == 5, F.concat_ws("\t", *fields)).otherwise(F.concat_ws("\t", *fields, meta))
+        return e.select(F.monotonically_increasing_id().alias("line_no"), value.alias("value"))
+
+    add("sc2_a36_parse_report", lambda s, d: assertions.report(lines(s, d), language="en", relations={"AF", "RO"}, min_weight=10.0, datasets={"O"}), oracle("select reason, count(*) as n from (select case when line = 5 then 'invalid' when line in (6, 7) then 'invalid_weight' when relation not in ('AF', 'RO') then 'relation' when weight < 10 then 'min_weight' when dataset <> 'O' then 'dataset' else 'accepted' end as reason from {assertions}) t group by reason"))
+    add("pf12_node_tokens", lambda s, d: of(s, d, "assertions").select("start_uri", F.array_join(assertions.node_tokens(F.col("start_uri")), " ").alias("tokens")).distinct(), oracle("select distinct start_uri, 'part' as tokens from {assertions}"))
+
+
+def _stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windowed counts of the events, read as a stream from a folder of files."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from ..session import scratch_dir
+    from ..streaming import incremental
+
+    folder = f"{scratch_dir(spark)}/events-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").repartition(4).write.parquet(folder)
+    stream = incremental.stream_table(spark, folder, 1)
+    return incremental.run_to_end(incremental.windowed_counts(stream)).selectExpr("date_format(w.start, 'yyyy-MM-dd') as day", "event_type", "n", "total")
 
 
-QUERIES = {"flagship_degree_top20": flagship}
-ORACLES: dict[str, str] = {}
+_more()
