@@ -27,6 +27,8 @@ from .common import let, table
 
 KEY = "tessella-surrogates"
 MAX_ATTEMPTS = 50
+#: Documents with an entity of a later attempt up to which these are broadcast; beyond, they are joined by shuffle.
+BROADCAST_DOCS = 50_000
 
 # Titles before a name, Latin and Cyrillic.
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|Sr|господин|госпожа"
@@ -140,7 +142,9 @@ def surrogate(entity: Column, kind: Column, attempt: Column) -> Column:
         body = F.substring(entity, F.length(v["prefix"]) + 1, F.length(entity))
         filled = _fill(body, v["digest"], F.regexp_replace(body, "[\"']$", "").rlike("^[0-9a-f]+$"))
         octets = F.array_join(F.array(*[(_number(v["digest"], F.lit(i)) % 254 + 1).cast("string") for i in range(4)]), ".")
-        domain = F.get(F.array(*[F.lit(f"@example.{x}") for x in ("com", "net", "org")]), _number(v["digest"], F.lit(0)) % 3)
+        # short local parts would soon repeat: a keyed host name keeps addresses apart
+        host = F.concat(F.lit("@m"), F.substring(v["digest"], 97, 8))
+        domain = F.concat(host, F.get(F.array(*[F.lit(f".example.{x}") for x in ("com", "net", "org")]), _number(v["digest"], F.lit(0)) % 3))
         mail = F.concat(F.regexp_replace(filled, "@.*$", ""), domain)
         return F.when(kind == "ip", octets).when(kind == "email", mail).when(kind == "card", _luhn(F.concat(v["prefix"], filled))).otherwise(F.concat(v["prefix"], filled))
 
@@ -199,6 +203,9 @@ def anonymize(docs: DataFrame) -> DataFrame:
         found = docs.select("doc_id", F.explode(F.array_distinct(entities(F.col("text")))).alias("e")).withColumn("kind", type_of(F.col("e")))
         found = found.select("doc_id", "kind", canonical(F.col("e"), F.col("kind")).alias("canon")).distinct()
         of_doc = found.join(later.select("kind", "canon", "attempt"), ["kind", "canon"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("__attempts")).withColumnRenamed("doc_id", "__doc")
+        of_doc = materialize(of_doc, "later-docs")
+        if of_doc.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS:
+            of_doc = F.broadcast(of_doc)
         empty = F.array().cast("array<struct<kind:string,canon:string,attempt:int>>")
         docs = docs.join(of_doc, docs["doc_id"].eqNullSafe(F.col("__doc")), "left").drop("__doc")
         docs = docs.withColumn("text", replaced(F.col("text"), F.coalesce("__attempts", empty))).drop("__attempts")

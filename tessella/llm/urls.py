@@ -116,7 +116,8 @@ def places(host: Column, path: Column) -> Column:
 
 def fit(spark: SparkSession, labelled=LABELLED) -> list[float]:
     """Weights, the bias last. The labelled table is read in the order of its URLs."""
-    rows = spark.createDataFrame(list(labelled), "url string, y int")
+    pairs = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("y")) for u, y in labelled])
+    rows = spark.range(1).select(F.inline(pairs))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     x = let(places(host, path), lambda p: F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS)), lambda j: F.when(j == DIMENSIONS, 0.05).otherwise(F.size(F.filter(p, lambda i: i == j)) / F.greatest(F.size(p), F.lit(1)))))
     table_ = rows.select("url", F.col("y").cast("double").alias("y"), x.alias("x")).agg(F.array_sort(F.collect_list(F.struct("url", "y", "x"))).alias("rows"))
