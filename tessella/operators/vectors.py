@@ -33,7 +33,7 @@ def cosine_knn(vectors: DataFrame, k: int, block_rows: int = 1000) -> DataFrame:
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("id")
         if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "nbr": [], "distance": []})
+            return pd.DataFrame({"id": np.zeros(0, np.int64), "nbr": np.zeros(0, np.int64), "distance": np.zeros(0)})
         d = np.round(1 - unit(x) @ unit(y).T, 9)
         xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
         d[xi[:, None] == yi[None, :]] = np.inf
