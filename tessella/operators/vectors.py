@@ -68,7 +68,7 @@ def wishart_sweep(ids: np.ndarray, radius: np.ndarray, neighbours: dict[int, lis
 
     fresh = 0
     for p in sorted(density, key=lambda i: (-density[i], i)):
-        near = sorted({root(label[q]) for q in neighbours.get(p, ()) if q in label and label[q] >= 0})
+        near = sorted({root(label[q]) for q in neighbours.get(p, ()) if q in label and label[q] >= 0} - {0})
         if not near:
             fresh += 1
             label[p], parent[fresh], peak[fresh] = fresh, fresh, density[p]
