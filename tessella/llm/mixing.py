@@ -62,7 +62,9 @@ def copies(doc_id: Column, rate: Column) -> Column:
 
 
 def _with_rates(sized: DataFrame, left: DataFrame) -> DataFrame:
-    rates = materialize(source_rates(sized), "rates").withColumnRenamed("source", "__source")
+    """``left`` with __source, __source_size, __target and __rate: names that no table has."""
+    rates = materialize(source_rates(sized), "rates")
+    rates = rates.select(*[F.col(c).alias(f"__{c}") for c in rates.columns])
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     return left.join(rates, left["source"].eqNullSafe(F.col("__source")))
@@ -71,15 +73,15 @@ def _with_rates(sized: DataFrame, left: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, rate and copies."""
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    out = _with_rates(sized, sized).withColumn("copies", copies(F.col("doc_id"), F.col("rate")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
+    out = _with_rates(sized, sized).withColumn("copies", copies(F.col("doc_id"), F.col("__rate")))
+    return out.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("copies")).alias("taken"), F.col("__rate").alias("rate"), "copies")
 
 
 def emit(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
     sized = docs.select("source", word_count(F.col("text")).alias("size"))
     out = _with_rates(sized, docs)
-    times = F.array_repeat(F.lit(0), copies(docs["doc_id"], F.col("rate")).cast("int"))
+    times = F.array_repeat(F.lit(0), copies(docs["doc_id"], F.col("__rate")).cast("int"))
     return out.select(*[docs[c] for c in docs.columns], F.explode(times).alias("__copy")).drop("__copy")
 
 

@@ -73,7 +73,22 @@ http://www.cheap-seo.example.com/buy-traffic
 https://casino-pills.example.org/free
 http://hot-singles.example.com/xxx/meet
 """
-LABELLED = tuple([(u, 0) for u in WANTED.split()] + [(u, 1) for u in UNWANTED.split()])
+# Topics of hosts and words of paths, from which more labelled URLs are built.
+WANTED_TOPICS = "news garden school museum library recipes weather travel science history music forum".split()
+UNWANTED_TOPICS = "pills casino spam loans lottery adult replica slots viagra betting warez seo".split()
+WANTED_PATHS = "en/123 articles/2021 wiki/page blog/45.html".split()
+UNWANTED_PATHS = "buy/cheap free/bonus win/now order/fast".split()
+
+
+def _built(topics: list[str], paths: list[str], label: int, style: tuple[str, str]) -> list[tuple[str, int]]:
+    ends = ("com", "org", "net")
+    return [(f"https://{style[j % 2]}{t}.example.{ends[(i + j) % 3]}/{p}", label) for i, t in enumerate(topics) for j, p in enumerate(paths)]
+
+
+LABELLED = tuple(
+    [(u, 0) for u in WANTED.split()] + [(u, 1) for u in UNWANTED.split()]
+    + _built(WANTED_TOPICS, WANTED_PATHS, 0, ("www.", "blog.the")) + _built(UNWANTED_TOPICS, UNWANTED_PATHS, 1, ("www.cheap-", "best-"))
+)
 
 DIMENSIONS = 512
 GRAMS = (3, 4)
