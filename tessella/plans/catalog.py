@@ -68,7 +68,7 @@ def _more() -> None:
     """Queries whose operators are loops, arrays or streams; SQL where it can express them."""
     from pyspark.sql import functions as F
 
-    from ..operators import coding, components, iterative, spectral, text, vectors
+    from ..operators import coding, components, iterative, samplers, spectral, text, vectors
     from ..session import materialize
     from ..sources import assertions
 
@@ -114,6 +114,9 @@ def _more() -> None:
     add("w10_knn_under_exclusion", replay)
     add("m9_wishart_clusters", lambda s, d: vectors.wishart_clusters(materialize(vectors.cosine_knn(of(s, d, "vectors"), 8), "knn"), 8))
     add("l7_vector_index", lambda s, d: vectors.lsh_buckets(of(s, d, "vectors")))
+    starts = lambda s, d: iterative.ego_sample(of(s, d, "sparse").select(F.col("src").alias("node")).distinct(), 7, 8)
+    add("g10_betweenness", lambda s, d: samplers.betweenness(of(s, d, "sparse"), starts(s, d)))
+    add("g12_first_passage", lambda s, d: samplers.first_passage(of(s, d, "both"), starts(s, d).select(F.col("node").alias("start"), F.lit(1000001).cast("long").alias("goal")), 10, 12))
     quotient = lambda s, d: run_sql(s, OPERATORS["j5_quotient"], **inputs(s, d, OPERATORS["j5_quotient"]))
 
     def modes(s: SparkSession, d: str) -> DataFrame:
