@@ -140,3 +140,26 @@ def run_lengths(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Maximal runs of consecutive ``order`` values per key: (key, first, last, length)."""
     island = rows.withColumn("island", F.col(order) - F.row_number().over(W.partitionBy(key).orderBy(order)))
     return island.groupBy(key, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length")).drop("island")
+
+
+def bfs_sample(edges: DataFrame, limit: int) -> DataFrame:
+    """(node, place): breadth-first from the node of most neighbours, exactly ``limit`` if so many connect.
+
+    A queue visits nodes by (place of the first parent, falling degree, id); ties for the
+    start go to the smallest id. Every round takes one hop, cut at what is still missing.
+    """
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct()
+    both = materialize(both, "topology")
+    degree = materialize(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")), "degree")
+    seen = materialize(degree.orderBy(F.desc("degree"), "node").limit(min(1, limit)).select("node", F.lit(0).cast("long").alias("place")), "sample")
+    frontier, n = seen, seen.count()
+    while n < limit:
+        near = frontier.join(both, frontier.node == both.src).groupBy(F.col("dst").alias("node")).agg(F.min("place").alias("parent"))
+        fresh = near.join(seen, "node", "left_anti").join(degree, "node").orderBy("parent", F.desc("degree"), "node").limit(limit - n)
+        place = F.row_number().over(W.orderBy("parent", F.desc("degree"), "node")) - 1 + n
+        frontier = materialize(fresh.select("node", place.cast("long").alias("place")), "frontier")
+        added = frontier.count()
+        if not added:
+            break
+        seen, n = materialize(seen.union(frontier), "sample"), n + added
+    return seen

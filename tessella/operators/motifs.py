@@ -103,7 +103,12 @@ def canonical_form(symbols: Sequence[str], links: Sequence[tuple[int, int, str]]
 
 
 def candidates(edges: DataFrame, symbols: DataFrame, cap: int = 12) -> DataFrame:
-    """One row per ego: its canonical shape, sizes, sorted nodes, and nodes in canonical order."""
+    """One row per ego of the graph; see ``shaped``."""
+    return shaped(ego_graphs(edges, symbols, cap))
+
+
+def shaped(egos: DataFrame) -> DataFrame:
+    """One row per ego graph: its canonical shape, sizes, sorted nodes, and nodes in canonical order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -115,7 +120,7 @@ def candidates(edges: DataFrame, symbols: DataFrame, cap: int = 12) -> DataFrame
                 rows.append((center, form, len(ids), len(links), ids, [ids[i] for i in order]))
             yield pd.DataFrame(rows, columns=["center", "shape", "n", "e", "nodes", "order"])
 
-    return ego_graphs(edges, symbols, cap).mapInPandas(run, CANDIDATE)
+    return egos.mapInPandas(run, CANDIDATE)
 
 
 def boundary_ports(edges: DataFrame, egos: DataFrame) -> DataFrame:

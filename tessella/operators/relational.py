@@ -68,7 +68,7 @@ OPERATORS: dict[str, str] = {
     "a29_document_frequency": "with w as (select distinct doc_id, token from (select doc_id, @tokens(text) as token from {corpus}) t where length(token) > 2) select token, df, round(df * 1.0 / sum(df) over (), 9) as share from (select token, count(*) as df from w group by token) q order by df desc, token limit 200",
     "a30_entity_frequency": "select name, count(*) as n from (select @tokens(split_part(text, '.', 1)) as name, doc_id from {corpus}) t where length(name) > 4 group by name having count(*) >= 3",
     "a31_concept_max_merge": "select text, max(score) as score from (select p_brand as text, cast(max(p_size) as double) as score from {part} group by p_brand union all select p_type, cast(max(p_size) / 2 as double) from {part} group by p_type) t group by text order by score desc, text limit 40",
-    "a33_hubness": "with s as (select a.id, sum(@dot(a.v; b.v) / sqrt(@dot(a.v; a.v) * @dot(b.v; b.v))) as t from {few_vectors} a join {few_vectors} b on a.id <> b.id group by a.id) select id, round(t / max(t) over (), 6) as hubness from s",
+    "a33_hubness": "with c as (select i, sum(x) as total from {unit_elements} e group by i), s as (select e.id, sum(e.x * c.total) - sum(e.x * e.x) as t from {unit_elements} e join c on c.i = e.i group by e.id) select id, round(t / max(t) over (), 6) as hubness from s",
     "a34_grid_binning": "select gx, gy, round(avg(w), 6) as mean_w, count(*) as n from (select floor(src * 8.0 / 2001) as gx, floor((dst - 1000000) * 8.0 / 101) as gy, weight as w from {directed}) t group by gx, gy",
     "a35_mode_localisation": "select round(sum(pow(x, 4)) / pow(sum(x * x), 2), 9) as ipr, round(pow(sum(x * x), 2) / sum(pow(x, 4)), 6) as participation, round(corr(abs(x), d), 6) as degree_correlation from (select s.x, count(*) * 1.0 as d from {state} s join {both} e on e.src = s.id group by s.id, s.x) t",
     # windows
@@ -127,12 +127,25 @@ OPERATORS: dict[str, str] = {
     # text
     "l1_sentence_tokens": "select doc_id, count(*) as tokens, count(distinct token) as kinds from (select doc_id, @tokens(text) as token from {corpus}) t where token not in ('the', 'of', 'and', 'to', 'in', 'is', 'a') group by doc_id",
     "l4_graphon_grid": "with d as (select src as id, row_number() over (order by count(*) desc, src) - 1 as r, count(*) over () as n from {both} group by src) select floor(a.r * 16.0 / a.n) as gx, floor(b.r * 16.0 / b.n) as gy, round(sum(e.weight), 6) as w from {both} e join d a on a.id = e.src join d b on b.id = e.dst group by floor(a.r * 16.0 / a.n), floor(b.r * 16.0 / b.n)",
-    "l6_similarity_edges": "select a.id as src, b.id as dst, round(@dot(a.v; b.v) / sqrt(@dot(a.v; a.v) * @dot(b.v; b.v)), 6) as similarity from {few_vectors} a join {few_vectors} b on a.id < b.id where round(@dot(a.v; b.v) / sqrt(@dot(a.v; a.v) * @dot(b.v; b.v)), 9) >= 0.3",
 }
 #: Reasons of the plateau gate, in order; a missing metric fails.
 REASONS = "case when r_fine <> r_coarse then 'r_instability;' else '' end || case when reduction < 0.10 - 1e-12 then 'insufficient_reduction;' else '' end || case when subspace is null or subspace > 0.25 then 'subspace;' else '' end || case when trajectory is null or trajectory > 0.25 then 'trajectory;' else '' end || case when eigenvalue is null or eigenvalue > 0.05 then 'eigenvalue;' else '' end"
 OPERATORS["pf16_plateau_gate"] = OPERATORS["pf16_plateau_gate"].replace("{reasons}", REASONS)
 
+# operators over the results of others
+OPERATORS |= {
+    "pf15_gain_filter": f"select figure, n, round(raw_bits - encoded_bits, 6) as gain from ({OPERATORS['m18_occurrence_cost']}) t where raw_bits - encoded_bits > 0 and n >= 3",
+    "a17_description_totals": f"select count(*) as figures, sum(e) as covered_edges, round(sum(raw_bits), 4) as raw_bits, round(sum(encoded_bits), 4) as encoded_bits, round(sum(encoded_bits) / nullif(sum(raw_bits), 0), 6) as ratio from ({OPERATORS['m18_occurrence_cost']}) t",
+    "t8_figure_cap": f"select figure, round(raw_bits - encoded_bits, 6) as gain from ({OPERATORS['m18_occurrence_cost']}) t order by raw_bits - encoded_bits desc, figure limit 8",
+    "t10_best_detector": f"select cut, sensitivity, specificity, youden, place from (select cut, sensitivity, specificity, round(sensitivity + specificity - 1, 6) as youden, row_number() over (order by round(sensitivity + specificity - 1, 6) desc, sensitivity desc, specificity desc, cut) as place from ({OPERATORS['a25_youden']}) g) t where place <= 3",
+    "t12_archive_choice": f"with f as (select raw_bits - encoded_bits as gain, row_number() over (order by raw_bits - encoded_bits desc, figure) as place from ({OPERATORS['m18_occurrence_cost']}) t), c as (select cap, round(sum(case when place <= cap then 64 - gain else 0 end), 4) as cost from f cross join (values (0), (4), (1024)) as v(cap) group by cap) select cap, cost from c order by cost, cap limit 1",
+    "j15_type_buckets": f"select signature, count(*) as edges, min(src * 10000000 + dst) as first_edge from ({OPERATORS['m35_relation_signature']}) t group by signature",
+    "j19_positional_pairs": "with p as (select part.p_brand as block, part.p_partkey as tok, row_number() over (partition by part.p_brand order by part.p_partkey) as pos from {part} part) select a.block, count(*) as pairs, sum(b.tok - a.tok) as spread from p a join p b on a.block = b.block and b.pos > a.pos and b.pos < a.pos + 4 group by a.block",
+    "w9_rank_prefix": "select src, dst, place from (select src, dst, row_number() over (partition by src order by weight desc, dst) as place from {both}) t where place <= 3",
+    "g32_eigenvalue_error": "with a as (select lam, row_number() over (order by lam desc, k) as place from {spectrum}), b as (select lam * 0.98 as lam, row_number() over (order by lam desc, k) as place from {spectrum} where k % 2 = 0) select count(*) as paired, round(max(abs(a.lam - b.lam)), 6) as error from a join b on a.place = b.place where a.place > 1",
+    "g43_sweep_settings": "select b.i as bridge, r.i as reduction, s.i as seed, case when b.i = 0 then 'negative' else 'positive' end as control, row_number() over (order by b.i, r.i, s.i) as run from @range(4) b cross join @range(2) r cross join @range(2) s",
+}
+
 # decimal literals would make Spark and DuckDB differ in scale: all are doubles
 OPERATORS = {name: re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"cast(\1 as double)", sql) for name, sql in OPERATORS.items()}
 

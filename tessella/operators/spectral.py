@@ -166,3 +166,73 @@ def perturbations(n: int, degrees: np.ndarray, seed: int = 0, fraction: float =
     hub[int(np.argmax(degrees))] = 1
     gauss = random.normal(size=n)
     return {k: v / np.linalg.norm(v) for k, v in {"single": single, "gaussian": gauss, "sparse": sparse, "hub": hub}.items()}
+
+
+def spectral_summary(values: np.ndarray, alpha: float = 1.0, margin: float = 0.05) -> dict[str, float | int | bool | None]:
+    """Gap, synchronizability, coupling and slow-mode count of a falling spectrum of S.
+
+    Synchronizability is the largest over the second smallest Laplacian eigenvalue
+    (1 - lambda), null where the latter is at most 1e-14.
+    """
+    lam = np.asarray(values, float)
+    target, beta, clipped = critical_beta(lam, alpha, margin)
+    second = 1 - lam[1] if len(lam) > 1 else 0.0
+    count, agree = slow_mode_count(lam, alpha, beta) if len(lam) > 1 else (len(lam), True)
+    return {
+        "gap": float(lam[0] - lam[1]) if len(lam) > 1 else None,
+        "synchronizability": float((1 - lam[-1]) / second) if second > 1e-14 else None,
+        "target": None if target is None else float(target), "beta": float(beta), "clipped": bool(clipped), "slow_modes": int(count), "gaps_agree": bool(agree),
+    }
+
+
+def bounded_matrix(edges: DataFrame) -> tuple[list[int], np.ndarray]:
+    """(ids, S) of a graph of at most ``DENSE`` nodes; a larger one raises."""
+    matrix = materialize(normalized_adjacency(edges), "operator")
+    nodes = matrix.select(F.col("src").alias("id")).union(matrix.select("dst")).distinct()
+    if nodes.limit(DENSE + 1).count() > DENSE:
+        raise ValueError(f"over {DENSE} nodes: use top_eigenpairs and spmv")
+    ids = sorted(r["id"] for r in nodes.collect())
+    return ids, _dense(matrix, ids)
+
+
+def evaluate_transition(edges: DataFrame, labels: DataFrame, times: np.ndarray | None = None, alpha: float = 1.0, after: float = 0.5) -> dict[str, float | int | None]:
+    """One contraction step: what the block means of the fine dynamics lose.
+
+    The coarse graph follows the same law with the coupling of the fine one. Errors are
+    means over the perturbations; the slow error compares both on the fine slow modes,
+    the late one from the first time at or after ``after`` of the span. All nodes carry a
+    label. With under three nodes on a side the errors are null.
+    """
+    ids, s = bounded_matrix(edges)
+    of = {r["node"]: r["label"] for r in labels.select("node", "label").collect()}
+    groups = sorted({of[i] for i in ids})
+    member = np.zeros((len(ids), len(groups)))
+    for row, i in enumerate(ids):
+        member[row, groups.index(of[i])] = 1
+    mean = member / member.sum(axis=0)  # restriction; ``member`` itself lifts
+    la, lb = labels.select(F.col("node").alias("src"), F.col("label").alias("a")), labels.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+    quotient = edges.join(la, "src").join(lb, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))
+    coarse_ids, coarse = bounded_matrix(quotient)
+    out = {"fine": len(ids), "coarse": len(groups), "reduction": 1 - len(groups) / max(1, len(ids)), "r_fine": None, "r_coarse": None, "subspace": None, "eigenvalue": None, "full_error": None, "slow_error": None, "late_error": None}
+    if min(len(ids), len(groups)) < 3 or coarse_ids != groups:
+        return out
+    values, vectors = (x[..., ::-1] for x in np.linalg.eigh(s))
+    cvalues, cvectors = (x[..., ::-1] for x in np.linalg.eigh(coarse))
+    beta = critical_beta(values, alpha)[1]
+    r, rc = slow_mode_count(values, alpha, beta)[0], slow_mode_count(cvalues, alpha, beta)[0]
+    basis = slow_embedding(vectors, r)
+    width = min(r, rc)
+    t = np.linspace(0, 10, 21) if times is None else times
+    late = int(np.searchsorted(t, t[0] + after * (t[-1] - t[0]) - 1e-12))
+    q = np.linalg.qr(basis)[0]
+    errors = []
+    for start in perturbations(len(ids), np.count_nonzero(s, axis=1)).values():
+        x = linear_dynamics(values, vectors, start, t, alpha, beta)
+        y = linear_dynamics(cvalues, cvectors, mean.T @ start, t, alpha, beta) @ member.T
+        errors.append((relative_error(x, y), relative_error(x @ q, y @ q), relative_error(x[late:], y[late:])))
+    paired = min(len(values), len(cvalues))
+    full, slow, rest = np.mean(errors, axis=0)
+    return out | {
+        "r_fine": r, "r_coarse": rc, "subspace": subspace_distance(basis[:, :width], member @ slow_embedding(cvectors, rc)[:, :width]),
+        "eigenvalue": float(np.abs(values[1:paired] - cvalues[1:paired]).max()), "full_error": float(full), "slow_error": float(slow), "late_error": float(rest),
+    }

@@ -11,41 +11,105 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def unit(m: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return m / np.where(norm > 0, norm, 1)
+
+    return 1 - unit(x) @ unit(y).T
+
+
+def _euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0))
+
+
+def _jensen_shannon(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def share(m: np.ndarray) -> np.ndarray:
+        total = m.sum(axis=1, keepdims=True)
+        return m / np.where(total > 0, total, 1)
+
+    def entropy_terms(m: np.ndarray) -> np.ndarray:
+        return np.where(m > 0, m * np.log2(np.where(m > 0, m, 1)), 0)
+
+    p, q = share(x), share(y)
+    mixed = np.zeros((len(p), len(q)))
+    for i in range(p.shape[1]):
+        mixed += entropy_terms((p[:, i, None] + q[None, :, i]) / 2)
+    own = (entropy_terms(p).sum(axis=1)[:, None] + entropy_terms(q).sum(axis=1)[None, :]) / 2
+    out = np.sqrt(np.maximum(own - mixed, 0))
+    none_p, none_q = (p.sum(axis=1) == 0)[:, None], (q.sum(axis=1) == 0)[None, :]
+    return np.where(none_p & none_q, 0.0, np.where(none_p | none_q, 1.0, out))
+
+
 def cosine_knn(vectors: DataFrame, k: int, block_rows: int = 1000) -> DataFrame:
     """(id, rank, nbr, distance): the k nearest by cosine distance, ties by id, self excluded.
 
-    Vectors are dealt to blocks; every pair of blocks is one task's matrix product, which
-    keeps k candidates a row, and the candidates are ranked. Memory is two blocks a task.
     Zero vectors are at distance 1 from all.
     """
+    return _blocked_knn(vectors, k, block_rows, _cosine)
+
+
+def histogram_knn(vectors: DataFrame, k: int, block_rows: int = 1000) -> DataFrame:
+    """As ``cosine_knn``, by the Jensen-Shannon distance (base 2) of histograms.
+
+    Two empty histograms are at distance 0, an empty one is at 1 from any other.
+    """
+    return _blocked_knn(vectors, k, block_rows, _jensen_shannon)
+
+
+def euclidean_knn(vectors: DataFrame, k: int, block_rows: int = 1000) -> DataFrame:
+    """As ``cosine_knn``, by the Euclidean distance."""
+    return _blocked_knn(vectors, k, block_rows, _euclidean)
+
+
+def _block_pairs(vectors: DataFrame, block_rows: int, found, schema: str) -> DataFrame:
+    """Vectors are dealt to blocks, and ``found(ids, values, ids, values)`` sees every pair of blocks in one task.
+
+    Memory is two blocks a task, whatever the number of vectors.
+    """
     n = vectors.count()
     blocks = max(1, -(-n // block_rows))
     dealt = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     ids = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = dealt.select(F.col("block").alias("a"), F.explode(ids).alias("b"), F.lit(0).alias("side"), "id", "v")
     right = dealt.select(F.explode(ids).alias("a"), F.col("block").alias("b"), F.lit(1).alias("side"), "id", "v")
+    values = lambda pdf: np.array(pdf["v"].tolist(), np.float64)
 
-    def unit(pdf: pd.DataFrame) -> np.ndarray:
-        m = np.array(pdf["v"].tolist(), np.float64)
-        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return m / np.where(norm > 0, norm, 1)
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("id")
         if not len(x) or not len(y):
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "nbr": np.zeros(0, np.int64), "distance": np.zeros(0)})
-        d = np.round(1 - unit(x) @ unit(y).T, 9)
-        xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")}).astype({c.split()[0]: "float64" if c.endswith("double") else "int64" for c in schema.split(", ")})
+        return found(x["id"].to_numpy(), values(x), y["id"].to_numpy(), values(y))
+
+    return left.union(right).groupBy("a", "b").applyInPandas(run, schema)
+
+
+def _blocked_knn(vectors: DataFrame, k: int, block_rows: int, distance) -> DataFrame:
+    """Every pair of blocks keeps k candidates a row, and the candidates are ranked."""
+
+    def nearest(xi: np.ndarray, x: np.ndarray, yi: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        d = np.round(distance(x, y), 9)
         d[xi[:, None] == yi[None, :]] = np.inf
         order = np.argsort(d, axis=1, kind="stable")[:, :k]
         out = pd.DataFrame({"id": np.repeat(xi, order.shape[1]), "nbr": yi[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
         return out[np.isfinite(out.distance)]
 
-    found = left.union(right).groupBy("a", "b").applyInPandas(nearest, "id long, nbr long, distance double")
+    found = _block_pairs(vectors, block_rows, nearest, "id long, nbr long, distance double")
     rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "nbr"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "nbr", "distance")
 
 
+def similarity_edges(vectors: DataFrame, threshold: float, block_rows: int = 1000) -> DataFrame:
+    """(src, dst, similarity), src < dst: all pairs of cosine similarity of at least ``threshold``."""
+
+    def near(xi: np.ndarray, x: np.ndarray, yi: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        s = np.round(1 - _cosine(x, y), 9)
+        i, j = np.nonzero((s >= threshold) & (xi[:, None] < yi[None, :]))
+        return pd.DataFrame({"src": xi[i], "dst": yi[j], "similarity": s[i, j]})
+
+    return _block_pairs(vectors, block_rows, near, "src long, dst long, similarity double")
+
+
 def knn_under_exclusion(knn: DataFrame, kept: DataFrame, k: int) -> DataFrame:
     """Ranks anew among kept ids only; ``knn`` holds complete enough lists."""
     a, b = kept.select("id"), kept.select(F.col("id").alias("nbr"))
@@ -133,3 +197,37 @@ def lsh_buckets(vectors: DataFrame, planes: int = 16, seed: int = 3) -> DataFram
             yield pd.DataFrame({"id": pdf["id"], "bucket": bits @ (1 << np.arange(planes))})
 
     return vectors.select("id", "v").mapInPandas(run, "id long, bucket long")
+
+
+def adjusted_rand(labels: DataFrame, other: DataFrame) -> DataFrame:
+    """(ari): agreement of two labelings (id, label) on the ids of both, from pair counts."""
+    cells = labels.join(other.select("id", F.col("label").alias("other")), "id").groupBy("label", "other").agg(F.count("*").alias("n"))
+    pairs = lambda c: (F.col(c) * (F.col(c) - 1) / 2).cast("double")
+    total = lambda key: cells.groupBy(key).agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum(pairs("n")), F.lit(0.0)).alias(key))
+    same = cells.agg(F.coalesce(F.sum(pairs("n")), F.lit(0.0)).alias("same"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    one = same.crossJoin(total("label")).crossJoin(total("other"))
+    chance = F.col("label") * F.col("other") / F.nullif(pairs("n"), F.lit(0.0))
+    top = (F.col("label") + F.col("other")) / 2
+    return one.select(F.coalesce((F.col("same") - chance) / F.nullif(top - chance, F.lit(0.0)), F.lit(1.0)).alias("ari"))
+
+
+def k_sweep(vectors: DataFrame, ks: list[int], repeats: int = 2, share: float = 0.8, significance: float = 0.7) -> DataFrame:
+    """(k, repeat, clusters, noise_share, ari): density clusters for each k and their stability.
+
+    A repeat clusters a hashed subsample anew, from neighbour lists long enough to be
+    complete after the exclusion of the rest but for rare cases, and compares the labels
+    by the adjusted Rand index.
+    """
+    from ..session import materialize
+
+    spark = vectors.sparkSession
+    knn = materialize(cosine_knn(vectors, 4 * max(ks)), "knn")
+    rows = []
+    for k in ks:
+        whole = materialize(wishart_clusters(knn.filter(F.col("rank") <= k), k, significance), "labels")
+        n, clusters, noise = whole.agg(F.count("*"), F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))), F.coalesce(F.sum((F.col("label") < 0).cast("long")), F.lit(0))).first()
+        for repeat in range(repeats):
+            kept = vectors.select("id").filter(F.pmod(F.xxhash64("id", F.lit(repeat)), F.lit(1000)) < int(1000 * share))
+            part = wishart_clusters(materialize(knn_under_exclusion(knn, kept, k), "part"), k, significance)
+            rows.append((k, repeat, clusters, noise / n if n else 0.0, float(adjusted_rand(whole, part).first()["ari"])))
+    return spark.createDataFrame(rows, "k int, repeat int, clusters long, noise_share double, ari double")

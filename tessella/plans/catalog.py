@@ -64,11 +64,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"flagship_degree
 ORACLES: dict[str, str] = {"flagship_degree_top20": oracle(FLAGSHIP)} | {name: oracle(sql) for name, sql in OPERATORS.items()}
 
 
+def _js_sql(histograms: str, k: int) -> str:
+    """DuckDB's text of the ``k`` nearest by Jensen-Shannon distance over columns p1 to p4."""
+    shares = ", ".join(f"p{i}::double / nullif(p1 + p2 + p3 + p4, 0) as p{i}" for i in range(1, 5))
+    half = lambda x, i: f"case when {x}.p{i} > 0 then {x}.p{i} * log2({x}.p{i} / ((a.p{i} + b.p{i}) / 2)) else 0 end"
+    total = " + ".join(half(x, i) for x in "ab" for i in range(1, 5))
+    return f"with h as (select id, {shares} from ({histograms}) t), d as (select a.id, b.id as nbr, round(sqrt(greatest(0, ({total}) / 2)), 9) as distance from h a join h b on a.id <> b.id) select id, rank, nbr, round(distance, 6) as distance from (select *, row_number() over (partition by id order by distance, nbr) as rank from d) q where rank <= {k}"
+
+
 def _more() -> None:
     """Queries whose operators are loops, arrays or streams; SQL where it can express them."""
+    import numpy as np
     from pyspark.sql import functions as F
 
-    from ..operators import coding, components, iterative, samplers, spectral, text, vectors
+    from ..operators import coding, components, iterative, motifs, samplers, spectral, text, transport, vectors
     from ..session import materialize
     from ..sources import assertions
 
@@ -107,6 +116,10 @@ def _more() -> None:
     add("j9_cosine_knn", lambda s, d: vectors.cosine_knn(of(s, d, "vectors"), 8).withColumn("distance", F.round("distance", 6)), knn_sql + "8")
     add("w5_kth_radius", lambda s, d: vectors.cosine_knn(of(s, d, "vectors"), 5).filter("rank = 5").select("id", F.round("distance", 6).alias("radius")), f"select id, distance as radius from ({knn_sql}5) q where rank = 5")
 
+    flat = "round(sqrt(greatest(0, list_inner_product(a.v::double[], a.v::double[]) + list_inner_product(b.v::double[], b.v::double[]) - 2 * list_inner_product(a.v::double[], b.v::double[]))), 9)"
+    add("m8_full_matrix_knn", lambda s, d: vectors.euclidean_knn(of(s, d, "vectors"), 5).withColumn("distance", F.round("distance", 6)), knn_sql.replace(f"round(1 - {pair}, 9)", flat) + "5")
+    add("l6_similarity_edges", lambda s, d: vectors.similarity_edges(of(s, d, "vectors"), 0.3).withColumn("similarity", F.round("similarity", 6)), f"select a.id as src, b.id as dst, round({pair}, 6) as similarity from (select vec_id as id, embedding as v from embeddings) a join (select vec_id as id, embedding as v from embeddings) b on a.id < b.id where round({pair}, 9) >= 0.3")
+
     def replay(s: SparkSession, d: str) -> DataFrame:
         kept = of(s, d, "vectors").filter("id % 5 <> 0").select("id")
         return vectors.knn_under_exclusion(vectors.cosine_knn(of(s, d, "vectors"), 64), kept, 3).withColumn("distance", F.round("distance", 6))
@@ -114,6 +127,30 @@ def _more() -> None:
     add("w10_knn_under_exclusion", replay)
     add("m9_wishart_clusters", lambda s, d: vectors.wishart_clusters(materialize(vectors.cosine_knn(of(s, d, "vectors"), 8), "knn"), 8))
     add("l7_vector_index", lambda s, d: vectors.lsh_buckets(of(s, d, "vectors")))
+    hist = "select dst as id, sum(case when relation = 'AF' then weight else 0 end) as p1, sum(case when relation = 'NF' then weight else 0 end) as p2, sum(case when relation = 'NO' then weight else 0 end) as p3, sum(case when relation = 'RF' then weight else 0 end) as p4 from {directed} group by dst"
+
+    def histograms(s: SparkSession, d: str) -> DataFrame:
+        return run_sql(s, hist, **inputs(s, d, hist)).select("id", F.array(*[F.col(f"p{i}").cast("double") for i in range(1, 5)]).alias("v"))
+
+    add("j10_histogram_knn", lambda s, d: vectors.histogram_knn(histograms(s, d), 5).withColumn("distance", F.round("distance", 6)), _js_sql(oracle(hist), 5))
+    add("a22_m10_k_sweep", lambda s, d: vectors.k_sweep(of(s, d, "vectors"), [4, 6]))
+    add("g3_bfs_sample", lambda s, d: iterative.bfs_sample(of(s, d, "directed"), 60))
+    typed = lambda s, d: of(s, d, "directed").select("src", "dst", "relation", F.col("weight").cast("double").alias("weight"))
+    atoms = lambda s: s.createDataFrame([], "node long, symbol string")
+    add("m15_candidates", lambda s, d: motifs.candidates(typed(s, d), atoms(s), 8).select("center", "shape", "n", "e"))
+    add("m13_m30_shape_registry", lambda s, d: motifs.registry(motifs.candidates(typed(s, d), atoms(s), 8)))
+    add("g7_m35_boundary_ports", lambda s, d: motifs.boundary_ports(typed(s, d), motifs.ego_nodes(typed(s, d), 8)))
+    add("m23_recursive_mining", lambda s, d: motifs.mine(typed(s, d), max_levels=2, cap=6)[0])
+
+    def type_shapes(s: SparkSession, d: str) -> DataFrame:
+        """One ego for each shape: distances are between types."""
+        egos = materialize(motifs.ego_graphs(typed(s, d), atoms(s), 8), "graphs")
+        first = motifs.shaped(egos).groupBy("shape").agg(F.min("center").alias("center"))
+        relations = sorted(r["relation"] for r in typed(s, d).select("relation").distinct().collect())
+        return materialize(transport.shapes(egos.join(first, "center", "left_semi"), relations), "shapes")
+
+    add("m5_m6_transport_knn", lambda s, d: transport.transport_knn(type_shapes(s, d), 4).withColumn("distance", F.round("distance", 6)))
+    add("m3_gromov_knn", lambda s, d: transport.transport_knn(type_shapes(s, d), 4, alpha=1.0).withColumn("distance", F.round("distance", 6)))
     starts = lambda s, d: iterative.ego_sample(of(s, d, "sparse").select(F.col("src").alias("node")).distinct(), 7, 8)
     add("g10_betweenness", lambda s, d: samplers.betweenness(of(s, d, "sparse"), starts(s, d)))
     add("g12_first_passage", lambda s, d: samplers.first_passage(of(s, d, "both"), starts(s, d).select(F.col("node").alias("start"), F.lit(1000001).cast("long").alias("goal")), 10, 12))
@@ -124,6 +161,31 @@ def _more() -> None:
         return s.createDataFrame([(i, round(float(v), 9)) for i, v in enumerate(values)], "k int, lam double")
 
     add("g14_top_eigenvalues", modes)
+
+    def summary(s: SparkSession, d: str) -> DataFrame:
+        values = np.linalg.eigvalsh(spectral.bounded_matrix(quotient(s, d))[1])[::-1]
+        return s.createDataFrame([spectral.spectral_summary(values)], "gap double, synchronizability double, target double, beta double, clipped boolean, slow_modes int, gaps_agree boolean")
+
+    add("g13_g16_g17_spectral_summary", summary)
+
+    def transition(s: SparkSession, d: str) -> DataFrame:
+        fine = quotient(s, d)
+        ids = fine.select(F.col("src").alias("node")).union(fine.select("dst")).distinct()
+        row = spectral.evaluate_transition(fine, ids.select("node", (F.col("node") - F.col("node") % 3).alias("label")))
+        return s.createDataFrame([row], "fine int, coarse int, reduction double, r_fine int, r_coarse int, subspace double, eigenvalue double, full_error double, slow_error double, late_error double")
+
+    add("g36_g44_transition_errors", transition)
+
+    def trajectories(s: SparkSession, d: str) -> DataFrame:
+        ids, matrix = spectral.bounded_matrix(quotient(s, d))
+        start = spectral.perturbations(len(ids), np.count_nonzero(matrix, axis=1))["hub"]
+        rows = []
+        for law in ("linear", "cubic", "tanh"):
+            states = spectral.nonlinear_dynamics(matrix, start, law, 1.0, 0.95, 1.0, 0.05, 20)
+            rows += [(law, t, i, round(float(x), 9)) for t, state in enumerate(states) for i, x in zip(ids, state, strict=True)]
+        return s.createDataFrame(rows, "law string, step int, id long, x double")
+
+    add("g22_trajectories", trajectories)
     add("g20_linear_step", lambda s, d: spectral.spmv(spectral.normalized_adjacency(of(s, d, "both")), of(s, d, "state").select("id", F.array("x").alias("xs"))).select("id", F.round(F.col("xs")[0], 6).alias("y")), oracle("with d as (select src as id, sum(weight) as degree from {both} group by src) select e.src as id, round(sum(e.weight / sqrt(a.degree * b.degree) * s.x), 6) as y from {both} e join d a on a.id = e.src join d b on b.id = e.dst join {state} s on s.id = e.dst group by e.src"))
     add("m28_edge_codec_round_trip", lambda s, d: coding.round_trip(of(s, d, "records")), "select count(*) as records, true as coded, 0 as differing from events")
 

@@ -18,7 +18,6 @@ INPUTS = {
     "transitions": "select level, cast(reduction as double) as reduction, r_fine, r_coarse, cast(subspace as double) as subspace, cast(trajectory as double) as trajectory, cast(eigenvalue as double) as eigenvalue from (values (1, 0.42, 6, 6, 0.08, 0.05, 0.01), (2, 0.35, 6, 6, 0.12, 0.06, 0.02), (3, 0.30, 6, 6, 0.15, 0.07, 0.02), (4, 0.05, 6, 5, 0.20, 0.30, 0.05), (5, 0.28, 5, 5, 0.10, 0.09, 0.03), (6, 0.26, 5, 5, 0.11, 0.10, 0.02), (7, 0.22, 5, 5, null, 0.12, 0.04), (8, 0.20, 5, 4, 0.40, 0.35, 0.09)) as t(level, reduction, r_fine, r_coarse, subspace, trajectory, eigenvalue)",
     "spectrum": "select cast(l_suppkey as bigint) as k, sum(l_extendedprice * l_discount) / 1000000 as lam from {lineitem} group by l_suppkey",
     "sparse_pairs": "select distinct src, dst from {sparse}",
-    "few_vectors": "select id, v, label from {vectors} where id % 50 = 0",
     "unit_elements": "{unit_elements}",
 }
 # one row per vector component, of unit length; explode and unnest differ between the engines
