@@ -118,7 +118,7 @@ def _more() -> None:
 
     flat = "round(sqrt(greatest(0, list_inner_product(a.v::double[], a.v::double[]) + list_inner_product(b.v::double[], b.v::double[]) - 2 * list_inner_product(a.v::double[], b.v::double[]))), 9)"
     add("m8_full_matrix_knn", lambda s, d: vectors.euclidean_knn(of(s, d, "vectors"), 5).withColumn("distance", F.round("distance", 6)), knn_sql.replace(f"round(1 - {pair}, 9)", flat) + "5")
-    add("l6_similarity_edges", lambda s, d: vectors.similarity_edges(of(s, d, "vectors"), 0.3).withColumn("similarity", F.round("similarity", 6)), f"select a.id as src, b.id as dst, round({pair}, 6) as similarity from (select vec_id as id, embedding as v from embeddings) a join (select vec_id as id, embedding as v from embeddings) b on a.id < b.id where round({pair}, 9) >= 0.3")
+    add("l6_similarity_edges", lambda s, d: vectors.similarity_edges(of(s, d, "vectors"), 0.3).withColumn("similarity", F.round("similarity", 6)), f"select a.id as src, b.id as dst, round(round({pair}, 9), 6) as similarity from (select vec_id as id, embedding as v from embeddings) a join (select vec_id as id, embedding as v from embeddings) b on a.id < b.id where round({pair}, 9) >= 0.3")
 
     def replay(s: SparkSession, d: str) -> DataFrame:
         kept = of(s, d, "vectors").filter("id % 5 <> 0").select("id")
