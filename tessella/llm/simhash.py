@@ -202,17 +202,31 @@ def links(distinct: DataFrame) -> DataFrame:
     return found.filter("b is not null").union(star)
 
 
+def _named_rows(fps: DataFrame, named: DataFrame) -> DataFrame:
+    """``fps`` with component_id. Fingerprints of many documents are joined apart.
+
+    Those over 1 / (4 * partitions) of all rows number under 4 * partitions: they are
+    broadcast, and no task of the shuffled join gets a large group.
+    """
+    limit = fps.count() / (4 * shuffle_partitions(fps.sparkSession))
+    hot = F.broadcast(named.filter(F.col("n") > limit).drop("n"))
+    rest = named.filter(F.col("n") <= limit).drop("n")
+    many = fps.join(hot, fps.fp == hot.key)
+    few = fps.join(hot, fps.fp == hot.key, "left_anti").join(rest, fps.fp == rest.key)
+    return many.unionByName(few)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
     fps = materialize(fingerprints(docs), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
     roots = materialize(components(links(classes), "a", "b"), "roots")
     # only classes with a link have a root; the others are their own component
     linked = classes.join(roots, classes.fp == roots.node).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = linked.join(least, "root").select("fp", "component_id")
-    named = classes.join(of_class, "fp", "left").select(F.col("fp").alias("key"), F.coalesce("component_id", "first").alias("component_id"))
-    out = fps.join(named, fps.fp == F.col("key"))
+    named = classes.join(of_class, "fp", "left").select(F.col("fp").alias("key"), F.coalesce("component_id", "first").alias("component_id"), "n")
+    out = _named_rows(fps, materialize(named, "named"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
