@@ -141,7 +141,9 @@ def round_trip(records: DataFrame) -> DataFrame:
 
 def write_archive(blocks: DataFrame, path: str, manifest: dict) -> None:
     """All blocks in one zip file with a manifest; blocks stream to the driver one at a time."""
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    from ..sources.store import create
+
+    with create(blocks.sparkSession, path) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
         for row in blocks.orderBy("block").toLocalIterator():
             z.writestr(f"blocks/{row['block']:020d}.{row['n']}", bytes(row["blob"]))
         z.writestr("manifest.json", json.dumps(manifest, sort_keys=True))
@@ -174,3 +176,65 @@ def select_occurrences(found: list[tuple[float, float, str, int, frozenset[int]]
                     owner.pop(n, None)
             put(f)
     return sorted(chosen)
+
+
+def code_table(counts: DataFrame, symbol: str) -> DataFrame:
+    """(symbol, n, bits, code, mean_bits) of the canonical code; ``counts`` is (symbol, n), of a bounded alphabet.
+
+    ``mean_bits`` is the mean length over all occurrences.
+    """
+    n = {r[symbol]: r["n"] for r in counts.collect()}
+    lengths = huffman_lengths(n)
+    codes = canonical_codes(lengths)
+    mean = sum(n[k] * lengths[k] for k in n) / max(1, sum(n.values()))
+    rows = [(k, n[k], lengths[k], codes[k], round(mean, 9)) for k in sorted(n)]
+    return counts.sparkSession.createDataFrame(rows, f"{symbol} string, n long, bits int, code string, mean_bits double")
+
+
+def pack_symbols(rows: DataFrame, symbol: str, codes: dict[str, str]) -> DataFrame:
+    """(part, n, bits): each partition's symbols in their order as one bit string that decodes alone."""
+
+    def run(batches):
+        import pandas as pd
+
+        for at, pdf in enumerate(batches):
+            yield pd.DataFrame({"part": [at], "n": [len(pdf)], "bits": [pack_bits(pdf[symbol], codes)]})
+
+    return rows.select(symbol).mapInPandas(run, "part long, n long, bits binary").withColumn("part", F.struct(F.spark_partition_id().alias("task"), "part"))
+
+
+def unpack_symbols(packed: DataFrame, symbol: str, codes: dict[str, str]) -> DataFrame:
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for n, bits in zip(pdf["n"], pdf["bits"], strict=True):
+                yield pd.DataFrame({symbol: unpack_bits(bytes(bits), codes, n)})
+
+    return packed.select("n", "bits").mapInPandas(run, f"{symbol} string")
+
+
+def read_archive(spark, path: str) -> tuple[DataFrame, dict]:
+    """(blocks, manifest) of ``write_archive``, read in a task; an archive has at most 2 GB."""
+
+    def entries(batches, want: str):
+        for pdf in batches:
+            for content in pdf["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    yield from ((name, z.read(name)) for name in z.namelist() if name.startswith(want))
+
+    def blocks(batches):
+        import pandas as pd
+
+        for name, blob in entries(batches, "blocks/"):
+            block, n = name[7:].split(".")
+            yield pd.DataFrame({"block": [int(block)], "n": [int(n)], "blob": [blob]})
+
+    def manifest(batches):
+        import pandas as pd
+
+        for _, blob in entries(batches, "manifest.json"):
+            yield pd.DataFrame({"value": [blob.decode()]})
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(blocks, "block long, n long, blob binary"), json.loads(files.mapInPandas(manifest, "value string").first()[0])

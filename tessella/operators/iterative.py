@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -163,3 +164,65 @@ def bfs_sample(edges: DataFrame, limit: int) -> DataFrame:
             break
         seen, n = materialize(seen.union(frontier), "sample"), n + added
     return seen
+
+
+def degree_pool(degrees: DataFrame, edges: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the largest component among the ``size`` nodes of highest degree.
+
+    ``degrees`` is (node, degree), ties by node; of components of one size the one with the
+    best node counts.
+    """
+    pool = materialize(degrees.orderBy(F.desc("degree"), "node").limit(size), "pool")
+    a, b = pool.select(F.col("node").alias("src")), pool.select(F.col("node").alias("dst"))
+    inner = materialize(edges.filter("src <> dst").select("src", "dst").distinct().join(a, "src", "left_semi").join(b, "dst", "left_semi"), "inner")
+    labels = materialize(component_labels(pool, inner).join(pool, "node"), "labels")
+    best = labels.groupBy("root").agg(F.count("*").alias("n"), F.max("degree").alias("d"), F.min_by("node", F.struct(-F.col("degree"), "node")).alias("first"))
+    root = best.orderBy(F.desc("n"), F.desc("d"), "first").limit(1).select("root")
+    nodes = materialize(labels.join(F.broadcast(root), "root", "left_semi").select("node", "degree"), "nodes")
+    return nodes, inner.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+
+
+GROWTH_NODES, GROWTH_EDGES = 2_000_000, 10_000_000
+
+
+def best_first_growth(degrees: DataFrame, edges: DataFrame, target: int, multiplier: float = 2.0) -> DataFrame:
+    """(node, place) of exactly ``target`` connected nodes, the best neighbour of what is taken first.
+
+    The order depends on every step before, so it runs on the driver, over the largest
+    component of a pool of ceil(target * multiplier) nodes. A pool over ``GROWTH_NODES`` or
+    ``GROWTH_EDGES`` raises, as does a component under the target.
+    """
+    size = math.ceil(target * multiplier)
+    if size > GROWTH_NODES:
+        raise ValueError(f"a pool of {size} nodes is over {GROWTH_NODES}")
+    nodes, inner = degree_pool(degrees, edges, size)
+    if nodes.count() < target or inner.limit(GROWTH_EDGES + 1).count() > GROWTH_EDGES:
+        raise ValueError("the pool's largest component is under the target, or it has too many edges")
+    key = {r["node"]: (-r["degree"], r["node"]) for r in nodes.collect()}
+    near: dict = {}
+    for r in inner.toLocalIterator():
+        near.setdefault(r["src"], []).append(r["dst"])
+        near.setdefault(r["dst"], []).append(r["src"])
+    heap = [min(key.values())] if target else []
+    queued, taken = {heap[0][1]} if heap else set(), []
+    while len(taken) < target:
+        node = heapq.heappop(heap)[1]
+        taken.append(node)
+        for other in near.get(node, ()):
+            if other not in queued:
+                queued.add(other)
+                heapq.heappush(heap, key[other])
+    return edges.sparkSession.createDataFrame([(x, i) for i, x in enumerate(taken)], f"node {dict(nodes.dtypes)['node']}, place long")
+
+
+def pick_levels(sizes: dict[int, int], targets: list[int]) -> tuple[dict[int, list[int]], list[int]]:
+    """(targets by level, targets under the last size): the level nearest in size, never the last."""
+    last = max(sizes)
+    if last == min(sizes):
+        raise ValueError("a hierarchy needs two levels")
+    out: dict[int, list[int]] = {}
+    small = [t for t in targets if t < sizes[last]]
+    for t in targets:
+        if t not in small:
+            out.setdefault(min((level for level in sizes if level != last), key=lambda v: (abs(sizes[v] - t), v)), []).append(t)
+    return out, small

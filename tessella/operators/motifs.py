@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from ..sources.store import checksum, drop_levels, load, newest_level, save_level
 from .coding import huffman_lengths
 
 ATOM = "ATOM"
@@ -197,21 +198,37 @@ def contract(edges: DataFrame, symbols: DataFrame, chosen: DataFrame) -> tuple[D
 LEVEL = "level long, nodes long, edges long, types long, chosen long, raw_bits double, encoded_bits double, nodes_after long, stop string"
 
 
-def mine(edges: DataFrame, max_levels: int = 3, cap: int = 8, least_support: int = 2, least_nodes: int = 3, max_types: int = 4096, min_gain: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def mine(edges: DataFrame, max_levels: int = 3, cap: int = 8, least_support: int = 2, least_nodes: int = 3, max_types: int = 4096, min_gain: float = 0.0, store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(levels, members): recursive mining until a stop reason holds.
 
     ``levels`` has a row for each level with its stop reason or null; ``members`` maps
-    every first node to its last owner.
+    every first node to its last owner. With ``store`` every level is kept in that folder,
+    and a run that finds complete levels of the same edges and settings goes on after
+    the last one; levels of other edges or settings raise.
     """
     spark = edges.sparkSession
     edges = materialize(edges.groupBy("src", "dst", "relation").agg(F.sum("weight").alias("weight")), "edges")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    members = materialize(nodes.select("node", F.col("node").alias("owner")), "members")
-    symbols = spark.createDataFrame([], "node long, symbol string")
     relations = edges.select("relation").distinct().count()
-    n, rows = members.count(), []
-    for level in range(max_levels):
-        m, row = edges.count(), None
+    about, start, rows = {}, 0, []
+    if store:
+        about = {"input": list(checksum(edges.withColumn("weight", F.round("weight", 6)))), "settings": [cap, least_support, least_nodes, max_types, min_gain]}
+        newest = newest_level(spark, store, about)
+    if store and newest is not None:
+        drop_levels(spark, store, newest + 1)
+        kept, found_about = load(spark, f"{store}/level={newest}")
+        edges, symbols, members = kept["edges"], kept["symbols"], kept["members"]
+        rows = [tuple(r) for r in found_about["rows"]]
+        start, n = newest + 1, rows[-1][7]
+        if rows[-1][8] and (rows[-1][8] != "max_levels" or start >= max_levels):
+            return spark.createDataFrame(rows, LEVEL), members
+        rows[-1] = (*rows[-1][:8], None)
+    else:
+        nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+        members = materialize(nodes.select("node", F.col("node").alias("owner")), "members")
+        symbols = spark.createDataFrame([], "node long, symbol string")
+        n = members.count()
+    for level in range(start, max_levels):
+        m = edges.count()
         if n < least_nodes:
             rows.append((level, n, m, 0, 0, 0.0, 0.0, n, "min_graph_nodes"))
             break
@@ -233,8 +250,9 @@ def mine(edges: DataFrame, max_levels: int = 3, cap: int = 8, least_support: int
         step = owner.select(F.col("node").alias("owner"), F.col("owner").alias("next"))
         members = materialize(members.join(step, "owner", "left").select("node", F.coalesce("next", "owner").alias("owner")), "members")
         after = members.select("owner").distinct().count()
-        row = (level, n, m, count, total["k"], round(total["raw"], 6), round(total["coded"], 6), after, "no_reduction" if after == n else "max_levels" if level + 1 == max_levels else None)
-        rows.append(row)
+        rows.append((level, n, m, count, total["k"], round(total["raw"], 6), round(total["coded"], 6), after, "no_reduction" if after == n else "max_levels" if level + 1 == max_levels else None))
+        if store:
+            save_level({"edges": edges, "symbols": symbols, "members": members, "types": types, "chosen": chosen}, store, level, about | {"rows": rows})
         if after == n:
             break
         n = after

@@ -69,3 +69,37 @@ def first_passage(edges: DataFrame, pairs: DataFrame, walks: int = 20, max_steps
         hits = hits.union(d)
     rate = hits.groupBy("start", "goal").agg((F.count("*") / walks).alias("hit_rate"), F.avg("steps").alias("mean_steps"))
     return pairs.join(rate, ["start", "goal"], "left").select("start", "goal", F.coalesce("hit_rate", F.lit(0.0)).alias("hit_rate"), "mean_steps")
+
+
+def snapshot(edges: DataFrame, samples: int = 8, seed: int = 7, walks: int = 10, max_steps: int = 12) -> DataFrame:
+    """(metric, value): degree moments and thresholds, mass, spectrum and sampled path measures of a graph.
+
+    Directed weights are added both ways first. Every sampler draws its nodes by its own
+    hash seed, so a measure does not depend on the ones before it.
+    """
+    from ..session import materialize
+    from . import iterative, spectral
+
+    both = edges.filter("src <> dst").select("src", "dst", "weight").union(edges.filter("src <> dst").select("dst", "src", "weight"))
+    both = materialize(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "both")
+    node = materialize(both.groupBy("src").agg(F.count("*").alias("k"), F.sum("weight").alias("s")), "strength")
+    names = node.select(F.col("src").alias("node"))
+    draw = lambda i: iterative.ego_sample(names, seed + i, samples)
+    m = node.agg(F.count("*").alias("n"), F.avg("k").alias("k1"), F.avg(F.col("k") * F.col("k")).alias("k2"), F.max("s").alias("top"), F.sum("s").alias("all")).first()
+    out: dict[str, float | None] = {"nodes": m["n"], "mean_degree": m["k1"], "second_moment": m["k2"]}
+    out["spreading_threshold"] = m["k1"] / m["k2"] if m["k2"] else None
+    out["percolation_threshold"] = m["k1"] / (m["k2"] - m["k1"]) if m["k2"] and m["k2"] > m["k1"] else None
+    out["largest_mass"] = m["top"] / m["all"] if m["all"] else None
+    values, _ = spectral.top_eigenpairs(both, 2)
+    out["spectral_gap"] = float(values[0] - values[1]) if len(values) > 1 else None
+    pairs = draw(0).select(F.col("node").alias("start"), F.lit(0).alias("x")).join(iterative.ego_sample(names, seed + 1, 1).select(F.col("node").alias("goal"), F.lit(0).alias("x")), "x").drop("x").filter("start <> goal")
+    walk = first_passage(both, pairs, walks, max_steps).agg(F.avg("hit_rate").alias("h"), F.avg("mean_steps").alias("m")).first()
+    out["hit_rate"], out["mean_first_passage"] = walk["h"], walk["m"]
+    out["largest_betweenness"] = betweenness(both, draw(2)).agg(F.max("betweenness")).first()[0]
+    near = draw(3).join(both.select(F.col("src").alias("node"), "dst"), "node")
+    ends = near.select("node", F.col("dst").alias("a")).join(near.select("node", F.col("dst").alias("b")), "node").filter("a < b").join(both.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_semi").groupBy("node").agg(F.count("*").alias("t"))
+    share = near.groupBy("node").agg(F.count("*").alias("d")).join(ends, "node", "left").select(F.when(F.col("d") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("c"))
+    out["clustering"] = share.agg(F.avg("c")).first()[0]
+    hops = iterative.bfs_distances(both, draw(4)).filter("hops > 0").agg(F.avg("hops").alias("a"), F.median("hops").alias("b"), F.percentile("hops", 0.95).alias("c")).first()
+    out["mean_path"], out["median_path"], out["p95_path"] = hops["a"], hops["b"], hops["c"]
+    return edges.sparkSession.createDataFrame([(k, None if v is None else round(float(v), 9)) for k, v in out.items()], "metric string, value double")

@@ -236,3 +236,82 @@ def evaluate_transition(edges: DataFrame, labels: DataFrame, times: np.ndarray |
         "r_fine": r, "r_coarse": rc, "subspace": subspace_distance(basis[:, :width], member @ slow_embedding(cvectors, rc)[:, :width]),
         "eigenvalue": float(np.abs(values[1:paired] - cvalues[1:paired]).max()), "full_error": float(full), "slow_error": float(slow), "late_error": float(rest),
     }
+
+
+LAWS = ("linear", "cubic", "tanh")
+LAW_ROW = "level long, law string, fine long, coarse long, r long, beta double, full_error double, late_error double, slow_error double, rank_r_error double, max_state double"
+
+
+def compare_laws(edges: DataFrame, found: DataFrame, targets: list[int], alpha: float = 1.0, gain: float = 1.0, after: float = 0.5, steps: int = 40, step: float = 0.25) -> DataFrame:
+    """``LAW_ROW`` rows: three laws on the levels of a hierarchy (level, node, cluster) nearest to the targets.
+
+    Each level is compared with the next one: the fine law from the perturbations, the
+    coarse one from their block means with the same coupling, lifted back. ``late`` starts at
+    floor(after * steps). Levels over ``DENSE`` nodes raise.
+    """
+    from .iterative import pick_levels
+
+    found = materialize(found, "hierarchy")
+    sizes = {r["level"]: r["n"] for r in found.groupBy("level").agg(F.count_distinct("cluster").alias("n")).collect()}
+    rows = []
+    for level in sorted(pick_levels(sizes, targets)[0]):
+        own = found.filter(F.col("level") == level).select("node", F.col("cluster").alias("c"))
+        a, b = own.select(F.col("node").alias("src"), F.col("c").alias("a")), own.select(F.col("node").alias("dst"), F.col("c").alias("b"))
+        fine = materialize(edges.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")), "fine")
+        up = materialize(own.join(found.filter(F.col("level") == level + 1).select("node", F.col("cluster").alias("label")), "node").select(F.col("c").alias("node"), "label").distinct(), "up")
+        la, lb = up.select(F.col("node").alias("src"), F.col("label").alias("a")), up.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+        ids, s = bounded_matrix(fine)
+        groups, coarse = bounded_matrix(fine.join(la, "src").join(lb, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        of = {r["node"]: r["label"] for r in up.collect()}
+        place = {g: i for i, g in enumerate(groups)}
+        member = np.zeros((len(ids), len(groups)))
+        member[range(len(ids)), [place[of[i]] for i in ids]] = 1
+        values, vectors = (x[..., ::-1] for x in np.linalg.eigh(s))
+        beta = critical_beta(values, alpha)[1]
+        r = slow_mode_count(values, alpha, beta)[0]
+        basis = slow_embedding(vectors, r)
+        starts = list(perturbations(len(ids), np.count_nonzero(s, axis=1)).values())
+        late = math.floor(after * steps)
+        for law in LAWS:
+            x = np.array([nonlinear_dynamics(s, v, law, alpha, beta, gain, step, steps) for v in starts])
+            y = np.array([nonlinear_dynamics(coarse, member.T @ v / member.sum(axis=0), law, alpha, beta, gain, step, steps) for v in starts]) @ member.T
+            whole, kept = float(np.linalg.norm(x)) ** 2, float(np.linalg.norm(x @ basis)) ** 2
+            rank_r = math.sqrt(max(0.0, whole - kept) / whole) if whole else 0.0
+            rows.append((level, law, len(ids), len(groups), r, float(beta), relative_error(x, y), relative_error(x[:, late:], y[:, late:]), relative_error(x @ basis, y @ basis), rank_r, float(np.abs(x).max())))
+    return edges.sparkSession.createDataFrame(rows, LAW_ROW)
+
+
+def perturbation_report(edges: DataFrame, seed: int = 0, alpha: float = 1.0) -> DataFrame:
+    """(kind, r, rmse, nrmse): how much of the linear dynamics of each perturbation the slow modes hold."""
+    ids, s = bounded_matrix(edges)
+    values, vectors = (x[..., ::-1] for x in np.linalg.eigh(s))
+    beta = critical_beta(values, alpha)[1]
+    r = slow_mode_count(values, alpha, beta)[0]
+    rows = []
+    for kind, start in perturbations(len(ids), np.count_nonzero(s, axis=1), seed).items():
+        states = linear_dynamics(values, vectors, start, np.linspace(0, 10, 21), alpha, beta)
+        rows.append((kind, r, *(round(e, 9) for e in reconstruction_error(states, slow_embedding(vectors, r)))))
+    return edges.sparkSession.createDataFrame(rows, "kind string, r int, rmse double, nrmse double")
+
+
+def slow_coordinates(edges: DataFrame, r: int) -> DataFrame:
+    """(id, coords): slow-mode coordinates of all nodes, the first mode dropped by position."""
+    return top_eigenpairs(edges, r + 1)[1].select("id", F.slice("coords", 2, r).alias("coords"))
+
+
+def angles(a: DataFrame, b: DataFrame) -> tuple[np.ndarray, float]:
+    """(principal angles in degrees, subspace distance) of two (id, coords) bases on the ids of both.
+
+    Only the small matrices of inner products reach the driver.
+    """
+    j = materialize(a.select("id", F.col("coords").alias("x")).join(b.select("id", F.col("coords").alias("y")), "id"), "bases")
+    one = j.select(F.size("x").alias("n"), F.size("y").alias("m")).first()
+
+    def inner(p: str, n: int, q: str, m: int) -> np.ndarray:
+        row = j.agg(*[F.sum(F.col(p)[i] * F.col(q)[k]).alias(f"g{i}_{k}") for i in range(n) for k in range(m)]).first()
+        return np.array(list(row), float).reshape(n, m)
+
+    whiten = lambda g: np.linalg.inv(np.linalg.cholesky(g)).T
+    left, right = whiten(inner("x", one["n"], "x", one["n"])), whiten(inner("y", one["m"], "y", one["m"]))
+    s = np.clip(np.linalg.svd(left.T @ inner("x", one["n"], "y", one["m"]) @ right, compute_uv=False), 0, 1)
+    return np.degrees(np.arccos(s)), float(math.sqrt(max(0.0, float(np.sum(1 - s**2)))))

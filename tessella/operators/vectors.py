@@ -117,9 +117,13 @@ def knn_under_exclusion(knn: DataFrame, kept: DataFrame, k: int) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("distance", "nbr"))).filter(F.col("rank") <= k).select("id", "rank", "nbr", "distance")
 
 
-def wishart_sweep(ids: np.ndarray, radius: np.ndarray, neighbours: dict[int, list[int]], significance: float, least_size: int) -> dict[int, int]:
-    """Labels (-1 noise) by a density sweep over points in (radius, id) order."""
-    density = dict(zip(ids.tolist(), (-np.log(np.maximum(radius, 1e-12))).tolist(), strict=True))
+def wishart_sweep(ids: np.ndarray, radius: np.ndarray, neighbours: dict[int, list[int]], significance: float, least_size: int, weight: np.ndarray | None = None) -> dict[int, int]:
+    """Labels (-1 noise) by a sweep over points by falling density, ties by id.
+
+    The density is the weight (1 unless given) over the radius, in logarithms.
+    """
+    mass = np.zeros(len(ids)) if weight is None else np.log(np.maximum(np.asarray(weight, float), 1e-12))
+    density = dict(zip(ids.tolist(), (mass - np.log(np.maximum(radius, 1e-12))).tolist(), strict=True))
     label: dict[int, int] = {}
     peak: dict[int, float] = {}
     closed: set[int] = set()
@@ -159,9 +163,11 @@ def wishart_sweep(ids: np.ndarray, radius: np.ndarray, neighbours: dict[int, lis
     return {p: (c if c > 0 and sizes[c] >= least_size else -1) for p, c in final.items()}
 
 
-def wishart_clusters(knn: DataFrame, k: int, significance: float = 0.7, least_size: int = 3) -> DataFrame:
+def wishart_clusters(knn: DataFrame, k: int, significance: float = 0.7, least_size: int = 3, weights: DataFrame | None = None) -> DataFrame:
     """(id, label) by density; label is the smallest id of the cluster, -1 for noise.
 
+    ``weights`` (id, weight) scale the densities.
+
     The sweep follows neighbour links only, so it runs on its own in each component of the
     neighbour graph; a component must fit one task.
     """
@@ -169,6 +175,7 @@ def wishart_clusters(knn: DataFrame, k: int, significance: float = 0.7, least_si
 
     graph = knn.filter(F.col("rank") <= k)
     radius = graph.groupBy("id").agg(F.max("distance").alias("radius"), F.sort_array(F.collect_list("nbr")).alias("nbrs"))
+    radius = radius.withColumn("weight", F.lit(1.0)) if weights is None else radius.join(weights.select("id", F.col("weight").cast("double").alias("weight")), "id")
     labels = component_labels(graph.select(F.col("id").alias("node")), graph.select(F.col("id").alias("src"), F.col("nbr").alias("dst")))
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -177,7 +184,7 @@ def wishart_clusters(knn: DataFrame, k: int, significance: float = 0.7, least_si
             for j in nbrs:
                 links.setdefault(int(i), set()).add(int(j))
                 links.setdefault(int(j), set()).add(int(i))
-        got = wishart_sweep(pdf["id"].to_numpy(), pdf["radius"].to_numpy(), {k_: sorted(v) for k_, v in links.items()}, significance, least_size)
+        got = wishart_sweep(pdf["id"].to_numpy(), pdf["radius"].to_numpy(), {k_: sorted(v) for k_, v in links.items()}, significance, least_size, pdf["weight"].to_numpy())
         out = pd.DataFrame({"id": list(got), "c": list(got.values())})
         first = out[out.c >= 0].groupby("c")["id"].min()
         out["label"] = [int(first[c]) if c >= 0 else -1 for c in out.c]

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.relational import OPERATORS
 from ..sources.tables import INPUTS, UNIT_DUCK, UNIT_SPARK
@@ -75,7 +76,6 @@ def _js_sql(histograms: str, k: int) -> str:
 def _more() -> None:
     """Queries whose operators are loops, arrays or streams; SQL where it can express them."""
     import numpy as np
-    from pyspark.sql import functions as F
 
     from ..operators import coding, components, iterative, motifs, samplers, spectral, text, transport, vectors
     from ..session import materialize
@@ -200,24 +200,25 @@ def _more() -> None:
     add("j18_concept_contexts", lambda s, d: text.contexts(of(s, d, "corpus"), "license"))
     add("st1_stream_window_counts", _stream_counts, "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 
-    def lines(s: SparkSession, d: str) -> DataFrame:
-        e = of(s, d, "assertions")
-        weight = F.when(F.col("line") == 7, F.lit('"x"')).when(F.col("line") == 6, F.lit("true")).otherwise(F.col("weight").cast("string"))
-        meta = F.concat(F.lit('{"weight": '), weight, F.lit(', "dataset": "'), F.col("dataset"), F.lit('", "sources": ["/s/a"]}'))
-        fields = [F.concat(F.lit("/a/"), F.col("relation")), F.concat(F.lit("/r/"), F.col("relation")), F.col("start_uri"), F.col("end_uri")]
-        value = F.when(F.col("line") == 5, F.concat_ws("\t", *fields)).otherwise(F.concat_ws("\t", *fields, meta))
-        return e.select(F.monotonically_increasing_id().alias("line_no"), value.alias("value"))
-
-    add("sc2_a36_parse_report", lambda s, d: assertions.report(lines(s, d), language="en", relations={"AF", "RO"}, min_weight=10.0, datasets={"O"}), oracle("select reason, count(*) as n from (select case when line = 5 then 'invalid' when line in (6, 7) then 'invalid_weight' when relation not in ('AF', 'RO') then 'relation' when weight < 10 then 'min_weight' when dataset <> 'O' then 'dataset' else 'accepted' end as reason from {assertions}) t group by reason"))
+    add("sc2_a36_parse_report", lambda s, d: assertions.report(assertion_lines(s, d), language="en", relations={"AF", "RO"}, min_weight=10.0, datasets={"O"}), oracle("select reason, count(*) as n from (select case when line = 5 then 'invalid' when line in (6, 7) then 'invalid_weight' when relation not in ('AF', 'RO') then 'relation' when weight < 10 then 'min_weight' when dataset <> 'O' then 'dataset' else 'accepted' end as reason from {assertions}) t group by reason"))
     add("pf12_node_tokens", lambda s, d: of(s, d, "assertions").select("start_uri", F.array_join(assertions.node_tokens(F.col("start_uri")), " ").alias("tokens")).distinct(), oracle("select distinct start_uri, 'part' as tokens from {assertions}"))
 
 
+def assertion_lines(s: SparkSession, d: str) -> DataFrame:
+    """(line_no, value): assertions as raw lines, some of them malformed; sources come in all forms."""
+    e = inputs(s, d, "{assertions}")["assertions"]
+    weight = F.when(F.col("line") == 7, F.lit('"x"')).when(F.col("line") == 6, F.lit("true")).otherwise(F.col("weight").cast("string"))
+    sources = F.when(F.col("line") == 1, F.lit('"/s/a"')).when(F.col("line") == 2, F.lit('{"by": "/s/b", "n": 3}')).when(F.col("line") == 3, F.lit("7")).otherwise(F.lit('["/s/a", 1, "/s/c"]'))
+    meta = F.concat(F.lit('{"weight": '), weight, F.lit(', "dataset": "'), F.col("dataset"), F.lit('", "sources": '), sources, F.lit("}"))
+    fields = [F.concat(F.lit("/a/"), F.col("relation")), F.concat(F.lit("/r/"), F.col("relation")), F.col("start_uri"), F.col("end_uri")]
+    value = F.when(F.col("line") == 5, F.concat_ws("\t", *fields)).otherwise(F.concat_ws("\t", *fields, meta))
+    return e.select(F.monotonically_increasing_id().alias("line_no"), value.alias("value"))
+
+
 def _stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windowed counts of the events, read as a stream from a folder of files."""
     import uuid
 
-    from pyspark.sql import functions as F
-
     from ..session import scratch_dir
     from ..streaming import incremental
 
@@ -228,3 +229,7 @@ def _stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _more()
+
+from . import composed  # noqa: E402  (it registers into the tables above)
+
+composed.register()

@@ -76,6 +76,21 @@ def node_tokens(uri: Column) -> Column:
     return F.when(language_of(uri) == "en", tokens).otherwise(F.array().cast("array<string>"))
 
 
+def _strings(values: Column) -> Column:
+    return F.transform(F.filter(values, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+
+
+def flat_sources(metadata: Column) -> Column:
+    """Sources as an array: a string alone, the strings of a list, or the string values of an object; else null."""
+    found = F.try_variant_get(metadata, "$.sources", "variant")
+    kind = F.schema_of_variant(found)
+    return (
+        F.when(kind == "STRING", F.array(F.try_variant_get(metadata, "$.sources", "string")))
+        .when(kind.startswith("ARRAY"), _strings(F.try_variant_get(metadata, "$.sources", "array<variant>")))
+        .when(kind.startswith("OBJECT"), _strings(F.map_values(F.try_variant_get(metadata, "$.sources", "map<string,variant>"))))
+    )
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """Fields of each line and ``reason``: null, ``invalid`` or ``invalid_weight``.
 
@@ -87,11 +102,10 @@ def parse(lines: DataFrame) -> DataFrame:
     kind = F.schema_of_variant(F.try_variant_get(variant, "$.weight", "variant"))
     numeric = kind.rlike("^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$")
     weight = F.when(numeric, F.try_variant_get(variant, "$.weight", "double"))
-    sources = F.try_variant_get(variant, "$.sources", "array<string>")
     rows = lines.select(
         "*", F.size(parts).alias("n"), *[F.get(parts, F.lit(i)).alias(f) for i, f in enumerate(FIELDS[:4])],
         variant.isNotNull().alias("json_ok"), weight.alias("weight"),
-        F.try_variant_get(variant, "$.dataset", "string").alias("dataset"), F.coalesce(sources, F.when(F.try_variant_get(variant, "$.sources", "string").isNotNull(), F.array(F.try_variant_get(variant, "$.sources", "string")))).alias("sources"),
+        F.try_variant_get(variant, "$.dataset", "string").alias("dataset"), flat_sources(variant).alias("sources"),
         F.try_variant_get(variant, "$.license", "string").alias("license"),
     )
     finite = F.col("weight").isNotNull() & ~F.isnan("weight") & (F.abs("weight") < float("inf"))

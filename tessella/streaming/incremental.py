@@ -34,3 +34,28 @@ def run_to_end(df: DataFrame) -> DataFrame:
     query = df.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{scratch_dir(spark)}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
+
+
+def running_report(lines: DataFrame, **filters) -> DataFrame:
+    """(reason, n) of a stream of assertion lines: the running form of ``assertions.report``."""
+    from ..sources import assertions
+
+    return assertions.report(lines.withColumn("line_no", F.lit(0).cast("long")), **filters)
+
+
+def upsert_counts(stream: DataFrame, key: str, folder: str) -> None:
+    """Keep counts of ``key`` for a stream in ``folder``, a Parquet part for each batch of files.
+
+    A part is named after its batch and rewritten when the batch is run again, so a restart
+    neither loses nor repeats rows. ``read_counts`` adds the parts.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy(key).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/parts/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def read_counts(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/parts").groupBy(key).agg(F.sum("n").alias("n"))
