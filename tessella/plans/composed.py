@@ -33,12 +33,17 @@ def _quotient(s: SparkSession, d: str) -> DataFrame:
     return materialize(run_sql(s, sql, **catalog.inputs(s, d, sql)), "quotient")
 
 
+def _strong(s: SparkSession, d: str) -> DataFrame:
+    """The strong edges as a typed graph: its egos are small, so shapes recur."""
+    return _of(s, d, "sparse").select("src", "dst", "relation", F.col("weight").cast("double").alias("weight"))
+
+
 def _egos(s: SparkSession, d: str) -> DataFrame:
-    return materialize(motifs.ego_graphs(_typed(s, d), s.createDataFrame([], "node long, symbol string"), 8), "egos")
+    return materialize(motifs.ego_graphs(_strong(s, d), s.createDataFrame([], "node long, symbol string"), 8), "egos")
 
 
 def _relations(s: SparkSession, d: str) -> list[str]:
-    return sorted(r["relation"] for r in _typed(s, d).select("relation").distinct().collect())
+    return sorted(r["relation"] for r in _strong(s, d).select("relation").distinct().collect())
 
 
 # stores and scans
@@ -101,7 +106,7 @@ def pool(s: SparkSession, d: str) -> DataFrame:
 
 
 def growth(s: SparkSession, d: str) -> DataFrame:
-    return iterative.best_first_growth(*_degrees(s, d, "sparse"), 20, 3.0)
+    return iterative.best_first_growth(*_degrees(s, d, "directed"), 40, 100.0)
 
 
 def free_matching(s: SparkSession, d: str) -> DataFrame:
@@ -165,7 +170,7 @@ def selection(s: SparkSession, d: str) -> DataFrame:
     found = materialize(motifs.shaped(egos), "shaped")
     types = materialize(motifs.registry(found), "types")
     bits = coding.huffman_lengths({r["type"]: r["support"] for r in types.collect()})
-    n = _typed(s, d).select("src").union(_typed(s, d).select("dst")).distinct().count()
+    n = _strong(s, d).select("src").union(_strong(s, d).select("dst")).distinct().count()
     good = motifs.gains(found, types, n, len(_relations(s, d)), bits).filter("gain > 0")
     return motifs.select_disjoint(good.select("center", "density", "gain", "type", "nodes")).select("center", "type", F.round("gain", 6).alias("gain"))
 
@@ -173,8 +178,8 @@ def selection(s: SparkSession, d: str) -> DataFrame:
 def mined_in_two_runs(s: SparkSession, d: str) -> DataFrame:
     """Mining stopped after one level and taken up again from its store."""
     path = _folder(s, "mining")
-    motifs.mine(_typed(s, d), max_levels=1, cap=6, store=path)
-    return motifs.mine(_typed(s, d), max_levels=2, cap=6, store=path)[0]
+    motifs.mine(_strong(s, d), max_levels=1, cap=6, store=path)
+    return motifs.mine(_strong(s, d), max_levels=2, cap=6, store=path)[0]
 
 
 def vector_families(s: SparkSession, d: str) -> DataFrame:
