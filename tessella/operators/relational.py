@@ -26,7 +26,6 @@ OPERATORS: dict[str, str] = {
     "pf16_plateau_gate": "select level, {reasons} as reasons from {transitions}",
     "pf17_sweep_gate": "select level from {transitions} where reduction >= 0.10 and r_fine = r_coarse and subspace <= 0.25 and trajectory <= 0.25 and eigenvalue <= 0.05",
     # joins
-    "j1_dense_index": "with n as (select uri, row_number() over (order by uri) - 1 as id from (select start_uri as uri from {assertions} union select end_uri from {assertions}) t) select a.id as src, b.id as dst, round(sum(weight), 6) as weight from {assertions} e join n a on e.start_uri = a.uri join n b on e.end_uri = b.uri group by a.id, b.id",
     "j2_induced_subgraph": "select src, dst, relation, weight from {directed} where src in (select fine from {mapping} where coarse % 2 = 0) and dst in (select fine from {mapping} where coarse % 2 = 0)",
     "j3_edge_embedding_distance": "select e.src, e.dst, round(sqrt(greatest(@dot(a.v; a.v) + @dot(b.v; b.v) - 2 * @dot(a.v; b.v), 0)), 6) as distance from {sparse_pairs} e join {vectors} a on a.id = e.src % 499 join {vectors} b on b.id = e.dst % 499",
     "j5_quotient": "select a.coarse as src, b.coarse as dst, round(sum(e.weight), 6) as weight from {both} e join {mapping} a on e.src = a.fine join {mapping} b on e.dst = b.fine group by a.coarse, b.coarse",
@@ -47,7 +46,7 @@ OPERATORS: dict[str, str] = {
     "a5_strength": "select src as id, round(sum(weight), 6) as strength, count(*) as degree from {both} group by src",
     "a6_log_degree": "select uri, round(sum(w), 6) as degree from (select start_uri as uri, ln(1 + weight) as w from {assertions} union all select end_uri, ln(1 + weight) from {assertions}) t group by uri",
     "a7_degree_moments": "select round(avg(k), 6) as k1, round(avg(k * k), 6) as k2, round(avg(k) / nullif(avg(k * k), 0), 9) as spreading, round(case when avg(k * k) > avg(k) then avg(k) / (avg(k * k) - avg(k)) end, 9) as percolation from (select src, count(*) * 1.0 as k from {both} where src <> dst group by src) t",
-    "a8_stationary_mass": "select id, round(s / sum(s) over (), 9) as mass from (select src as id, sum(weight) as s from {both} group by src) t",
+    "a8_stationary_mass": "select id, round(s / (select sum(weight) from {both}), 9) as mass from (select src as id, sum(weight) as s from {both} group by src) t",
     "a9_supernode_sizes": "select coarse, count(*) as size, round(count(*) * 1.0 / sum(count(*)) over (), 9) as mass from {mapping} group by coarse",
     "a10_mean_density": "with z as (select coarse, count(*) as n from {mapping} group by coarse) select a.coarse as src, b.coarse as dst, round(sum(e.weight) / (min(x.n) * min(y.n)), 9) as density from {both} e join {mapping} a on e.src = a.fine join {mapping} b on e.dst = b.fine join z x on x.coarse = a.coarse join z y on y.coarse = b.coarse group by a.coarse, b.coarse",
     "a11_cluster_transitions": "select a, b, relation, round(w, 6) as flow, round(w / sum(w) over (partition by a), 9) as exit_probability from (select m.coarse as a, n.coarse as b, e.relation, sum(e.weight) as w from {directed} e join {mapping} m on e.src = m.fine join {mapping} n on e.dst = n.fine where m.coarse <> n.coarse group by m.coarse, n.coarse, e.relation) t",
@@ -68,7 +67,7 @@ OPERATORS: dict[str, str] = {
     "a29_document_frequency": "with w as (select distinct doc_id, token from (select doc_id, @tokens(text) as token from {corpus}) t where length(token) > 2) select token, df, round(df * 1.0 / sum(df) over (), 9) as share from (select token, count(*) as df from w group by token) q order by df desc, token limit 200",
     "a30_entity_frequency": "select name, count(*) as n from (select @tokens(split_part(text, '.', 1)) as name, doc_id from {corpus}) t where length(name) > 4 group by name having count(*) >= 3",
     "a31_concept_max_merge": "select text, max(score) as score from (select p_brand as text, cast(max(p_size) as double) as score from {part} group by p_brand union all select p_type, cast(max(p_size) / 2 as double) from {part} group by p_type) t group by text order by score desc, text limit 40",
-    "a33_hubness": "with c as (select i, sum(x) as total from {unit_elements} e group by i), s as (select e.id, sum(e.x * c.total) - sum(e.x * e.x) as t from {unit_elements} e join c on c.i = e.i group by e.id) select id, round(t / max(t) over (), 6) as hubness from s",
+    "a33_hubness": "with c as (select i, sum(x) as total from {unit_elements} e group by i), s as (select e.id, sum(e.x * c.total) - sum(e.x * e.x) as t from {unit_elements} e join c on c.i = e.i group by e.id) select id, round(t / (select max(t) from s), 6) as hubness from s",
     "a34_grid_binning": "select gx, gy, round(avg(w), 6) as mean_w, count(*) as n from (select floor(src * 8.0 / 2001) as gx, floor((dst - 1000000) * 8.0 / 101) as gy, weight as w from {directed}) t group by gx, gy",
     "a35_mode_localisation": "select round(sum(pow(x, 4)) / pow(sum(x * x), 2), 9) as ipr, round(pow(sum(x * x), 2) / sum(pow(x, 4)), 6) as participation, round(corr(abs(x), d), 6) as degree_correlation from (select s.x, count(*) * 1.0 as d from {state} s join {both} e on e.src = s.id group by s.id, s.x) t",
     # windows
@@ -81,7 +80,6 @@ OPERATORS: dict[str, str] = {
     "w8_rank_paired_spectra": "with a as (select row_number() over (order by lam desc, k) as r, lam from {spectrum}), b as (select row_number() over (order by x desc, id) as r, x as lam from {state} where id >= 1000000) select a.r, round(abs(a.lam - b.lam), 6) as error from a join b on a.r = b.r where a.r > 1",
     # sort, limit, top-k
     "t1_uri_node_cap": "select start_uri as uri from (select distinct start_uri from {assertions}) t order by uri limit 500",
-    "t2_candidate_sort": "select row_number() over (order by w, src, dst) as place, src, dst, round(w, 6) as distance from (select src, dst, 1 / sum(weight) as w from {sparse} group by src, dst) t",
     "t3_degree_pool": "select id, round(s, 6) as degree from (select src as id, sum(ln(1 + weight)) as s from {both} group by src) t order by round(s, 6) desc, id limit 300",
     "t5_top_hubs": "select src as id, count(*) as degree from {both} group by src order by degree desc, id limit 25",
     "t6_vector_search": "select id, round(s, 6) as similarity from (select b.id, @dot(a.v; b.v) / sqrt(@dot(a.v; a.v) * @dot(b.v; b.v)) as s from {vectors} a join {vectors} b on a.id = 0) t order by round(s, 9) desc, id limit 10",
@@ -102,11 +100,10 @@ OPERATORS: dict[str, str] = {
     "g8_hash_sample": "select id from (select distinct src as id, md5('seed7|' || cast(src as varchar(20))) as h from {directed}) t order by h, id limit 100",
     "g11_clustering_coefficient": "with e as (select distinct least(src, dst) as a, greatest(src, dst) as b from (select src % 60 as src, dst % 60 as dst from {records}) t where src <> dst), s as (select a as u, b as v from e union all select b, a from e), d as (select u, count(*) as k from s group by u), t as (select x.u, count(*) as n from s x join s y on x.u = y.u and x.v < y.v join e on e.a = x.v and e.b = y.v group by x.u) select d.u as node, round(case when k < 2 then 0.0 else 2.0 * coalesce(n, 0) / (k * (k - 1)) end, 6) as coefficient from d left join t on t.u = d.u",
     "g15_normalized_laplacian": "with d as (select src as id, sum(weight) as degree from {both} group by src) select e.src, e.dst, round(case when e.src = e.dst then 1.0 else 0.0 end - e.weight / sqrt(a.degree * b.degree), 9) as l from {both} e join d a on e.src = a.id join d b on e.dst = b.id where a.degree > 0 and b.degree > 0",
-    "g27_partition_finalisation": "select fine, dense_rank() over (order by least_fine) - 1 as cluster from (select fine, min(fine) over (partition by coarse) as least_fine from {mapping}) t",
     "g28_symmetric_quotient": "select src, dst, round(sum(w) / 2, 6) as weight from (select a.coarse as src, b.coarse as dst, e.weight as w from {directed} e join {mapping} a on e.src = a.fine join {mapping} b on e.dst = b.fine union all select b.coarse, a.coarse, e.weight from {directed} e join {mapping} a on e.src = a.fine join {mapping} b on e.dst = b.fine) t group by src, dst having sum(w) <> 0",
     "g29_directed_quotient": "select e.relation, a.coarse as src, b.coarse as dst, round(sum(e.weight), 6) as weight from {directed} e join {mapping} a on e.src = a.fine join {mapping} b on e.dst = b.fine group by e.relation, a.coarse, b.coarse",
     "g33_trajectory_error": "select round(sqrt(sum((s.x - m.mean_x) * (s.x - m.mean_x))) / sqrt(sum(s.x * s.x)), 9) as relative_error from {state} s join {mapping} p on s.id = p.fine join (select coarse, avg(x) as mean_x from {state} s join {mapping} p on s.id = p.fine group by coarse) m on m.coarse = p.coarse",
-    "g35_post_transient_error": "select round(sqrt(sum(value * value)) , 6) as energy, min(event_id) as start_id from (select value, event_id, event_id * 1.0 / max(event_id) over () as t from {events}) q where t >= 0.5",
+    "g35_post_transient_error": "select round(sqrt(sum(value * value)) , 6) as energy, min(event_id) as start_id from (select value, event_id, event_id * 1.0 / (select max(event_id) from {events}) as t from {events}) q where t >= 0.5",
     "g39_membership_composition": "select o.r_name as root, @agg(n.n_name; '|') as members, count(*) as n from {nation} n join {region} o on n.n_regionkey = o.r_regionkey group by o.r_name",
     "g41_ring_of_rings": "select b * 10 + i as src, b * 10 + (i + d) % 10 as dst, 1.0 as weight from (select i as b from @range(8)) x cross join @range(10) y cross join (select i + 1 as d from @range(2)) z union all select b * 10, ((b + 1) % 8) * 10, 0.01 from (select i as b from @range(8)) x",
     "g42_circulant_control": "select i as src, (i + d) % 80 as dst, 1.0 as weight from @range(80) x cross join (select i + 1 as d from @range(2)) z union all select i, (i * 37 + 11) % 80, 1.0 from @range(80) x where i % 8 = 0",
@@ -121,12 +118,11 @@ OPERATORS: dict[str, str] = {
     "m24_edge_partition": "with nb as (select distinct src as u, dst as v from {records} where src <> dst union select distinct dst, src from {records} where src <> dst), dg as (select u, count(*) as k from nb group by u), lp as (select distinct src as u from {records} where src = dst) select r.edge_id, case when a.figure is not null and a.figure = b.figure then 'W' when r.src <> r.dst and ls.u is null and ld.u is null and x.k = 1 and y.k = 1 then 'I' when r.src <> r.dst and ls.u is null and ld.u is null and (x.k = 1 or y.k = 1) then 'S' else 'R' end as part from {records} r left join {figures} a on a.node = r.src left join {figures} b on b.node = r.dst left join dg x on x.u = r.src left join dg y on y.u = r.dst left join lp ls on ls.u = r.src left join lp ld on ld.u = r.dst",
     "m25_pair_shapes": "with p as (select least(src, dst) as a, greatest(src, dst) as b, @agg(case when src < dst then '>' else '<' end || relation; ',') as shape from {records} where src <> dst group by least(src, dst), greatest(src, dst)) select shape, count(*) as support from p group by shape having count(*) >= 3",
     "m31_boundary_connections": "select r.edge_id, r.src, r.dst from {records} r left join {figures} a on a.node = r.src left join {figures} b on b.node = r.dst where (a.figure is not null or b.figure is not null) and coalesce(a.figure, -1) <> coalesce(b.figure, -2)",
-    "m32_stationary_variation": "select round(sum(abs(a.m - b.m)) / 2, 9) as tv from (select src, sum(weight) / sum(sum(weight)) over () as m from {both} group by src) a join (select src, count(*) * 1.0 / sum(count(*)) over () as m from {both} group by src) b on a.src = b.src",
+    "m32_stationary_variation": "select round(sum(abs(a.m - b.m)) / 2, 9) as tv from (select src, sum(weight) / (select sum(weight) from {both}) as m from {both} group by src) a join (select src, count(*) * 1.0 / (select count(*) from {both}) as m from {both} group by src) b on a.src = b.src",
     "m33_vector_alignment": "select label, i, round(avg(x), 6) as mean_x from {unit_elements} where i <= 4 group by label, i",
     "m35_relation_signature": "select src, dst, @agg(relation; '|') as signature from (select distinct src, dst, relation from {records}) t group by src, dst",
     # text
     "l1_sentence_tokens": "select doc_id, count(*) as tokens, count(distinct token) as kinds from (select doc_id, @tokens(text) as token from {corpus}) t where token not in ('the', 'of', 'and', 'to', 'in', 'is', 'a') group by doc_id",
-    "l4_graphon_grid": "with d as (select src as id, row_number() over (order by count(*) desc, src) - 1 as r, count(*) over () as n from {both} group by src) select floor(a.r * 16.0 / a.n) as gx, floor(b.r * 16.0 / b.n) as gy, round(sum(e.weight), 6) as w from {both} e join d a on a.id = e.src join d b on b.id = e.dst group by floor(a.r * 16.0 / a.n), floor(b.r * 16.0 / b.n)",
 }
 #: Reasons of the plateau gate, in order; a missing metric fails.
 REASONS = "case when r_fine <> r_coarse then 'r_instability;' else '' end || case when reduction < 0.10 - 1e-12 then 'insufficient_reduction;' else '' end || case when subspace is null or subspace > 0.25 then 'subspace;' else '' end || case when trajectory is null or trajectory > 0.25 then 'trajectory;' else '' end || case when eigenvalue is null or eigenvalue > 0.05 then 'eigenvalue;' else '' end"

@@ -11,6 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+SWEEP_POINTS = 1_000_000
+
+
 def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     def unit(m: np.ndarray) -> np.ndarray:
         norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -169,14 +172,19 @@ def wishart_clusters(knn: DataFrame, k: int, significance: float = 0.7, least_si
     ``weights`` (id, weight) scale the densities.
 
     The sweep follows neighbour links only, so it runs on its own in each component of the
-    neighbour graph; a component must fit one task.
+    neighbour graph. It takes points one by one, so a component must fit one task: over
+    ``SWEEP_POINTS`` points it raises before any is collected.
     """
+    from ..session import materialize
     from .iterative import component_labels
 
     graph = knn.filter(F.col("rank") <= k)
     radius = graph.groupBy("id").agg(F.max("distance").alias("radius"), F.sort_array(F.collect_list("nbr")).alias("nbrs"))
     radius = radius.withColumn("weight", F.lit(1.0)) if weights is None else radius.join(weights.select("id", F.col("weight").cast("double").alias("weight")), "id")
     labels = component_labels(graph.select(F.col("id").alias("node")), graph.select(F.col("id").alias("src"), F.col("nbr").alias("dst")))
+    labels = materialize(labels, "components")
+    if (labels.groupBy("root").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > SWEEP_POINTS:
+        raise ValueError(f"a component of the neighbour graph has over {SWEEP_POINTS} points: take a smaller k")
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
         links: dict[int, set[int]] = {}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import coding, components, families, iterative, motifs, samplers, spectral, text, vectors
+from ..operators import coding, components, families, indexing, iterative, motifs, samplers, spectral, text, vectors
 from ..operators.relational import OPERATORS
 from ..session import materialize, scratch_dir
 from ..sources import assertions, store
@@ -257,8 +257,17 @@ BUNDLE = "select reason, count(*) as n from (select " + RULES + " when relation
 SOURCES = "select case line when 1 then '/s/a' when 2 then '/s/b' when 3 then 'none' else '/s/a,/s/c' end as sources, count(*) as n from {assertions} where line not in (5, 6, 7) group by 1"
 WORDS = "select 'w' || label as word, round(arg_min(v[1]::double / sqrt(list_inner_product(v::double[], v::double[])), id), 4) as x1 from {vectors} where label <> 0 group by label"
 
+J1_DENSE_INDEX = "with n as (select uri, row_number() over (order by uri) - 1 as id from (select start_uri as uri from {assertions} union select end_uri from {assertions}) t) select a.id as src, b.id as dst, round(sum(weight), 6) as weight from {assertions} e join n a on e.start_uri = a.uri join n b on e.end_uri = b.uri group by a.id, b.id"
+T2_CANDIDATE_SORT = "select row_number() over (order by w, src, dst) as place, src, dst, round(w, 6) as distance from (select src, dst, 1 / sum(weight) as w from {sparse} group by src, dst) t"
+G27_PARTITION_FINALISATION = "select fine, dense_rank() over (order by least_fine) - 1 as cluster from (select fine, min(fine) over (partition by coarse) as least_fine from {mapping}) t"
+L4_GRAPHON_GRID = "with d as (select src as id, row_number() over (order by count(*) desc, src) - 1 as r, count(*) over () as n from {both} group by src) select floor(a.r * 16.0 / a.n) as gx, floor(b.r * 16.0 / b.n) as gy, round(sum(e.weight), 6) as w from {both} e join d a on a.id = e.src join d b on b.id = e.dst group by floor(a.r * 16.0 / a.n), floor(b.r * 16.0 / b.n)"
+
 #: name: (query, SQL or None)
 FOUND = {
+    "j1_dense_index": (lambda s, d: indexing.indexed_edges(_of(s, d, "assertions")), J1_DENSE_INDEX),
+    "t2_candidate_sort": (lambda s, d: indexing.sorted_candidates(_of(s, d, "sparse")), T2_CANDIDATE_SORT),
+    "g27_partition_finalisation": (lambda s, d: indexing.finalised(_of(s, d, "mapping")), G27_PARTITION_FINALISATION),
+    "l4_graphon_grid": (lambda s, d: indexing.graphon_grid(_of(s, d, "both")), L4_GRAPHON_GRID),
     "sc7_edge_records": (level_edges, "select row_number() over (order by relation, src, dst) - 1 as edge_id, relation, src, dst, weight from {directed}"),
     "sc6_sk1_stored_graph": (stored_graph, "select 'directed' as kind, count(*) as edges, round(sum(weight), 2) as weight from {directed}"),
     "sc1_sc3_row_limit": (row_limit, "select least(count(*), 1000) as n, 0 as first, least(count(*), 1000) - 1 as last from {assertions}"),
@@ -292,8 +301,7 @@ FOUND = {
 }
 
 
-def register() -> None:
-    for name, (query, sql) in FOUND.items():
-        catalog.QUERIES[name] = query
-        if sql:
-            catalog.ORACLES[name] = catalog.oracle(sql)
+for _name, (_query, _sql) in FOUND.items():
+    catalog.QUERIES[_name] = _query
+    if _sql:
+        catalog.ORACLES[_name] = catalog.oracle(_sql)
