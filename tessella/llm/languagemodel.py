@@ -4,10 +4,10 @@ Documents whose crc32(doc_id as text) mod 10 is not 0 train the model. Word coun
 all of them. The network knows the ``WORDS`` most frequent words; any other is a token of
 the rare class, whose members share its probability as the smoothed counts do, so the
 model is a proper distribution over all texts. It starts at the counts (output biases)
-and is trained by truncated backpropagation on a fixed share of the training documents,
-1 in ``TRAIN_ONE_IN``, which grows with the corpus: every task trains a replica from the
-same start, replicas are averaged by tokens, for ``ROUNDS`` rounds. A document's state
-starts at zero and is carried across windows to its end.
+and is trained by truncated backpropagation in one pass over all training documents, dealt
+over ``ROUNDS`` rounds: in each, every task trains a replica from the same start on its
+share, and replicas are averaged by tokens. A document's state starts at zero and is
+carried across windows to its end.
 
 Counts of the ``LOOKUP`` most frequent words are sent to all tasks (a fixed bound); words
 beyond them are joined with the counts table, which never holds a hot key.
@@ -40,7 +40,6 @@ PER_CLASS = 64
 WORDS = CLASSES * PER_CLASS
 LOOKUP = 65_536
 SMOOTHING = 0.1
-TRAIN_ONE_IN = 16
 ROUNDS = 2
 REPLICAS_PER_AVERAGE = 16
 LANES = 64
@@ -176,35 +175,44 @@ class Network:
 
     def _window(self, target: np.ndarray, first: np.ndarray, state: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p, h = self.p, HIDDEN
-        steps, word = [], last
+        words, word = np.empty(target.shape, np.int64), last
         for t in range(len(target)):
-            state = np.where(first[t][:, None], np.float32(0), state)
-            word = np.where(first[t], START, word)
-            after, z, r, n = self.step(word, state)
-            steps.append((word, state, z, r, n, after))
-            state, word = after, np.where(target[t] >= 0, target[t], word)
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
-        outputs = self._output_gradient(np.concatenate([s[5] for s in steps]), target.ravel(), grads).reshape(len(target), -1, h)
-        back = np.zeros_like(state)
+            words[t] = word = np.where(first[t], START, word)
+            word = np.where(target[t] >= 0, target[t], word)
+        inputs, u, un = p["x"][words], p["u"][:, : 2 * h], p["u"][:, 2 * h :]
+        live = (~first).astype(state.dtype)[:, :, None]
+        before, after, zr, n = (np.empty((*target.shape, k), inputs.dtype) for k in (h, h, 2 * h, h))
+        for t in range(len(target)):
+            before[t] = state * live[t]
+            zr[t] = _sigmoid(inputs[t, :, : 2 * h] + before[t] @ u)
+            n[t] = np.tanh(inputs[t, :, 2 * h :] + (zr[t, :, h:] * before[t]) @ un)
+            state = after[t] = n[t] + zr[t, :, :h] * (before[t] - n[t])
+        grads = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
+        outputs = self._output_gradient(after.reshape(-1, h), target.ravel(), grads).reshape(after.shape)
+        z, r = zr[:, :, :h], zr[:, :, h:]
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), before * r * (1 - r)
+        gates, back = np.empty_like(inputs), np.zeros_like(state)
         for t in range(len(target) - 1, -1, -1):
-            word_t, before, z, r, n, _ = steps[t]
             d = back + outputs[t]
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            drh = dn @ p["u"][:, 2 * h :].T
-            dr = drh * before * r * (1 - r)
-            gates = np.concatenate([dz, dr, dn], axis=1)
-            np.add.at(grads["x"], word_t, gates)
-            grads["u"][:, : 2 * h] += before.T @ gates[:, : 2 * h]
-            grads["u"][:, 2 * h :] += (r * before).T @ dn
-            back = d * z + drh * r + gates[:, : 2 * h] @ p["u"][:, : 2 * h].T
-            back = np.where(first[t][:, None], np.float32(0), back)
+            dn = gates[t, :, 2 * h :] = d * to_n[t]
+            drh = dn @ un.T
+            gates[t, :, :h] = d * to_z[t]
+            gates[t, :, h : 2 * h] = drh * to_r[t]
+            back = (d * z[t] + drh * r[t] + gates[t, :, : 2 * h] @ u.T) * live[t]
+        flat = gates.reshape(-1, 3 * h)
+        grads["u"][:, : 2 * h] = before.reshape(-1, h).T @ flat[:, : 2 * h]
+        grads["u"][:, 2 * h :] = (r * before).reshape(-1, h).T @ flat[:, 2 * h :]
+        # only the rows of words in the window have a gradient, and no others move
+        order = np.argsort(words, axis=None, kind="stable")
+        used, start = np.unique(words.ravel()[order], return_index=True)
+        grads["x"] = np.add.reduceat(flat[order], start, axis=0)
         scale = 1 / math.sqrt(max(1, int((target >= 0).sum())))
         for k, g in grads.items():
             g *= scale
             np.clip(g, -CLIP, CLIP, out=g)
-            self.sums[k] += g * g
-            p[k] -= RATE * g / np.sqrt(self.sums[k])
+            rows = used if k == "x" else slice(None)
+            self.sums[k][rows] += g * g
+            p[k][rows] -= RATE * g / np.sqrt(self.sums[k][rows])
         return state, word
 
     def _output_gradient(self, states: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray]) -> np.ndarray:
@@ -271,10 +279,10 @@ def fit(train: DataFrame, vocabulary: Vocabulary) -> bytes:
     """The trained parameters."""
     spark = train.sparkSession
     parts = shuffle_partitions(spark)
-    share = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(TRAIN_ONE_IN)) == 0
-    sample = materialize(train.filter(share).select("doc_id", "text").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "text"), "sample").select("text")
+    part = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(ROUNDS))
     network = vocabulary.network()
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
+        docs = train.filter(part == turn).select("doc_id", "text").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "text").select("text")
         sent = spark.sparkContext.broadcast((vocabulary, network.dumps()))
 
         def replica(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -296,7 +304,7 @@ def fit(train: DataFrame, vocabulary: Vocabulary) -> bytes:
                 yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], ["used", "blob"])
 
         schema = "used long, blob binary"
-        trained = sample.mapInArrow(replica, schema)
+        trained = docs.mapInArrow(replica, schema)
         rows = [pa.RecordBatch.from_pydict({"used": [r["used"]], "blob": [bytes(r["blob"])]}) for r in trained.repartition(REPLICAS_PER_AVERAGE).mapInArrow(average, schema).collect()]
         rows.sort(key=lambda b: b.column(1)[0].as_py())
         for b in average(iter(rows)):

@@ -365,6 +365,15 @@ def test_op10_rare_words_are_joined(spark, monkeypatch):
     test_op10(spark, {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()})
 
 
+def test_op10_every_training_document_reaches_the_network(spark):
+    n = 40
+    # long texts: in the first window no gradient reaches the inputs
+    docs = spark.createDataFrame([(i, f"word{i} " * (200 - i)) for i in range(n)], "doc_id long, text string")
+    vocabulary = languagemodel.Vocabulary([(f"word{i}".encode(), 200 - i) for i in range(n)], sum(200 - i for i in range(n)), n)
+    moved = languagemodel.Network(np.ones(1), 0).loads(languagemodel.fit(docs, vocabulary)).p["x"] != vocabulary.network().p["x"]
+    assert moved[:n].any(axis=1).all()
+
+
 def test_network_is_a_distribution_and_learns():
     net = languagemodel.Network(np.array([50.0, 30, 20]), 5)
     state = np.zeros((1, languagemodel.HIDDEN), np.float32)
