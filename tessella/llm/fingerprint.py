@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import table, words
 
-#: Hash functions, dealt out in LANES at a time to keep the generated methods small.
-SAMPLES = 16
-LANES = 4
+#: Hash functions, dealt out in LANES at a time: more make methods that are too large to compile well.
+SAMPLES = 64
+LANES = 1
 #: Documents to a block, on average, and blocks to a group of blocks.
 BLOCK = 64
 BLOCKS = 1024
@@ -90,35 +90,36 @@ def signatures(texts: DataFrame, keys: list[str], partition: str) -> DataFrame:
     """
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("t")), F.struct(F.lit(1).alias("side"), F.col("b").alias("t"))))
     terms = texts.select(*keys, sides.alias("s")).select(*keys, "s.side", F.explode(words(F.col("s.t"))).alias("word"))
-    weighted = terms.select(*keys, "side", F.xxhash64("word").alias("term")).groupBy(*keys, "side", "term").agg(F.log(F.count("*").cast("double")).alias("lw"))
+    # a term of both texts has the same draws in both
+    weights = [F.log(F.nullif(F.sum(F.when(F.col("side") == side, 1).otherwise(0)), F.lit(0)).cast("double")).alias(f"lw{side}") for side in (0, 1)]
+    weighted = terms.select(*keys, "side", F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(*weights)
     group = F.explode(F.array(*[F.lit(i) for i in range(SAMPLES // LANES)]))
-    dealt = weighted.select(*keys, "side", "term", "lw", group.alias("lane"))
+    dealt = weighted.select(*keys, "term", "lw0", "lw1", group.alias("lane"))
     hashes = {f"h{i}": F.xxhash64("term", F.col("lane") * LANES + i) for i in range(LANES)}
-    dealt = dealt.select(*keys, "side", "lane", "lw", *[c.alias(k) for k, c in hashes.items()])
+    dealt = dealt.select(*keys, "lane", "lw0", "lw1", *[c.alias(k) for k, c in hashes.items()])
     dealt = dealt.select("*", *[F.xxhash64(F.col(f"h{i}")).alias(f"g{i}") for i in range(LANES)])
     draws = []
     for i in range(LANES):
         h, g = F.col(f"h{i}"), F.col(f"g{i}")
         draws += [(-F.log(_uniform(h, 0) * _uniform(h, 21))).alias(f"r{i}"), F.log(-F.log(_uniform(g, 0) * _uniform(g, 21) * (1 - 1e-12))).alias(f"c{i}"), _uniform(h, 42).alias(f"b{i}"), g.alias(f"g{i}")]
-    dealt = dealt.select(*keys, "side", "lane", "lw", *draws)
-    dealt = dealt.select("*", *[F.floor(F.col("lw") / F.greatest(F.col(f"r{i}"), F.lit(1e-9)) + F.col(f"b{i}")).alias(f"t{i}") for i in range(LANES)])
-    samples = []
-    for i in range(LANES):
-        r, c, b, t, g = (F.col(f"{x}{i}") for x in "rcbtg")
+    dealt = dealt.select(*keys, "lane", "lw0", "lw1", *draws)
+    steps = [F.floor(F.col(f"lw{side}") / F.greatest(F.col(f"r{i}"), F.lit(1e-9)) + F.col(f"b{i}")).alias(f"t{side}{i}") for side in (0, 1) for i in range(LANES)]
+    dealt = dealt.select("*", *steps)
+
+    def sample(side: int, i: int) -> Column:
+        r, c, b, t, g = (F.col(x) for x in (f"r{i}", f"c{i}", f"b{i}", f"t{side}{i}", f"g{i}"))
         score = F.least(F.greatest(c - r * (t - b + 1), F.lit(-63.0)), F.lit(63.0))
         name = F.xxhash64(g, t).bitwiseAND((1 << _NAME_BITS) - 1)
-        samples.append((F.shiftleft(F.floor((score + 64) * float(1 << 31)).cast("long"), _NAME_BITS) + name).alias(f"s{i}"))
-    dealt = dealt.select(*keys, "side", "lane", *samples)
-    least = [F.min(F.when(F.col("side") == side, F.col(f"s{i}"))).alias(f"m{side}{i}") for side in (0, 1) for i in range(LANES)]
+        # least and greatest skip nulls: a term that is not in the text has no score
+        return F.when(t.isNotNull(), F.shiftleft(F.floor((score + 64) * float(1 << 31)).cast("long"), _NAME_BITS) + name)
+
+    dealt = dealt.select(*keys, "lane", *[sample(side, i).alias(f"s{side}{i}") for side in (0, 1) for i in range(LANES)])
+    least = [F.min(f"s{side}{i}").alias(f"m{side}{i}") for side in (0, 1) for i in range(LANES)]
     lanes = dealt.groupBy(*keys, "lane").agg(*least)
     # one row a text: lanes in order
-    flat = [F.min(F.when(F.col("lane") == lane, F.col(f"m{side}{i}"))).alias(f"m{side}_{lane * LANES + i}") for side in (0, 1) for lane in range(SAMPLES // LANES) for i in range(LANES)]
-    whole = lanes.groupBy(*keys).agg(*flat)
-
-    def sampled(side: int) -> Column:
-        return F.array(*[F.coalesce(F.col(f"m{side}_{k}").bitwiseAND((1 << _NAME_BITS) - 1), F.lit(0)).cast("int") for k in range(SAMPLES)])
-
-    return whole.select(*keys, sampled(0).alias("sig_a"), sampled(1).alias("sig_b"))
+    names = [F.array(*[F.coalesce(F.col(f"m{side}{i}").bitwiseAND((1 << _NAME_BITS) - 1), F.lit(0)).cast("int") for i in range(LANES)]).alias(f"n{side}") for side in (0, 1)]
+    whole = lanes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lane", *names))).alias("lanes"))
+    return whole.select(*keys, F.flatten("lanes.n0").alias("sig_a"), F.flatten("lanes.n1").alias("sig_b"))
 
 
 def likeness(a: Column, b: Column) -> Column:
