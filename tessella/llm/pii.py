@@ -37,18 +37,18 @@ PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "secret": r"""(?i:password|passwd|secret|token|api_key)\s{0,2}[=:]\s{0,2}["']?[A-Za-z0-9+/_\-]{6,}["']?""",
     "cloud_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}",
-    "phone": r"(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}|\+\d{1,3}(?:[ .\-]?\d{2,4}){3,4}|\d{3}[.\-]\d{3}[.\-]\d{4}",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?(?=[A-Z]{0,2}\d)[A-Z0-9]{1,3}(?![\p{L}\p{N}_]))?|[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2} \d{3}|[A-Z]{2}\d{2}[A-Z0-9]{11,30}",
+    "phone": r"(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}|\+\d{1,3}(?:[ .\-]?\d{2,4}){3,4}|\d{3}[.\-]\d{3}[.\-]\d{4}|\d{3} \d{3} \d{4}|0\d(?: \d{2}){4}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "ip": r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)",
-    "card": r"\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}",
+    "card": r"\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5}",
     "name": rf"(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+)?",
 }
 TYPES = tuple(PATTERNS)
 _EDGE = r"(?<![\p{L}\p{N}_.+\-@])"
 ALL = _EDGE + "(?:" + "|".join(PATTERNS.values()) + r")(?![\p{L}\p{N}_@])(?!\.\d)"
 #: A text with none of these has no entity; it spares most texts the long pattern.
-HINT = rf"[0-9@=:]|(?:{TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9@=:]|AKIA|ASIA|(?:{TITLES})\.? \p{{Lu}}"
 
 # Alphabets by script and case, vowels apart from other letters.
 ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèù", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ")
