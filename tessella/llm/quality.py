@@ -42,6 +42,9 @@ MAX_FOREIGN = 0.3
 #: A document goes when both distances are over the first pair, or either over its own of the second.
 BOTH_OVER = {"class_distance": 0.20, "word_distance": 0.28}
 EITHER_OVER = {"class_distance": 0.35, "word_distance": 0.42}
+#: A text without any common word has a distance of 0.386; ordinary prose of this many words stays under the limit.
+LACKING_OVER = {"word_distance": 0.35}
+LACKING_MIN_WORDS = 100
 
 
 def js_distance(counts: list[Column], reference: tuple[float, ...]) -> Column:
@@ -137,8 +140,12 @@ def _among(language: str):
     return lambda x: x.isin(*COMMON_WORDS[language])
 
 
-def quality(text: Column) -> Column:
-    """Struct of the base counts, the two distances and the verdicts for a text."""
+def quality(text: Column, lang: Column | None = None) -> Column:
+    """Struct of the base counts, the two distances and the verdicts for a text.
+
+    Where ``lang`` names a language without a reference, common words may be lacking.
+    """
+    referenced = F.lit(True) if lang is None else F.coalesce(lang.isin(*LANGUAGES), F.lit(True))
     text = F.coalesce(text, F.lit(""))
 
     def measured(w: Column, bare: Column) -> Column:
@@ -174,7 +181,8 @@ def quality(text: Column) -> Column:
             def over(limits: dict[str, float]) -> list[Column]:
                 return [F.coalesce(v[k] > x, F.lit(False)) for k, x in limits.items()]
 
-            (c, w), (c_alone, w_alone) = over(BOTH_OVER), over(EITHER_OVER)
+            (c, w), (c_alone, w_alone), (lacking,) = over(BOTH_OVER), over(EITHER_OVER), over(LACKING_OVER)
+            w_alone = w_alone | (lacking & referenced & (v["n_words"] >= LACKING_MIN_WORDS))
             fields = [v[k].alias(k) for k in (*names, "base_failed", "class_distance", "word_distance")]
             return F.struct(*fields, (~v["base_failed"] & ~(v["judged"] & ((c & w) | c_alone | w_alone))).alias("kept"))
 
@@ -184,16 +192,20 @@ def quality(text: Column) -> Column:
     return let(let(words(text), lambda w: measured(w, F.regexp_replace(text, "[a-z]+", ""))), judged)
 
 
+def _lang(docs: DataFrame) -> Column | None:
+    return F.col("lang") if "lang" in docs.columns else None
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base counts, ``base_failed``, ``kept`` and the distances."""
-    q = docs.select("doc_id", quality(F.col("text")).alias("q"))
+    q = docs.select("doc_id", quality(F.col("text"), _lang(docs)).alias("q"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
     return q.select("doc_id", *[F.col(f"q.{k}").alias(k) for k in names])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    return docs.filter(quality(F.col("text"))["kept"])
+    return docs.filter(quality(F.col("text"), _lang(docs))["kept"])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,17 @@ def test_op2(spark, documents):
             assert r["word_distance"] == pytest.approx(jsd([*hist, 1 - sum(hist)], [*ref.values(), 1 - sum(ref.values())]), abs=1e-6)
 
 
+def test_op2_texts_without_common_words(spark):
+    r = random.Random(5)
+    salad = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9))) for _ in range(300))
+    prose = " ".join(["the", "of", "and", "to", "in"][r.randrange(5)] if r.random() < 0.25 else "".join(r.choice("aeionrst") for _ in range(5)) for _ in range(300))
+    rows = [(0, salad, "en"), (1, salad, None), (2, salad, "it"), (3, prose, "en"), (4, " ".join(salad.split()[:60]), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {0: False, 1: False, 2: True, 3: True, 4: True}
+    assert {x["doc_id"]: x["kept"] for x in quality.quality_rules(docs).collect()} == want
+    assert {x["doc_id"] for x in quality.keep_good(docs).collect()} == {k for k, v in want.items() if v}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.recursive(st.sampled_from(["mit", "gpl-2.0", "apache-2.0"]), lambda x: st.tuples(x, st.sampled_from(["and", "or"]), x), max_leaves=8))
 def test_license_expressions(tree):
