@@ -62,15 +62,15 @@ def fingerprint(text: str | None) -> int:
     return value
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per document, fp the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): one row per document, fp the fingerprint's bits as a signed long; ``keep``: strings kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), *batch.columns[2:]], ["doc_id", "fp", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{k} string" for k in keep]]))
 
 
 class Golay:
@@ -233,13 +233,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all its columns.
 
-    Rows that repeat a doc_id are copies too: one of them stays.
+    Documents are told apart by doc_id and text, so different ones may share a doc_id; a
+    null doc_id comes last. Of rows that agree in both, one stays.
     """
-    found = materialize(near_duplicates(docs), "components")
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first"))
-    if first.groupBy("__first").count().filter("count > 1").limit(1).count():
-        first, docs = first.distinct(), docs.dropDuplicates(["doc_id"])
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("__first")), "left_semi")
+    keyed = docs.withColumn("__hash", F.coalesce(F.sha2("text", 256), F.lit("")))
+    fps = materialize(fingerprints(keyed, ("__hash",)), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash"))
+    classes = materialize(fps.groupBy("fp").agg(least.alias("least")), "classes")
+    roots = components(links(classes), "a", "b")
+    named = classes.join(roots, classes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    first = materialize(named.select(F.col("least.doc_id").alias("__first"), F.col("least.__hash").alias("__first_hash")), "firsts")
+    out = keyed.join(first, keyed["doc_id"].eqNullSafe(F.col("__first")) & (keyed["__hash"] == F.col("__first_hash")), "left_semi")
+    if fps.groupBy("doc_id", "__hash").count().filter("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "__hash"])
+    return out.drop("__hash")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,6 +318,13 @@ def test_op8(spark, documents):
     assert {d: r["component_id"] for d, r in rows.items()} == components_brute(values)
 
 
+def test_keep_first_with_shared_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (3, c), (None, d)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, a), (None, b), (3, c), (7, d)], key=str)
+
+
 @pytest.mark.parametrize("bucket", [2, 32])
 def test_golay_links(spark, monkeypatch, bucket):
     r = random.Random(bucket)
