@@ -1,24 +1,25 @@
 """Suffix-array dedup by a distributed merge sort of front-coded suffix runs.
 
 A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id.
-Sorting every suffix would exchange many times the input, so the work is in two rounds:
+Sorting every suffix would exchange many times the input, so a cheap round first finds
+the suffixes that can have a partner; the merge of all of these decides, byte by byte.
 
-1. *Segments.* The least of the hashed ``GRAM``-byte grams in a 50-byte window (leftmost
+1. *Candidates.* The least of the hashed ``GRAM``-byte grams in a 50-byte window (leftmost
    on ties) is the window's anchor; equal windows have equal anchors. The windows of one
-   anchor form a segment of 50 to 76 bytes. Runs of segments, sorted by the anchor's and
-   the segment's hash (96 bits), are exchanged by anchor. Equal segments are one class:
-   all but those of its smallest doc_id are covered. Where one anchor has several
-   classes, their windows may still be equal in part: those of the smallest doc_id of each
-   class go to round 2. Everything else is unique.
-2. *Suffixes.* The suffixes at these segments' anchors, as far as the segment goes, are
-   sorted per task into runs, front-coded and exchanged by prefix, with the bytes before
+   anchor form a segment of 50 to 76 bytes. A task drops a segment whose bytes it holds
+   already under a smaller doc_id (covered; the bytes are compared). Of the others the
+   grams' hashes are exchanged: a segment whose gram is in one document only is unique.
+   The hash decides nothing else; a clash costs a suffix more in the merge.
+2. *Suffixes.* The suffixes at all other segments' anchors, as far as the segment goes,
+   are sorted per task into runs, front-coded and exchanged by gram, with the bytes before
    the anchor. Each receiver combines its runs with a loser tree that keeps the length of
    the prefix known to be shared and compares only what follows. The shared lengths tell
    which suffixes agree as far as a window reaches; with equal bytes before the anchor
    the windows are equal, and all but the smallest doc_id's are covered.
 
 Runs hold each distinct segment once with its smallest doc_id, so a passage in a third of
-all documents is exchanged once a task.
+all documents is exchanged once a task. A receiver holds one of its ``SPLIT`` buckets at a
+time.
 
 Defined cases: a null or empty text, and one under 50 bytes, loses nothing and has no
 partner; equal strings in one document, or in rows with one doc_id, do not count; a null
@@ -28,9 +29,7 @@ empty result; other columns are untouched. Offsets are in bytes of UTF-8.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,23 +124,39 @@ class Batch:
         row = np.searchsorted(self.starts, first, "right") - 1
         return row, first, end - first, first + offset[first]
 
-    def hashes(self, first: np.ndarray, more: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        gram = np.empty(len(first), np.uint64)
-        whole = np.empty(len(first), np.uint64)
-        grams, wide = sliding_window_view(self.buffer, GRAM), sliding_window_view(self.buffer, 80)
-        column = np.arange(80)
+    def grams(self, anchor: np.ndarray) -> np.ndarray:
+        """Hash of each anchor's gram."""
+        out, rows = np.empty(len(anchor), np.uint64), sliding_window_view(self.buffer, GRAM)
+        for i in range(0, len(anchor), 50_000):
+            out[i : i + 50_000] = _hash_rows(rows[anchor[i : i + 50_000]])
+        return out
+
+    def bytes_of(self, first: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """The bytes of each segment, filled up to 80 with zeros."""
+        return sliding_window_view(self.buffer, 80)[first] * (np.arange(80) < (more + LENGTH)[:, None])
+
+    def segment_hashes(self, first: np.ndarray, more: np.ndarray) -> np.ndarray:
+        out = np.empty(len(first), np.uint64)
         for i in range(0, len(first), 50_000):
             some = slice(i, i + 50_000)
-            gram[some] = _hash_rows(grams[anchor[some]])
-            rows = wide[first[some]] * (column < (more[some] + LENGTH)[:, None])
-            whole[some] = _hash_rows(rows.astype(np.uint8)) ^ _mixed(more[some].astype(np.uint64))
-        return gram, whole
+            out[some] = _hash_rows(self.bytes_of(first[some], more[some])) ^ _mixed(more[some].astype(np.uint64))
+        return out
+
+    def same_bytes(self, a: np.ndarray, b: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """Whether the segments at ``a`` and at ``b`` have equal bytes."""
+        out = np.empty(len(a), bool)
+        for i in range(0, len(a), 50_000):
+            some = slice(i, i + 50_000)
+            out[some] = (self.bytes_of(a[some], more[some]) == self.bytes_of(b[some], more[some])).all(axis=1)
+        return out
 
 
-#: g only groups segments within a bucket (a clash costs a comparison in round 2); s, with g and the bucket, names a segment.
-_SEGMENT = np.dtype([("g", "<u4"), ("s", "u1", 6), ("row", "<u2"), ("first", "<u4"), ("more", "u1"), ("anchor", "u1")])
-#: Documents handled as one run; a row number fits 16 bits.
-MAX_ROWS = 4_000
+#: With the bucket, g stands for a gram.
+_SEGMENT = np.dtype([("g", "<u4"), ("row", "<u2"), ("first", "<u4"), ("more", "u1"), ("anchor", "u1")])
+#: Documents and bytes of text handled as one run (one text may be longer); a row number fits 16 bits.
+MAX_ROWS, MAX_BYTES = 4_000, 64 << 20
+#: Buckets of a receiver; it holds one at a time.
+SPLIT = 4
 _PLACE = np.dtype([("first", "<u4"), ("more", "u1"), ("anchor", "u1")])
 COVERED, UNSURE, RUN = 0, 1, 2
 OUT = "kind int, bucket int, d long, th int, blob binary, docs binary"
@@ -167,39 +182,63 @@ def _places(first: np.ndarray, more: np.ndarray | int, anchor: np.ndarray | int
     return out
 
 
-def _top48(x: np.ndarray) -> np.ndarray:
-    return x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most ``MAX_ROWS`` documents and, but for a single text, ``MAX_BYTES`` of text."""
+    for batch in batches:
+        size = np.array([len(t.as_py() or "") for t in batch.column("text")], np.int64)
+        at = 0
+        while at < batch.num_rows:
+            n = int(np.searchsorted(np.cumsum(size[at : at + MAX_ROWS]), MAX_BYTES, "right"))
+            n = max(1, min(n, MAX_ROWS))
+            yield batch.slice(at, n)
+            at += n
+
+
+def _first_of_group(new: np.ndarray) -> np.ndarray:
+    """Index of the first element of each element's group."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
-def _as_int(x: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(x), 8), np.uint8)
-    wide[:, 2:] = x
-    return wide.view(">u8").ravel().astype(np.int64)
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where any of the sorted keys differs from the one before."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
 
 
 def _segment_runs(parts: int):
+    buckets = parts * SPLIT
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw in (b.slice(i, MAX_ROWS) for b in batches for i in range(0, b.num_rows, MAX_ROWS)):
+        for raw in _slices(batches):
             batch = Batch(raw)
             row, first, more, anchor = batch.segments()
-            gram, whole = batch.hashes(first, more, anchor)
-            anchor = (anchor - first).astype(np.uint8)
+            gram = batch.grams(anchor)
+            order = np.argsort(gram, kind="stable")
+            gram, row, first, more, anchor = (x[order] for x in (gram, row, first, more, anchor))
             doc = batch.doc[row]
-            order = np.lexsort((doc, whole, gram))
-            gram, whole, doc, row, first, more, anchor = (x[order] for x in (gram, whole, doc, row, first, more, anchor))
-            first = first - batch.starts[row]
-            new = np.r_[True, (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])] if len(gram) else np.empty(0, bool)
-            least = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] if len(new) else doc
-            covered = doc > least
-            rows = _by_doc(COVERED, row[covered], batch.doc, batch.hash, _places(first[covered], more[covered]), parts)
+            # segments of grams that the run has more than once: drop what a smaller doc_id covers
+            new = _changes(gram)
+            again = np.flatnonzero(~new | np.append(~new[1:], [False])[: len(new)])
+            whole = batch.segment_hashes(first[again], more[again])
+            again = again[(order := np.lexsort((doc[again], whole, gram[again])))]
+            least = again[_first_of_group(_changes(gram[again], whole[order]))] if len(again) else again
+            later = doc[again] > doc[least]
+            again, least = again[later], least[later]
+            again = again[batch.same_bytes(first[again], first[least], more[again])]
+            covered = np.zeros(len(gram), bool)
+            covered[again] = True
+            inside = first - batch.starts[row]
+            rows = _by_doc(COVERED, row[covered], batch.doc, batch.hash, _places(inside[covered], more[covered]), parts)
             keep = ~covered
             packed = np.empty(int(keep.sum()), _SEGMENT)
-            packed["g"], packed["s"], packed["row"] = gram[keep] >> np.uint64(32), _top48(whole[keep]), row[keep]
-            packed["first"], packed["more"], packed["anchor"] = first[keep], more[keep], anchor[keep]
-            bucket = (gram[keep] & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+            packed["g"], packed["row"] = gram[keep] >> np.uint64(32), row[keep]
+            packed["first"], packed["more"], packed["anchor"] = inside[keep], more[keep], (anchor - first)[keep]
+            bucket = (gram[keep] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(parts + 1))
-            for b in range(parts):
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in range(buckets):
                 own = packed[order[ends[b] : ends[b + 1]]]
                 if len(own):
                     used, index = np.unique(own["row"], return_inverse=True)
@@ -245,19 +284,14 @@ def _match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         items = [np.frombuffer(b, _SEGMENT) for b, _ in runs]
         key = np.concatenate([x["row"].astype(np.int64) + at for x, at in zip(items, begin, strict=False)])
         item = np.concatenate(items)
-        gram, whole, doc = item["g"], _as_int(item["s"]), docs[key]
-        order = np.lexsort((doc, whole, gram))
-        gram, whole, doc, key = gram[order], whole[order], doc[order], key[order]
-        place = _places(item["first"][order], item["more"][order], item["anchor"][order])
-        group = np.r_[True, gram[1:] != gram[:-1]]
-        new = group | np.r_[True, whole[1:] != whole[:-1]]
-        at = np.arange(len(new))
-        least = doc[np.maximum.accumulate(np.where(new, at, 0))]
-        covered = doc > least
-        number = np.cumsum(group) - 1
-        several = np.bincount(number, weights=new)[number] > 1
-        unsure = ~covered & several
-        rows = _by_doc(COVERED, key[covered], docs, hashes, place[covered]) + _by_doc(UNSURE, key[unsure], docs, hashes, place[unsure])
+        order = np.argsort(item["g"], kind="stable")
+        key, item = key[order], item[order]
+        doc = docs[key]
+        start = np.flatnonzero(_changes(item["g"]))
+        several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+        unsure = np.repeat(several, np.diff(np.r_[start, len(doc)]))
+        places = _places(item["first"][unsure], item["more"][unsure], item["anchor"][unsure])
+        rows = _by_doc(UNSURE, key[unsure], docs, hashes, places)
         for i in range(0, len(rows), 5000):
             yield _emit(rows[i : i + 5000])
 
@@ -347,8 +381,10 @@ _SUFFIX = np.dtype([("row", "<u2"), ("first", "<u4"), ("more", "u1"), ("anchor",
 
 
 def _suffix_runs(parts: int):
+    buckets = parts * SPLIT
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw in (b.slice(i, MAX_ROWS) for b in batches for i in range(0, b.num_rows, MAX_ROWS)):
+        for raw in _slices(batches):
             batch = Batch(raw)
             found = [np.frombuffer(b"".join(blobs), _PLACE) for blobs in raw.column("places").to_pylist()]
             place = np.concatenate(found) if found else np.empty(0, _PLACE)
@@ -365,11 +401,12 @@ def _suffix_runs(parts: int):
             about["row"], about["before"] = row[order], before[order]
             for name in ("first", "more", "anchor"):
                 about[name] = place[name][order]
-            bucket = _mixed(np.ascontiguousarray(suffix[:, :8]).view(np.uint64).ravel()) % np.uint64(parts)
+            # equal windows share the whole gram
+            bucket = _hash_rows(suffix[:, :GRAM]) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(parts + 1))
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out = []
-            for b in range(parts):
+            for b in range(buckets):
                 own = order[ends[b] : ends[b + 1]]
                 if len(own):
                     mine = about[own]
@@ -382,29 +419,51 @@ def _suffix_runs(parts: int):
     return run
 
 
-def _covered_windows(known: np.ndarray, about: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(index, window start) of covered windows among suffixes in merged order.
+def _covered(known: np.ndarray, about: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(index, first window, further windows) of what is covered, of suffixes in merged order.
 
-    A window that begins ``o`` bytes before the anchor equals another if the suffixes
-    share ``LENGTH - o`` bytes, which the merge has told for neighbours and so for all
-    between, and the ``o`` bytes before them are equal.
+    Whole segments first: those with all bytes equal are one class, and all but its
+    smallest doc_id's are covered. A window that begins ``o`` bytes before the anchor
+    equals another if the suffixes share ``LENGTH - o`` bytes, which the merge has told
+    for neighbours and so for all between, and the ``o`` bytes before them are equal.
     """
-    high = about["anchor"].astype(np.int64)
-    low = high - about["more"]
-    before = np.zeros(len(about), np.uint64)
+    # the bytes before the anchor in sorted order; the closing 1 keeps zeros at the end
+    before = np.ascontiguousarray(np.concatenate([about["before"], np.ones((len(about), 1), np.uint8)], axis=1)).view(f"S{REACH}").ravel()
+    by_before = np.argsort(before, kind="stable")
+    steps = about["before"][by_before]
+    differs = steps[1:] != steps[:-1]
+    alike = np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), REACH)] if len(about) else np.empty(0, np.int64)
+    place = np.empty(len(about), np.int64)
+
+    def classes(o: int) -> np.ndarray:
+        """Number of each suffix's class by the ``o`` bytes before the anchor."""
+        place[by_before] = np.cumsum(alike < o)
+        return place
+
+    more, high = about["more"].astype(np.int64), about["anchor"].astype(np.int64)
+    shared, back = np.cumsum(known < LENGTH), classes(REACH - 1).copy()
+    order = np.lexsort((doc, back, high, more, shared))
+    least = order[_first_of_group(_changes(shared[order], more[order], high[order], back[order]))]
+    later = doc[order] > doc[least]
+    gone = order[later]
+    yield gone, about["first"][gone].astype(np.int64), more[gone]
+    # what is left in a group of equal grams, where another class has another document
+    left = np.ones(len(about), bool)
+    left[gone] = False
+    group = np.cumsum(known < GRAM) - 1
+    start = np.flatnonzero(_changes(group))
+    least_doc, most_doc = (f.reduceat(np.where(left, doc, z), start) for f, z in ((np.minimum, NO_DOC), (np.maximum, -NO_DOC - 1)))
+    left &= (least_doc < most_doc)[group]
     for o in range(REACH):
-        if o:
-            before = _mixed(before * np.uint64(0x100000001B3) + about["before"][:, o - 1] + np.uint64(o))
-        has = np.flatnonzero((low <= o) & (o <= high))
+        has = np.flatnonzero(left & (high - more <= o) & (o <= high))
         if not len(has):
             continue
-        shared = np.cumsum(known < LENGTH - o)[has]
-        order = np.lexsort((doc[has], before[has], shared))
-        has, shared = has[order], shared[order]
-        new = np.r_[True, (shared[1:] != shared[:-1]) | (before[has][1:] != before[has][:-1])]
-        least = doc[has][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-        covered = has[doc[has] > least]
-        yield covered, about["first"][covered] + (high[covered] - o)
+        shared, back = np.cumsum(known < LENGTH - o)[has], classes(o)[has]
+        order = np.lexsort((doc[has], back, shared))
+        least = _first_of_group(_changes(shared[order], back[order]))
+        ranked = has[order]
+        gone = ranked[doc[ranked] > doc[ranked[least]]]
+        yield gone, about["first"][gone] + (high[gone] - o), np.zeros(len(gone), np.int64)
 
 
 def _merge_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,9 +487,8 @@ def _merge_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         known[:1] = 0
         del strings
         key, item = np.concatenate(keys)[order], np.concatenate(about)[order]
-        found = list(_covered_windows(known, item, docs[key]))
-        index, first = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
-        rows = _by_doc(COVERED, key[index], docs, hashes, _places(first, 0))
+        index, first, more = (np.concatenate(x) for x in zip(*_covered(known, item, docs[key]), strict=True))
+        rows = _by_doc(COVERED, key[index], docs, hashes, _places(first, more))
         for i in range(0, len(rows), 5000):
             yield _emit(rows[i : i + 5000])
 
@@ -468,14 +526,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of rounds that are over: its cleaner follows garbage collection."""
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def covered_places(docs: DataFrame) -> DataFrame:
     """(d, th, places): per document (doc_id and a hash of its text) the covered window starts."""
     spark = docs.sparkSession
@@ -486,11 +536,9 @@ def covered_places(docs: DataFrame) -> DataFrame:
         return found.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(match, OUT)
 
     matched = materialize(exchanged(rows.mapInArrow(_segment_runs(parts), OUT), _match_segments), "matched")
-    _release(spark)
     unsure = matched.filter(F.col("kind") == UNSURE).groupBy("d", "th").agg(F.collect_list("blob").alias("places"))
     suffixes = rows.join(unsure, ["d", "th"]).select("d", "th", "text", "places").mapInArrow(_suffix_runs(parts), OUT)
     merged = materialize(exchanged(suffixes, _merge_suffixes), "merged")
-    _release(spark)
     found = matched.filter(F.col("kind") == COVERED).select("d", "th", "blob").union(merged.select("d", "th", "blob"))
     return found.groupBy("d", "th").agg(F.collect_list("blob").alias("places"))
 
