@@ -12,10 +12,10 @@ are. The key is followed by bits of the doc_id's hash, so a third of all documen
 one vector still spreads over many ranges. Texts are tokenised once and ids travel as 16
 bits each.
 
-Ids are those of ``byte_bpe_50k.json`` by the tokenizers library. The same vocabulary is
-read as ranks by tiktoken, which is about four times as fast, for texts of characters
-below U+0250, where both libraries' Unicode classes agree; any other text goes through
-tokenizers itself.
+Ids are those of ``byte_bpe_50k.json`` by the tokenizers library with its defaults. The
+same vocabulary is read as ranks by tiktoken, which is about four times as fast, for texts
+of characters below U+0250, where both libraries' Unicode classes agree, that hold none of
+the vocabulary's added tokens; any other text goes through tokenizers itself.
 
 Defined cases: a null or empty text is the closing id 0 alone; repeated rows are packed
 each for itself; equal keys are ordered by doc_id; a null doc_id sorts first; an empty
@@ -25,6 +25,7 @@ table gives an empty result; other columns are untouched.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -61,6 +62,8 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.path, self.full = public_tokenizers.path("byte_bpe_50k.json"), None
+        with open(self.path, encoding="utf-8") as f:
+            self.added = tuple(t["content"] for t in json.load(f)["added_tokens"])
 
     def exact(self, text: str) -> list[int]:
         if self.full is None:
@@ -70,14 +73,14 @@ class Tokenizer:
             from tokenizers import Tokenizer as Full
 
             self.full = Full.from_file(self.path)
-            self.full.encode_special_tokens = True
         return self.full.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str | None) -> np.ndarray:
         """The text's ids, closed by ``CLOSE``."""
         if not text:
             return np.array([CLOSE], np.uint16)
-        found = self.fast.encode_ordinary(text) if _SAFE.fullmatch(text) else self.exact(text)
+        plain = _SAFE.fullmatch(text) and not any(t in text for t in self.added)
+        found = self.fast.encode_ordinary(text) if plain else self.exact(text)
         return np.array([*found, CLOSE], np.uint16)
 
 
