@@ -3,11 +3,14 @@
 A text is taken as UTF-8 bytes with A-Z lower-cased. One automaton finds the phrases of
 ``PHRASES`` and ``NOTICES`` at word boundaries, another the identifier tags; after a tag
 the licence expression (``and``, ``or``, ``with``, parentheses) is parsed to postfix
-form and evaluated.
+form and evaluated. Only known identifiers are operands, an exception's name only after
+``with``; the expression ends before the first word that does not fit, so prose behind it
+is not read as licences.
 
 Defined cases: a null or empty text has no words, no labels and score 0; a word is a
 maximal run of digits, letters a-z and bytes from 0x80; overlapping places all count;
-a malformed expression still yields the identifiers it names, with a low score; very
+an expression that is malformed or names no known licence yields the known identifiers
+in it, with a low score; very
 long texts are scanned whole; repeated rows are scanned alike; an empty table gives an
 empty result; other columns are untouched.
 """
@@ -36,11 +39,22 @@ NOTICES = {
     "licensed under cc by": "cc",
     "permission is hereby granted free of charge": "mit",
     "all rights reserved": "reserved",
+    "lesser general public license": "lgpl",
+    "affero general public license": "agpl",
+    "zlib license": "zlib",
+    "artistic license": "artistic",
+    "common development and distribution license": "cddl",
+    "open font license": "ofl",
+    "python software foundation license": "psf",
+    "released into the public domain": "public-domain",
+    "do what you want to public license": "wtfpl",
 }
 #: Identifier tags, lower-cased.
 TAGS = ("spdx-license-identifier:", "license-expression:", "license-id:")
 #: Beginnings of licence identifiers and their labels; the longest wins.
-FAMILIES = {"0bsd": "bsd", "agpl": "agpl", "apache": "apache", "artistic": "artistic", "bsd": "bsd", "bsl": "boost", "cc": "cc", "cc0": "cc0", "cddl": "cddl", "epl": "epl", "gpl": "gpl", "isc": "isc", "lgpl": "lgpl", "mit": "mit", "mpl": "mpl", "unlicense": "unlicense", "zlib": "zlib"}
+FAMILIES = {"0bsd": "bsd", "agpl": "agpl", "apache": "apache", "artistic": "artistic", "bsd": "bsd", "bsl": "boost", "cc": "cc", "cc0": "cc0", "cddl": "cddl", "epl": "epl", "gpl": "gpl", "isc": "isc", "lgpl": "lgpl", "mit": "mit", "mpl": "mpl", "ofl": "ofl", "psf": "psf", "python": "psf", "unlicense": "unlicense", "wtfpl": "wtfpl", "zlib": "zlib", "licenseref": "other"}
+#: What may follow a family in an identifier, besides versions.
+SUFFIXES = ("clause", "only", "or", "later", "new", "no", "copyleft", "exception", "by", "sa", "nc", "nd", "attribution", "patent", "views", "modification", "perl", "libpng", "acknowledgement", "shortened", "pd", "igo", "clear", "rfn")
 #: Families whose terms a permissive policy accepts.
 PERMISSIVE = ("0bsd", "apache", "bsd", "boost", "cc0", "isc", "mit", "unlicense", "zlib")
 RANK = {"or": 1, "and": 2, "with": 3}
@@ -49,6 +63,9 @@ SCORES = {"tag": 1.0, "phrase": 0.8, "notice": 0.6, "broken tag": 0.3}
 
 _FOLD = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+\-]*")
+_VERSION = r"v?\d+(?:\.\d+)*"
+_KNOWN = re.compile(rf"licenseref-[a-z0-9.\-]+|(?:{'|'.join(sorted(FAMILIES, key=len, reverse=True))})(?:{_VERSION})?(?:-(?:{_VERSION}|{'|'.join(SUFFIXES)}))*\+?")
+_EXCEPTION = re.compile(rf"(?:[a-z0-9.]+-)+exception(?:-{_VERSION})?")
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, permissive boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("expressions", pa.list_(pa.string())), ("permissive", pa.bool_())])
@@ -101,7 +118,7 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
     for t in postfix:
         if t in RANK:
             right, left = stack.pop(), stack.pop()
-            if t == "with":
+            if t == "with":  # the right side names an exception
                 stack.append(left)
             else:
                 stack.append((left[0] | right[0], (left[1] or right[1]) if t == "or" else (left[1] and right[1])))
@@ -114,30 +131,26 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
 def read_expression(text: str) -> tuple[str, list[str] | None]:
     """The expression at the start of ``text`` (rest of a line): its source and postfix form or None."""
     line = re.match(r"[ \t]*([a-z0-9.+\-() \t]*)", text)[1]
-    tokens = _TOKEN.findall(line)
-    # an expression ends where a new operand follows an operand: what is left is prose
-    end, depth, operand_next = 0, 0, True
+    tokens = [t.rstrip(".") if t not in "()" else t for t in _TOKEN.findall(line)]
+    end, stop, depth, operand_next, exception = 0, len(tokens), 0, True, False
     for i, t in enumerate(tokens):
         if t == "(":
-            if not operand_next:
-                break
-            depth += 1
+            fits, depth = operand_next and not exception, depth + 1
         elif t == ")":
-            if depth == 0:
-                break
-            depth -= 1
+            fits, depth = not operand_next and depth > 0, depth - 1
         elif t in RANK:
-            operand_next = True
+            fits, operand_next, exception = not operand_next, True, t == "with"
         else:
-            if not operand_next:
-                break
-            operand_next = False
-        end = i + 1
-    tokens = [t.rstrip(".") if t not in "()" else t for t in tokens[:end]]
-    try:
-        return " ".join(tokens), to_postfix(tokens)
-    except ValueError:
-        return " ".join(tokens), None
+            fits = operand_next and bool((_EXCEPTION if exception else _KNOWN).fullmatch(t))
+            operand_next = exception = False
+        if not fits:
+            stop = i
+            break
+        if depth == 0 and not operand_next:
+            end = i + 1
+    if end:
+        return " ".join(tokens[:end]), to_postfix(tokens[:end])
+    return " ".join(tokens[:stop]), None
 
 
 class Scanner:
@@ -180,7 +193,7 @@ class Scanner:
                 stop = view.find("\n", end)
                 source, postfix = read_expression(view[end + 1 : stop if stop >= 0 else None])
                 if postfix is None:
-                    more |= {family(t) for t in _TOKEN.findall(source) if t not in RANK and t not in "()"}
+                    more |= {family(t) for t in _TOKEN.findall(source) if _KNOWN.fullmatch(t)}
                     scores.add(SCORES["broken tag"])
                 else:
                     labels, ok = evaluate(postfix)
