@@ -31,3 +31,11 @@ def words(text: Column) -> Column:
 def count_chars(text: Column, keep: str) -> Column:
     """Number of code points outside the negated class ``keep`` (like ``[^0-9]+``)."""
     return F.length(F.regexp_replace(text, keep, ""))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as it takes to be no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

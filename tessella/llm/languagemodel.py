@@ -31,7 +31,7 @@ import io
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby, repeat
+from itertools import compress, groupby, repeat
 from operator import itemgetter
 
 import numpy as np
@@ -67,9 +67,12 @@ END = b""
 RARE, START = WORDS, WORDS + 1
 
 
-def tokens(text: str | None) -> list[bytes]:
+def tokens(text: str | bytes | None) -> list[bytes]:
     """Words with A-Z lower-cased, then the end token."""
-    return [*(text or "").encode().lower().split(), END]
+    raw = text or b""
+    words = (raw.encode() if isinstance(raw, str) else raw).lower().split()
+    words.append(END)
+    return words
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -77,8 +80,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _exp_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of the rows of ``x``, less their largest value (``x`` is changed), and the rows' sums."""
-    x -= x.max(axis=1, keepdims=True)
+    """exp of the rows of ``x``, shifted so that nothing overflows (``x`` is changed), and the rows' sums."""
+    # where all values are near each other one shift serves all rows
+    high = x.max(initial=0.0)
+    x -= high if high - x.min(initial=0.0) < 80 else x.max(axis=1, keepdims=True)
     e = np.exp(x)
     return e, e @ np.ones(e.shape[1], e.dtype)
 
@@ -163,7 +168,7 @@ class Network:
                     targets.append(word)
                     lane.append(live)
                 logp = self.output(np.concatenate(states), np.concatenate(targets))
-                np.add.at(out, np.array(rows)[np.concatenate([np.arange(n) for n in lane])], logp)
+                out[rows] += np.bincount(np.concatenate([np.arange(n) for n in lane]), logp, len(rows))
         return out / math.log(10)
 
     def train(self, docs: Iterator[np.ndarray]) -> int:
@@ -274,8 +279,9 @@ class Network:
         return out
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
-    return (t.as_py() for t in batch.column("text"))
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    """The texts in UTF-8."""
+    return (t.as_py() for t in batch.column("text").cast(pa.binary()))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +316,7 @@ class Vocabulary:
     def network(self) -> Network:
         return Network(*self.head())
 
-    def ids(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
+    def ids(self, text: str | bytes | None) -> tuple[np.ndarray, list[bytes]]:
         words = tokens(text)
         return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words)), words
 
@@ -373,7 +379,7 @@ def as_ids(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             found, rest, times, ends, local = [], [], [], [0], []
             for text in _texts(batch):
                 ids, own = words.ids(text)
-                beyond = Counter(own[i] for i in np.flatnonzero(ids < 0))
+                beyond = Counter(compress(own, (ids < 0).tolist()))
                 rest += beyond.keys()
                 times += beyond.values()
                 ends.append(len(rest))

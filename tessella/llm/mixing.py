@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import NOT_SPACE, table
+from .common import NOT_SPACE, fresh, table
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 1.5
@@ -61,28 +61,31 @@ def copies(doc_id: Column, rate: Column) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def _with_rates(sized: DataFrame, left: DataFrame) -> DataFrame:
-    """``left`` with __source, __source_size, __target and __rate: names that no table has."""
+def _with_rates(sized: DataFrame, left: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``left`` with the columns of its source's rates, and how these are named there."""
     rates = materialize(source_rates(sized), "rates")
-    rates = rates.select(*[F.col(c).alias(f"__{c}") for c in rates.columns])
+    names = {c: fresh(left, f"__{c}") for c in rates.columns}
+    rates = rates.select(*[F.col(c).alias(n) for c, n in names.items()])
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    return left.join(rates, left["source"].eqNullSafe(F.col("__source")))
+    return left.join(rates, left["source"].eqNullSafe(F.col(names["source"]))), names
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, rate and copies."""
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    out = _with_rates(sized, sized).withColumn("copies", copies(F.col("doc_id"), F.col("__rate")))
-    return out.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("copies")).alias("taken"), F.col("__rate").alias("rate"), "copies")
+    out, names = _with_rates(sized, sized)
+    out = out.withColumn("copies", copies(F.col("doc_id"), F.col(names["rate"])))
+    return out.select("doc_id", "size", F.col(names["source_size"]).alias("source_size"), F.col(names["target"]).alias("target"), (F.col("size") * F.col("copies")).alias("taken"), F.col(names["rate"]).alias("rate"), "copies")
 
 
 def emit(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
     sized = docs.select("source", word_count(F.col("text")).alias("size"))
-    out = _with_rates(sized, docs)
-    times = F.array_repeat(F.lit(0), copies(docs["doc_id"], F.col("__rate")).cast("int"))
-    return out.select(*[docs[c] for c in docs.columns], F.explode(times).alias("__copy")).drop("__copy")
+    out, names = _with_rates(sized, docs)
+    times = F.array_repeat(F.lit(0), copies(docs["doc_id"], F.col(names["rate"])).cast("int"))
+    copy = fresh(docs, "__copy")
+    return out.select(*[docs[c] for c in docs.columns], F.explode(times).alias(copy)).drop(copy)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,6 @@ def test_op1(spark, documents):
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    full.encode_special_tokens = True
     table = collections.defaultdict(list)
     sequences = collections.defaultdict(list)
     for r in packing.op1(spark, SF).collect():
@@ -70,9 +69,12 @@ def test_op1(spark, documents):
 
 
 def test_op1_exact_on_odd_texts():
-    own = packing.Tokenizer()
-    for text in ("", "a", "日本 語", "<|endoftext|>", "é ß", " \n\n x", "\u0661\u0662", "x" * 3000, "\x00"):
-        assert own.ids(text).tolist() == ([*own.exact(text), 0] if text else [0])
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    full, own = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.Tokenizer()
+    for text in ("", "a", "日本 語", "<|endoftext|>", "a <|endoftext|> b", "é<|endoftext|>日", "é ß", " \n\n x", "\u0661\u0662", "x" * 3000, "\x00", "long words " * 100_000):
+        assert own.ids(text).tolist() == [*full.encode(text, add_special_tokens=False).ids, 0]
 
 
 def test_hilbert_is_a_curve():
@@ -157,6 +159,19 @@ def test_op3(spark, documents):
         n, n_base, first, last, base, labels, score, *_ = scanner.scan(text)
         assert (n, n_base, first, last) == (len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None))
         assert base == ",".join(sorted({x for _, x in at})) and set(base.split(",")) <= {*labels.split(","), ""} and 0 <= score <= 1
+    method = {
+        "SPDX-License-Identifier: MIT and more prose follows here": ("mit", 1.0, True),
+        "License-ID: mitigated": ("", 0.3, None),
+        "License-Expression: (GPL-2.0-or-later WITH Classpath-exception-2.0 AND BSD-3-Clause). The rest": ("bsd,gpl", 1.0, False),
+        "SPDX-License-Identifier: (MIT OR LGPLv2.1+": ("lgpl,mit", 0.3, None),
+        "SPDX-License-Identifier: MIT WITH regards": ("mit", 1.0, True),
+        "SPDX-License-Identifier: LicenseRef-Acme OR CC-BY-SA-4.0": ("cc,other", 1.0, False),
+        "Redistribution and use, in source and binary forms: all rights reserved.": ("bsd,reserved", 0.6, None),
+        "the mit licenses and a commit license": ("", 0.0, None),
+    }
+    for text, want in method.items():
+        found = scanner.scan(text)
+        assert (found[5], found[6], found[8]) == want, text
     got = scanner.scan("x\nSPDX-License-Identifier: Apache-2.0 WITH LLVM-exception OR GPL-3.0\nmore")
     assert got[5] == "apache,gpl" and got[6] == 1 and got[8] is True
 
@@ -176,6 +191,17 @@ def test_op4(spark):
     held = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(test)], "page_id long, url string")
     p = {r["page_id"]: r["p_unwanted"] for r in urls.judge_urls(held, urls.fit(spark, train)).collect()}
     assert sum((p[i] >= 0.5) == bool(y) for i, (_, y) in enumerate(test)) / len(test) >= 0.75
+    # the weights' use, by brute force from the same features
+    weights = urls.fit(spark, train)
+    for r in held.select("page_id", urls.places(urls.host_of(F.col("url")), urls.path_of(F.col("url"))).alias("p")).collect():
+        z = sum(weights[i] for i in r["p"]) / len(r["p"]) + weights[-1] * urls.BIAS
+        assert p[r["page_id"]] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def test_op4_labels_are_not_from_the_pages(spark):
+    hosts = {r[0] for r in urls.op4(spark, SF).select("host").collect()}
+    own = spark.createDataFrame([(u,) for u, _ in urls.LABELLED], "url string").select(urls.host_of(F.col("url"))).collect()
+    assert len(urls.LABELLED) == len(set(urls.LABELLED)) and not hosts & {r[0] for r in own}
 
 
 def water(sizes, weights, budget, rate):
