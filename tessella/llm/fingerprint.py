@@ -12,30 +12,36 @@ Scores are rounded to 2^-31 and carry 24 bits that name the pick, so a sample is
 long and its minimum is a plain aggregate.
 
 The next document, in descending doc_id, is found within the block; only a block's first
-document is sent to the block above. Block ids come from doc_id's range and count, so
-uneven ids give uneven blocks and never another result.
+document is sent to the block above. Quantiles of doc_id cut the documents into zones, a
+zone into blocks by linear interpolation; an id that fills a quantile is a zone of its own
+and is cut by the hash of the text, like the rows without an id. So blocks are even for
+outliers, for ids at both ends of long and for ids in groups, and bounds never change a
+result, since every cut keeps the order.
 
 Defined cases: a null or empty text has no terms and the fingerprint of all zeros;
-repeated rows, and rows with one doc_id, follow each other in text order; a null doc_id
+rows with one doc_id follow each other by falling hash of the text; a null doc_id
 comes last; a single document is its own successor; an empty table gives an empty
 result; other columns are untouched.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import table, words
+from .common import let, table, words
 
 #: Hash functions, dealt out in LANES at a time: more make methods that are too large to compile well.
 SAMPLES = 64
 LANES = 1
-#: Documents to a block, on average, and blocks to a group of blocks.
+#: Documents to a block, on average, blocks to a group of blocks, and quantiles of doc_id.
 BLOCK = 64
 BLOCKS = 1024
+ZONES = 256
 _NAME_BITS = 24
 _UNIT = float(1 << 21)
 
@@ -45,28 +51,61 @@ def _uniform(h: Column, low: int) -> Column:
     return (F.shiftrightunsigned(h, low).bitwiseAND((1 << 21) - 1) + 1) / _UNIT
 
 
+def blocks(docs: DataFrame) -> Column:
+    """Block of a row with ``doc_id`` and ``th``: it rises with doc_id, then th; rows without an id come first."""
+    n, found, some, low, high = docs.agg(
+        F.count("*"), F.percentile_approx("doc_id", [i / ZONES for i in range(1, ZONES)], 10_000), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")
+    ).first()
+    share = some / ZONES  # documents to a quantile
+    cuts: dict[int, int] = {}
+    for q in found or []:
+        cuts[q] = cuts.get(q, 0) + 1
+    # zones: rows without an id, then by turns the ids between two cuts and a cut itself
+    zones, last, at = [(None, None, n - some)], low, 0
+    for q, times in cuts.items():
+        zones += [(last, q, share), (None, None, times * share)]
+        last = q
+    zones.append((last, high, share))
+    lows, widths, sizes, starts = [], [], [], []
+    for a, b, rows in zones:
+        lows.append(float(a or 0))
+        widths.append(0.0 if a is None else float(max(1, b - a)))
+        sizes.append(max(1, math.ceil(rows / BLOCK)))
+        starts.append(at)
+        at += sizes[-1]
+    bounds = F.array(*[F.lit(q) for q in cuts]).cast("array<bigint>")
+    doc = F.col("doc_id")
+    zone = F.when(doc.isNull(), 0).otherwise(1 + 2 * F.size(F.filter(bounds, lambda q: q < doc)) + F.array_contains(bounds, doc).cast("int"))
+
+    def of(z: Column) -> Column:
+        low_, width, size, start = (F.get(F.array(*map(F.lit, x)), z) for x in (lows, widths, sizes, starts))
+        by_hash = F.col("th").cast("double") / float(1 << 64) + 0.5
+        part = F.when(width > 0, (doc.cast("double") - low_) / F.greatest(width, F.lit(1.0))).otherwise(by_hash)
+        return start + F.greatest(F.lit(0), F.least(size - 1, F.floor(part * size)))
+
+    return let(zone, of).cast("long")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """block, place, doc_id, text, next_text, next_block, next_place: each document and its successor."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) * BLOCK // max(n, 1)))
-    block = F.floor((F.coalesce(F.col("doc_id"), F.lit(low - 1)) - low) / F.lit(width)).cast("long")
-    rows = rows.withColumn("block", block)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = rows.withColumn("block", blocks(docs))
 
     # the blocks in use, each with the next one below it; after the last the first
-    used = materialize(rows.groupBy("block").agg(F.max("doc_id").alias("first_id")).withColumn("group", F.floor(F.col("block") / BLOCKS)), "blocks")
+    used = rows.groupBy("block").agg(F.max(F.struct("doc_id", "th")).alias("first"))
+    used = materialize(used.select("block", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"), F.floor(F.col("block") / BLOCKS).alias("group")), "blocks")
     groups = used.groupBy("group").agg(F.max("block").alias("top"))
     over_groups = W.orderBy(F.desc("group"))
     groups = groups.select("group", F.coalesce(F.lead("top").over(over_groups), F.first("top").over(over_groups)).alias("below"))
     inner = used.withColumn("lower", F.lead("block").over(W.partitionBy("group").orderBy(F.desc("block"))))
     follows = inner.join(groups, "group").select("block", F.coalesce("lower", "below").alias("next_block"))
 
-    firsts = used.select(F.col("block").alias("__block"), "first_id")
-    head = rows.join(firsts, (rows.block == F.col("__block")) & rows.doc_id.eqNullSafe(F.col("first_id"))).groupBy("block").agg(F.min("text").alias("head"))
+    firsts = used.select(F.col("block").alias("__block"), "first_id", "first_th")
+    first = (rows.block == F.col("__block")) & (rows.th == F.col("first_th")) & rows.doc_id.eqNullSafe(F.col("first_id"))
+    head = rows.join(firsts, first).groupBy("block").agg(F.min("text").alias("head"))
     below = follows.join(head.withColumnRenamed("block", "next_block"), "next_block").select(F.col("block").alias("__block"), "next_block", "head")
 
-    order = W.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "text")
+    order = W.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), F.desc("th"), "text")
     placed = rows.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("lead"))
     placed = placed.join(below, placed.block == F.col("__block"))
     last = F.col("lead").isNull()
