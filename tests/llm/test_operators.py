@@ -314,6 +314,27 @@ def test_op7_tells_near_copies_from_others(spark):
         assert np.sqrt(np.mean(off**2)) < 0.085
 
 
+@pytest.mark.parametrize("kind", ["wide", "outlier", "hot"])
+def test_op7_any_ids(spark, monkeypatch, kind):
+    """Ids at both ends of long, one far from all others, and a third of all rows under one id or none."""
+    monkeypatch.setattr(fingerprint, "BLOCK", 4)
+    r = random.Random(7)
+    ids = {"wide": [-(1 << 63), (1 << 63) - 1, 0, *(r.getrandbits(64) - (1 << 63) for _ in range(120))], "outlier": [*range(120), 10**15], "hot": [*range(60), *[77] * 60, *[None] * 60]}[kind]
+    rows = [(d, f"w{i} v{i % 7} " * (1 + i % 3)) for i, d in enumerate(ids)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    th = {x["text"]: x["h"] for x in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), -th[x[1]]))
+    want = collections.Counter()
+    for k, (doc, text) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(text) // 2
+        want[(doc, len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest())] += 1
+    got = fingerprint.fingerprints(docs).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == want
+    sizes = docs.withColumn("th", F.xxhash64("text")).groupBy(fingerprint.blocks(docs).alias("b")).count().collect()
+    assert max(x["count"] for x in sizes) <= 24
+
+
 def simhash_brute(text):
     w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in text.encode().split()]
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
