@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..session import materialize, shuffle_partitions
 from .common import table
+from .golay import Golay
 
 SHINGLE = 3
 SEED = 42
 #: Links join fingerprints with at most so many differing bits; the keys are made for 2.
 MAX_BITS = 2
 BUCKET = 32
-#: Bit widths of the segments, and the generator polynomial of the Golay code [23, 12, 7].
+#: Bit widths of the segments.
 SEGMENTS = (22, 21, 21)
-GENERATOR = 0b101011100011
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -62,57 +62,15 @@ def fingerprint(text: str | None) -> int:
     return value
 
 
-def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp): one row per document, fp the fingerprint's bits as a signed long; ``keep``: strings kept."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp): one row per document, fp the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), *batch.columns[2:]], ["doc_id", "fp", *keep])
-
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{k} string" for k in keep]]))
-
-
-class Golay:
-    """Nearest codewords by syndrome, for arrays of 23-bit words."""
-
-    def __init__(self) -> None:
-        def rest(word: int) -> int:
-            for i in range(22, 10, -1):
-                if word >> i & 1:
-                    word ^= GENERATOR << (i - 11)
-            return word
-
-        unit = np.array([rest(1 << i) for i in range(23)])
-        self.by_byte = []
-        for low, high in ((0, 8), (8, 16), (16, 23)):
-            part = np.zeros(1 << (high - low), np.int64)
-            for i in range(low, high):
-                part[np.arange(len(part)) >> (i - low) & 1 == 1] ^= unit[i]
-            self.by_byte.append(part)
-        self.error = np.zeros(2048, np.int64)
-        for i in range(23):
-            for j in range(i, 23):
-                for k in range(j, 23):
-                    flipped = [*{i, j, k}]
-                    self.error[np.bitwise_xor.reduce(unit[flipped])] = sum(1 << b for b in flipped)
-
-    def errors(self, x: np.ndarray) -> np.ndarray:
-        a, b, c = self.by_byte
-        return self.error[a[x & 255] ^ b[x >> 8 & 255] ^ c[x >> 16]]
-
-    def index(self, x: np.ndarray) -> np.ndarray:
-        """12-bit index of the nearest codeword (its upper bits)."""
-        return (x ^ self.errors(x)) >> 11
-
-    def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(n, 24) indices of codewords within distance 4, the nearest first, and which of them count."""
-        out = np.stack([self.index(x), *(self.index(x ^ (1 << i)) for i in range(23))], axis=1)
-        rest = np.sort(out[:, 1:], axis=1)
-        fresh = np.ones(rest.shape, bool)
-        fresh[:, 1:] = rest[:, 1:] != rest[:, :-1]
-        fresh &= rest != out[:, :1]
-        return np.concatenate([out[:, :1], rest], axis=1), np.concatenate([np.ones((len(x), 1), bool), fresh], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def golay_keys(fps: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray]:
@@ -230,24 +188,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns.
-
-    Documents are told apart by doc_id and text, so different ones may share a doc_id; a
-    null doc_id comes last. Of rows that agree in both, one stays.
-    """
-    keyed = docs.withColumn("__hash", F.coalesce(F.sha2("text", 256), F.lit("")))
-    fps = materialize(fingerprints(keyed, ("__hash",)), "fingerprints")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash"))
-    classes = materialize(fps.groupBy("fp").agg(least.alias("least")), "classes")
-    roots = components(links(classes), "a", "b")
-    named = classes.join(roots, classes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    first = materialize(named.select(F.col("least.doc_id").alias("__first"), F.col("least.__hash").alias("__first_hash")), "firsts")
-    out = keyed.join(first, keyed["doc_id"].eqNullSafe(F.col("__first")) & (keyed["__hash"] == F.col("__first_hash")), "left_semi")
-    if fps.groupBy("doc_id", "__hash").count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "__hash"])
-    return out.drop("__hash")
-
-
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

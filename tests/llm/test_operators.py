@@ -14,13 +14,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessella.llm import fingerprint, languagemodel, licenses, mixing, packing, pii, quality, simhash, suffixes, urls
+from tessella.llm import fingerprint, languagemodel, licenses, mixing, nearcopies, packing, pii, quality, simhash, suffixes, urls
 from tests.llm.cases import empty, hard
 
 SF = "/root/testdata/sf0.001"
 OPERATORS = {
     "pack": (packing.pack, None), "quality": (quality.quality_rules, "all"), "keep_good": (quality.keep_good, None), "licenses": (licenses.scan_licenses, "all"), "mix": (mixing.mix, "all"), "emit": (mixing.emit, None),
-    "suffixes": (suffixes.remove_repeats, "all"), "fingerprints": (fingerprint.fingerprints, "all"), "simhash": (simhash.near_duplicates, "all"), "keep_first": (simhash.keep_first, None), "anonymize": (pii.anonymize, "all"), "score": (languagemodel.score_documents, "all"),
+    "suffixes": (suffixes.remove_repeats, "all"), "fingerprints": (fingerprint.fingerprints, "all"), "simhash": (simhash.near_duplicates, "all"), "keep_first": (nearcopies.keep_first, None), "anonymize": (pii.anonymize, "all"), "score": (languagemodel.score_documents, "all"),
 }
 
 
@@ -368,10 +368,55 @@ def test_op8(spark, documents):
 def test_keep_first_with_shared_ids(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (3, c), (None, d)]
-    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = nearcopies.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(None, a), (None, b), (3, c), (7, d)], key=str)
 
 
+def near_groups_brute(texts):
+    """Smallest id of each text's group, by 5-word shingle sets at 0.8."""
+    sets = {d: nearcopies.shingle_set(t)[1] for d, t in texts.items()}
+    words_ = {d: (t or "").encode().lower().split() for d, t in texts.items()}
+    ids, root = sorted(texts), {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = sets[a], sets[b]
+            both = len(np.intersect1d(x, y)) if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) else 0
+            if words_[a] == words_[b] or (both and both >= 0.8 * (len(x) + len(y) - both)):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {d: find(d) for d in ids}
+
+
+def test_near_copies(spark, monkeypatch, documents):
+    """Planted near copies of one text and of many, against brute force."""
+    r = random.Random(9)
+    texts = dict(list(documents.items())[:150])
+    for k in range(30):
+        base = [f"b{k}w{r.randrange(900)}" for _ in range(r.choice([60, 200, 500]))]
+        for _ in range(6):
+            copy = [*base]
+            for i in r.sample(range(len(copy)), max(1, len(copy) * r.randrange(0, 3) // 100)):
+                copy[i] = f"x{r.random()}"
+            texts[1000 + len(texts)] = " ".join(copy)
+    hot = [f"h{r.randrange(900)}" for _ in range(200)]
+    for i in range(250):  # one large group, so that buckets are large
+        texts[5000 + i] = " ".join([*hot[: i % 190], f"y{i}", *hot[i % 190 + 1 :]])
+    want = near_groups_brute(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for tree in (2048, 100):
+        monkeypatch.setattr(nearcopies, "TREE", tree)
+        kept = {x["doc_id"] for x in nearcopies.keep_first(docs).collect()}
+        roots = set(want.values())
+        assert not roots - kept  # no group is lost, and nearly all copies go
+        assert len(kept - roots) <= 0.03 * (len(texts) - len(roots))
+
+
 @pytest.mark.parametrize("bucket", [2, 32])
 def test_golay_links(spark, monkeypatch, bucket):
     r = random.Random(bucket)
