@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,21 +28,25 @@ def largest_component(labels: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(best), "root", "left_semi")
 
 
-def bfs_distances(edges: DataFrame, sources: DataFrame, max_hops: int = 1000) -> DataFrame:
-    """(source, node, hops) by frontier joins over undirected edges (src, dst)."""
+def bfs_distances(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(source, node, hops) by frontier joins over undirected edges (src, dst), to the end.
+
+    With ``max_hops`` a node farther away raises.
+    """
     both = materialize(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "topology")
     seen = materialize(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("hops")), "bfs")
     frontier = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
         step = frontier.join(both, frontier.node == both.src).select("source", F.col("dst").alias("node")).distinct()
         frontier = materialize(step.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(hop).cast("long")), "frontier")
         if not frontier.limit(1).count():
             return seen
+        if hop == max_hops:
+            raise RuntimeError(f"nodes lie beyond {max_hops} hops")
         seen = materialize(seen.unionByName(frontier), "bfs")
-    return seen
 
 
-def greedy_matching(edges: DataFrame, budget: int | None = None, max_rounds: int = 1000) -> DataFrame:
+def greedy_matching(edges: DataFrame, budget: int | None = None) -> DataFrame:
     """Pairs (src, dst, distance) taken in (distance, src, dst) order while both ends are free.
 
     Each round takes the edges that come first at both their ends, which for a total
@@ -50,7 +55,7 @@ def greedy_matching(edges: DataFrame, budget: int | None = None, max_rounds: int
     order = F.struct("distance", "src", "dst")
     left = materialize(edges.select("src", "dst", "distance").filter("src <> dst"), "open")
     taken: DataFrame | None = None
-    for _ in range(max_rounds):
+    while True:  # every round takes a pair, the first of the order at least
         ends = left.select(F.col("src").alias("n"), order.alias("o")).union(left.select(F.col("dst"), order))
         best = materialize(ends.groupBy("n").agg(F.min("o").alias("o")), "best")
         a, b = best.select(F.col("n").alias("src"), F.col("o").alias("oa")), best.select(F.col("n").alias("dst"), F.col("o").alias("ob"))
@@ -64,12 +69,12 @@ def greedy_matching(edges: DataFrame, budget: int | None = None, max_rounds: int
     return out if budget is None else out.orderBy("distance", "src", "dst").limit(budget)
 
 
-def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def spanning_forest(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest in (distance, src, dst) order, by Boruvka rounds."""
     order = F.struct("distance", "src", "dst")
     live = materialize(edges.filter("src <> dst").select("src", "dst", "distance", F.col("src").alias("a"), F.col("dst").alias("b")), "live")
     forest = live.select("src", "dst", "distance").limit(0)
-    for _ in range(max_rounds):
+    while True:  # every round at least halves the trees that can still grow
         sides = live.select(F.col("a").alias("r"), order.alias("o")).union(live.select(F.col("b"), order))
         chosen = materialize(sides.groupBy("r").agg(F.min("o").alias("o")).select("o.*").distinct(), "chosen")
         if not chosen.limit(1).count():

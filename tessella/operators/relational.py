@@ -98,7 +98,7 @@ OPERATORS: dict[str, str] = {
     "g6_ego_subgraph": "select center, count(*) as nodes from (select src as center, dst as node, row_number() over (partition by src order by dst) as k from (select distinct src, dst from {both}) t) q where k < 48 group by center having count(*) >= 2",
     "g7_boundary_signature": "select r.src as node, r.relation, count(*) as external from {records} r left join {figures} a on a.node = r.src left join {figures} b on b.node = r.dst where a.figure is not null and (b.figure is null or b.figure <> a.figure) group by r.src, r.relation",
     "g8_hash_sample": "select id from (select distinct src as id, md5('seed7|' || cast(src as varchar(20))) as h from {directed}) t order by h, id limit 100",
-    "g11_clustering_coefficient": "with e as (select distinct least(src, dst) as a, greatest(src, dst) as b from (select src % 60 as src, dst % 60 as dst from {records}) t where src <> dst), s as (select a as u, b as v from e union all select b, a from e), d as (select u, count(*) as k from s group by u), t as (select x.u, count(*) as n from s x join s y on x.u = y.u and x.v < y.v join e on e.a = x.v and e.b = y.v group by x.u) select d.u as node, round(case when k < 2 then 0.0 else 2.0 * coalesce(n, 0) / (k * (k - 1)) end, 6) as coefficient from d left join t on t.u = d.u",
+    "g11_clustering_coefficient": "with e as (select src as a, dst as b from {copurchase}), s as (select a as u, b as v from e union all select b, a from e), d as (select u, count(*) as k from s group by u), t as (select x.u, count(*) as n from s x join s y on x.u = y.u and x.v < y.v join e on e.a = x.v and e.b = y.v group by x.u) select d.u as node, round(case when k < 2 then 0.0 else 2.0 * coalesce(n, 0) / (k * (k - 1)) end, 6) as coefficient from d left join t on t.u = d.u",
     "g15_normalized_laplacian": "with d as (select src as id, sum(weight) as degree from {both} group by src) select e.src, e.dst, round(case when e.src = e.dst then 1.0 else 0.0 end - e.weight / sqrt(a.degree * b.degree), 9) as l from {both} e join d a on e.src = a.id join d b on e.dst = b.id where a.degree > 0 and b.degree > 0",
     "g28_symmetric_quotient": "select src, dst, round(sum(w) / 2, 6) as weight from (select a.coarse as src, b.coarse as dst, e.weight as w from {directed} e join {mapping} a on e.src = a.fine join {mapping} b on e.dst = b.fine union all select b.coarse, a.coarse, e.weight from {directed} e join {mapping} a on e.src = a.fine join {mapping} b on e.dst = b.fine) t group by src, dst having sum(w) <> 0",
     "g29_directed_quotient": "select e.relation, a.coarse as src, b.coarse as dst, round(sum(e.weight), 6) as weight from {directed} e join {mapping} a on e.src = a.fine join {mapping} b on e.dst = b.fine group by e.relation, a.coarse, b.coarse",
@@ -109,7 +109,7 @@ OPERATORS: dict[str, str] = {
     "g42_circulant_control": "select i as src, (i + d) % 80 as dst, 1.0 as weight from @range(80) x cross join (select i + 1 as d from @range(2)) z union all select i, (i * 37 + 11) % 80, 1.0 from @range(80) x where i % 8 = 0",
     # motifs, records and description length
     "m1_wl_features": "with l as (select src as id, md5(cast(count(*) as varchar(20))) as label from (select distinct src, dst from {sparse} union select dst, src from {sparse}) t group by src) select label, count(*) as n from (select e.src, md5(@agg(l.label; '|')) as label from (select distinct src, dst from {sparse} union select dst, src from {sparse}) e join l on l.id = e.dst group by e.src) q group by label",
-    "m2_graphlets": "with e as (select distinct least(src, dst) as a, greatest(src, dst) as b from (select src % 60 as src, dst % 60 as dst from {records}) t where src <> dst), p as (select x.a as u, x.b as v, y.b as w from e x join e y on x.a = y.a and x.b < y.b) select case when e.a is null then 'path' else 'triangle' end as shape, count(*) as n from p left join e on e.a = p.v and e.b = p.w group by case when e.a is null then 'path' else 'triangle' end",
+    "m2_graphlets": "with e as (select src as a, dst as b from {copurchase}), p as (select x.a as u, x.b as v, y.b as w from e x join e y on x.a = y.a and x.b < y.b) select case when e.a is null then 'path' else 'triangle' end as shape, count(*) as n from p left join e on e.a = p.v and e.b = p.w group by case when e.a is null then 'path' else 'triangle' end",
     "m13_type_registry": "select shape, dense_rank() over (order by first_id) as number from (select relation || ':' || cast(src % 9 as varchar(20)) as shape, min(edge_id) as first_id from {records} group by relation || ':' || cast(src % 9 as varchar(20))) t",
     "m14_frequency_bookkeeping": "select relation as kind, src % 4 as level, count(*) as n from {records} group by relation, src % 4",
     "m18_occurrence_cost": "select figure, e, n, round(e * (2 * greatest(log2(210.0), 1) + greatest(log2(6.0), 1)), 6) as raw_bits, round(n * greatest(log2(210.0), 1) + 8 + greatest(0, (e * (2 * greatest(log2(n * 1.0), 1) + greatest(log2(6.0), 1)) + n) / 12), 6) as encoded_bits from (select a.figure, count(*) as e, count(distinct r.src) + count(distinct r.dst) as n from {records} r join {figures} a on a.node = r.src join {figures} b on b.node = r.dst and a.figure = b.figure group by a.figure) t",

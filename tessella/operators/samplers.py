@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_hops: int = 1000) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, betweenness) over undirected edges (src, dst), from ``sources`` (node).
 
     Brandes' scheme by depth for all sources at once: a forward pass counts shortest
@@ -19,7 +19,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_hops: int = 1000) -> D
     nodes = both.select(F.col("src").alias("node")).distinct()
     layer = materialize(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")), "layer")
     layers, seen = [layer], layer.select("source", "node")
-    for _ in range(max_hops):
+    while True:
         step = layer.join(both, layer.node == both.src).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         layer = materialize(step.join(seen, ["source", "node"], "left_anti"), "layer")
         if not layer.limit(1).count():

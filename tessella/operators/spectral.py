@@ -41,8 +41,11 @@ def _dense(matrix: DataFrame, ids: list[int]) -> np.ndarray:
     return (out + out.T) / 2
 
 
-def top_eigenpairs(edges: DataFrame, k: int, iterations: int = 40) -> tuple[np.ndarray, DataFrame]:
-    """Largest algebraic eigenvalues of the normalised adjacency, falling, and (id, coords)."""
+def top_eigenpairs(edges: DataFrame, k: int, iterations: int = 200, tolerance: float = 1e-8) -> tuple[np.ndarray, DataFrame]:
+    """Largest algebraic eigenvalues of the normalised adjacency, falling, and (id, coords).
+
+    Values that still move by more than ``tolerance`` after ``iterations`` raise.
+    """
     spark = edges.sparkSession
     matrix = materialize(normalized_adjacency(edges), "operator")
     nodes = matrix.select(F.col("src").alias("id")).union(matrix.select("dst")).distinct()
@@ -79,10 +82,11 @@ def top_eigenpairs(edges: DataFrame, k: int, iterations: int = 40) -> tuple[np.n
         new, basis = np.linalg.eigh((inner + inner.T) / 2)
         order = np.argsort(-new)
         state = materialize(rotate(state, basis[:, order]), "block")
-        if np.abs(new[order][:k] - values[:k]).max() < 1e-10:
-            values = new[order]
+        moved, values = np.abs(new[order][:k] - values[:k]).max(), new[order]
+        if moved < tolerance:
             break
-        values = new[order]
+    else:
+        raise RuntimeError(f"eigenvalues did not settle in {iterations} iterations")
     return values[:k], state.select("id", F.slice("xs", 1, k).alias("coords"))
 
 

@@ -7,7 +7,8 @@ INPUTS = {
     "assertions": "select l_returnflag || l_linestatus as relation, '/c/en/part_' || cast(l_partkey as varchar(20)) as start_uri, '/c/en/supp_' || cast(l_suppkey as varchar(20)) as end_uri, l_quantity as weight, l_linestatus as dataset, l_returnflag as flag, l_linenumber as line from {lineitem}",
     "directed": "select l_partkey as src, 1000000 + l_suppkey as dst, l_returnflag || l_linestatus as relation, sum(l_quantity) as weight from {lineitem} group by l_partkey, l_suppkey, l_returnflag || l_linestatus",
     "sparse": "select l_partkey as src, 1000000 + l_suppkey as dst, l_returnflag || l_linestatus as relation, l_quantity as weight from {lineitem} where l_quantity >= 50",
-    "fragments": "select distinct l_partkey as src, 1000000 + l_suppkey as dst from {lineitem} where l_quantity >= 50 and l_returnflag = 'R' and l_linenumber = 1",
+    "fragments": "select o_custkey as src, 100000000 + o_orderkey as dst from {orders}",
+    "copurchase": "select distinct a.l_partkey as src, b.l_partkey as dst from {lineitem} a join {lineitem} b on a.l_orderkey = b.l_orderkey where a.l_partkey < b.l_partkey",
     "both": "select src, dst, sum(weight) as weight from (select src, dst, weight from {directed} union all select dst, src, weight from {directed}) t group by src, dst",
     "records": "select event_id as edge_id, user_id as src, 1000000 + @k(props) as dst, event_type as relation, value as weight from {events}",
     "mapping": "select p_partkey as fine, cast(5000000 + p_size as bigint) as coarse from {part} union all select 1000000 + s_suppkey, cast(6000000 + s_nationkey as bigint) from {supplier}",

@@ -103,8 +103,10 @@ def test_large_eigenpairs_follow_dense(spark, monkeypatch):
     df = spark.createDataFrame(rows, "src long, dst long, weight double")
     dense, _ = spectral.top_eigenpairs(df, 2)
     monkeypatch.setattr(spectral, "DENSE", 3)
-    some, _ = spectral.top_eigenpairs(df, 2, iterations=6)
+    some, _ = spectral.top_eigenpairs(df, 2, tolerance=0.01)
     assert np.allclose(dense, some, atol=0.05)
+    with pytest.raises(RuntimeError, match="settle"):
+        spectral.top_eigenpairs(df, 2, iterations=1)
 
 
 def test_knn(spark):

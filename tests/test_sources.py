@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tessella.sources import assertions as A
 
-META = '{"weight": %s, "dataset": "/d/test", "sources": ["/s/test"], "license": "CC BY-SA 4.0"}'
+META = '{"weight": %s, "dataset": "/d/garden", "sources": ["/s/notes", "/s/atlas"], "license": "own"}'
 LINES = [
-    "/a/1\t/r/RelatedTo\t/c/en/dog/n/animal\t/c/en/pet\t" + META % "2.0",
-    "/a/2\t/r/IsA\t/c/en/dog\t/c/en/animal\t" + META % "1.0",
-    "/a/3\t/r/RelatedTo\t/c/es/perro\t/c/es/mascota\t" + META % "3.0",
+    "/row/10\t/r/GrowsIn\t/c/en/oak/n\t/c/en/clay_soil\t" + META % "4.5",
+    "/row/11\t/r/GrowsIn\t/c/fr/vigne\t/c/fr/coteau\t" + META % "6.0",
+    "/row/12\t/r/NeedsTool\t/c/en/hedge\t/c/en/shears\t" + META % "0.5",
+    "/row/13\t/r/NeedsTool\t/c/en/lawn\t/c/en/mower\t" + META % "3.0",
+    "/row/14\t/r/GrowsIn\t/c/en/heather\t/c/en/peat\t" + META % "0.25",
 ]
 
 
@@ -24,12 +26,12 @@ def counts(df):
 
 
 def test_filters_in_order(spark):
-    got = counts(A.report(of(spark, LINES), language="en", relations={"RelatedTo"}, min_weight=1.5))
-    assert got == {"accepted": 1, "language": 1, "relation": 1}
-    assert counts(A.report(of(spark, LINES), relations={"/r/IsA"})) == {"accepted": 1, "relation": 2}
-    assert counts(A.report(of(spark, LINES), datasets={"/d/other"})) == {"dataset": 3}
-    assert counts(A.report(of(spark, LINES), sources={"/s/other"})) == {"source": 3}
-    assert counts(A.report(of(spark, LINES), language="")) == {"accepted": 3}
+    rows = of(spark, LINES)
+    assert counts(A.report(rows, language="en", relations={"GrowsIn"}, min_weight=1.0)) == {"accepted": 1, "language": 1, "relation": 2, "min_weight": 1}
+    assert counts(A.report(rows, relations={"/r/NeedsTool", "Other"})) == {"accepted": 2, "relation": 3}
+    assert counts(A.report(rows, datasets={"/d/kitchen"}, language="fr")) == {"dataset": 1, "language": 4}
+    assert counts(A.report(rows, sources={"/s/atlas"}, min_weight=0.5)) == {"accepted": 4, "min_weight": 1}
+    assert counts(A.report(rows, sources={"/s/none"})) == {"source": 5}
 
 
 @pytest.mark.parametrize(("meta", "reason"), [('{"weight": true}', "invalid_weight"), ('{"weight": "1"}', "invalid_weight"), ('{"weight": 1e400}', "invalid_weight"), ("[]", "invalid_weight"), ("{}", "invalid_weight"), ("{", "invalid"), ('{"weight": 3}', "accepted")])
@@ -38,9 +40,9 @@ def test_weights(spark, meta, reason):
 
 
 def test_malformed(spark):
-    rows = of(spark, [*LINES, "not\ta\tvalid\trow"])
-    assert A.scan(rows).count() == 3
-    with pytest.raises(Exception, match="line 4"):
+    rows = of(spark, [*LINES, "three\tfields\tonly"])
+    assert A.scan(rows).count() == 5
+    with pytest.raises(Exception, match="line 6"):
         A.scan(rows, fail_fast=True).collect()
 
 
@@ -49,7 +51,7 @@ def test_codecs_and_row_limit(spark, tmp_path, suffix, pack):
     path = tmp_path / f"a.tsv{suffix}"
     path.write_bytes(pack("\n".join(LINES).encode() + b"\n"))
     lines = A.read_lines(spark, str(path))
-    assert A.scan(lines, relations={"RelatedTo"}).count() == 2
+    assert A.scan(lines, relations={"GrowsIn"}).count() == 3
     assert sorted(r["value"] for r in A.read_lines(spark, str(path), max_rows=2).collect()) == sorted(LINES[:2])
 
 
