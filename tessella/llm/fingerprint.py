@@ -148,7 +148,8 @@ def signatures(texts: DataFrame, keys: list[str], partition: str) -> DataFrame:
     def sample(side: int, i: int) -> Column:
         r, c, b, t, g = (F.col(x) for x in (f"r{i}", f"c{i}", f"b{i}", f"t{side}{i}", f"g{i}"))
         score = F.least(F.greatest(c - r * (t - b + 1), F.lit(-63.0)), F.lit(63.0))
-        name = F.xxhash64(g, t).bitwiseAND((1 << _NAME_BITS) - 1)
+        # bits of the hash that the draws leave over, with t
+        name = F.shiftrightunsigned(g, 64 - _NAME_BITS).bitwiseXOR(t).bitwiseAND((1 << _NAME_BITS) - 1)
         # least and greatest skip nulls: a term that is not in the text has no score
         return F.when(t.isNotNull(), F.shiftleft(F.floor((score + 64) * float(1 << 31)).cast("long"), _NAME_BITS) + name)
 
