@@ -37,7 +37,7 @@ from .common import let, table, words
 
 #: Hash functions, dealt out in LANES at a time: more make methods that are too large to compile well.
 SAMPLES = 64
-LANES = 1
+LANES = 2
 #: Documents to a block, on average, blocks to a group of blocks, and quantiles of doc_id.
 BLOCK = 64
 BLOCKS = 1024
@@ -51,6 +51,11 @@ def _uniform(h: Column, low: int) -> Column:
     return (F.shiftrightunsigned(h, low).bitwiseAND((1 << 21) - 1) + 1) / _UNIT
 
 
+def _gamma(h: Column) -> Column:
+    """A value from Gamma(2, 1) of the lower 42 bits of a hash, never 0."""
+    return -F.log(_uniform(h, 0) * _uniform(h, 21) * (1 - 1e-12))
+
+
 def blocks(docs: DataFrame) -> Column:
     """Block of a row with ``doc_id`` and ``th``: it rises with doc_id, then th; rows without an id come first."""
     n, found, some, low, high = docs.agg(
@@ -140,18 +145,19 @@ def signatures(texts: DataFrame, keys: list[str], partition: str) -> DataFrame:
     draws = []
     for i in range(LANES):
         h, g = F.col(f"h{i}"), F.col(f"g{i}")
-        draws += [(-F.log(_uniform(h, 0) * _uniform(h, 21))).alias(f"r{i}"), F.log(-F.log(_uniform(g, 0) * _uniform(g, 21) * (1 - 1e-12))).alias(f"c{i}"), _uniform(h, 42).alias(f"b{i}"), g.alias(f"g{i}")]
+        draws += [_gamma(h).alias(f"r{i}"), F.log(_gamma(g)).alias(f"c{i}"), _uniform(h, 42).alias(f"b{i}"), g.alias(f"g{i}")]
     dealt = dealt.select(*keys, "lane", "lw0", "lw1", *draws)
-    steps = [F.floor(F.col(f"lw{side}") / F.greatest(F.col(f"r{i}"), F.lit(1e-9)) + F.col(f"b{i}")).alias(f"t{side}{i}") for side in (0, 1) for i in range(LANES)]
+    steps = [F.floor(F.col(f"lw{side}") / F.col(f"r{i}") + F.col(f"b{i}")).alias(f"t{side}{i}") for side in (0, 1) for i in range(LANES)]
     dealt = dealt.select("*", *steps)
 
     def sample(side: int, i: int) -> Column:
         r, c, b, t, g = (F.col(x) for x in (f"r{i}", f"c{i}", f"b{i}", f"t{side}{i}", f"g{i}"))
-        score = F.least(F.greatest(c - r * (t - b + 1), F.lit(-63.0)), F.lit(63.0))
+        # over -28 - 29 - ln w, so over -96 for any text, and under 4
+        score = c - r * (t - b + 1)
         # bits of the hash that the draws leave over, with t
         name = F.shiftrightunsigned(g, 64 - _NAME_BITS).bitwiseXOR(t).bitwiseAND((1 << _NAME_BITS) - 1)
         # least and greatest skip nulls: a term that is not in the text has no score
-        return F.when(t.isNotNull(), F.shiftleft(F.floor((score + 64) * float(1 << 31)).cast("long"), _NAME_BITS) + name)
+        return F.when(t.isNotNull(), F.shiftleft(F.floor((score + 96) * float(1 << 31)).cast("long"), _NAME_BITS) + name)
 
     dealt = dealt.select(*keys, "lane", *[sample(side, i).alias(f"s{side}{i}") for side in (0, 1) for i in range(LANES)])
     least = [F.min(f"s{side}{i}").alias(f"m{side}{i}") for side in (0, 1) for i in range(LANES)]
