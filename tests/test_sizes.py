@@ -1,5 +1,8 @@
 """What only shows on larger tables: key ranges that meet, pools without edges, joins that grow with groups."""
 
+import pytest
+
+from tessella.operators import iterative
 from tessella.plans import catalog
 from tests.oracle import connect, differences
 
@@ -25,3 +28,15 @@ def test_quotient_of_parts_and_suppliers_with_the_same_numbers(spark, tmp_path):
 
 def test_quotient_keeps_nodes_without_a_label(spark, tmp_path):
     assert compare(spark, replaced(tmp_path, part="select * from part where p_partkey % 3 > 0"), "g30_label_quotient") is None
+
+
+def test_growth_widens_a_pool_without_edges(spark):
+    """Hubs that meet only in nodes of low degree: the first pool is all hubs."""
+    edges = spark.createDataFrame([(leaf, 1000 + hub) for hub in range(8) for leaf in range(hub, hub + 30)], "src long, dst long")
+    ends = edges.union(edges.select("dst", "src")).toDF("node", "other")
+    degrees = ends.groupBy("node").count().selectExpr("node", "cast(count as double) as degree")
+    assert iterative.degree_pool(degrees, edges, 8)[0].count() == 1
+    got = [r["node"] for r in iterative.best_first_growth(degrees, edges, 4, 2.0).orderBy("place").collect()]
+    assert len(set(got)) == 4 and got[0] == 1000
+    with pytest.raises(ValueError):
+        iterative.best_first_growth(degrees, edges, 60, 0.1)
