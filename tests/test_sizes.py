@@ -40,3 +40,16 @@ def test_growth_widens_a_pool_without_edges(spark):
     assert len(set(got)) == 4 and got[0] == 1000
     with pytest.raises(ValueError):
         iterative.best_first_growth(degrees, edges, 60, 0.1)
+
+
+def test_family_match_over_blocks_ties_and_nulls(spark, tmp_path, monkeypatch):
+    """Equal sets, sets in several blocks, ties, and events without a type or a key."""
+    from tessella.operators import families
+
+    events = "select events.* replace (user_id + i * 1001 as user_id, case when event_id % 7 = 0 then null else event_type end as event_type, case when event_id % 11 = 0 then '{}' else props end as props) from events, range(3) r(i)"
+    folder = replaced(tmp_path, events=events)
+    monkeypatch.setattr(families, "SET_COLUMNS", 7)
+    monkeypatch.setattr(families.best_set_match, "__defaults__", (5,))
+    assert compare(spark, folder, "j16_family_match") is None
+    plan = catalog.QUERIES["j16_family_match"](spark, folder)._jdf.queryExecution().toString()
+    assert "right_id" in plan and " y#" not in plan  # no join on tokens is left in the plan
