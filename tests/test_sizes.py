@@ -53,3 +53,27 @@ def test_family_match_over_blocks_ties_and_nulls(spark, tmp_path, monkeypatch):
     assert compare(spark, folder, "j16_family_match") is None
     plan = catalog.QUERIES["j16_family_match"](spark, folder)._jdf.queryExecution().toString()
     assert "right_id" in plan and " y#" not in plan  # no join on tokens is left in the plan
+
+
+@pytest.mark.parametrize("name", ["g11_clustering_coefficient"])
+def test_triangles_over_many_tasks(spark, monkeypatch, name):
+    """Seven colours and steps of a few wedges; no join of wedges is left in the plan."""
+    from tessella.operators import triangles
+
+    monkeypatch.setattr(triangles, "TASK_EDGES", 1600)
+    assert compare(spark, SF, name) is None
+    assert "Join" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_triangles_of_a_random_graph():
+    import numpy as np
+
+    from tessella.operators import triangles
+
+    random = np.random.default_rng(5)
+    edges = np.unique(np.sort(random.integers(0, 60, (500, 2)), axis=1), axis=0)
+    edges = edges[edges[:, 0] < edges[:, 1]]
+    full = np.zeros((60, 60), np.int64)
+    full[edges[:, 0], edges[:, 1]] = full[edges[:, 1], edges[:, 0]] = 1
+    nodes, found = triangles.count_triangles(edges[:, 0], edges[:, 1])
+    assert dict(zip(nodes.tolist(), found.tolist(), strict=True)) == {int(i): int(x) for i, x in enumerate(np.diag(full @ full @ full) // 2) if full[i].any()}
