@@ -55,7 +55,7 @@ def test_family_match_over_blocks_ties_and_nulls(spark, tmp_path, monkeypatch):
     assert "right_id" in plan and " y#" not in plan  # no join on tokens is left in the plan
 
 
-@pytest.mark.parametrize("name", ["g11_clustering_coefficient"])
+@pytest.mark.parametrize("name", ["g11_clustering_coefficient", "m2_graphlets"])
 def test_triangles_over_many_tasks(spark, monkeypatch, name):
     """Seven colours and steps of a few wedges; no join of wedges is left in the plan."""
     from tessella.operators import triangles
