@@ -77,3 +77,30 @@ def test_triangles_of_a_random_graph():
     full[edges[:, 0], edges[:, 1]] = full[edges[:, 1], edges[:, 0]] = 1
     nodes, found = triangles.count_triangles(edges[:, 0], edges[:, 1])
     assert dict(zip(nodes.tolist(), found.tolist(), strict=True)) == {int(i): int(x) for i, x in enumerate(np.diag(full @ full @ full) // 2) if full[i].any()}
+
+
+def test_ports_follow_a_count_by_hand(spark):
+    """Egos with inner edges, parallel relations and edges both ways; no plan row for an ego and a node's edge."""
+    import random
+    from collections import Counter
+
+    from tessella.operators import motifs
+
+    draw = random.Random(3)
+    rows = sorted({(draw.randrange(14), draw.randrange(14), draw.choice("ab")) for _ in range(90)})
+    edges = spark.createDataFrame([(*r, 1.0) for r in rows], "src long, dst long, relation string, weight double")
+    egos = motifs.ego_nodes(edges, 5)
+    members: dict[int, set[int]] = {}
+    for r in egos.collect():
+        members.setdefault(r["center"], set()).add(r["node"])
+    want: Counter = Counter()
+    for center, nodes in members.items():
+        for u, v, relation in rows:
+            if u != v and u in nodes and v not in nodes:
+                want[center, u, relation, "o"] += 1
+            if u != v and v in nodes and u not in nodes:
+                want[center, v, relation, "i"] += 1
+    found = motifs.boundary_ports(edges, egos)
+    got = [tuple(r) for r in found.select("center", "node", "relation", "direction", "n").collect()]
+    assert len(got) == len(want) and {r[:4]: r[4] for r in got} == want
+    assert "LeftAnti" not in found._jdf.queryExecution().toString()
