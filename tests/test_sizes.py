@@ -104,3 +104,20 @@ def test_ports_follow_a_count_by_hand(spark):
     got = [tuple(r) for r in found.select("center", "node", "relation", "direction", "n").collect()]
     assert len(got) == len(want) and {r[:4]: r[4] for r in got} == want
     assert "LeftAnti" not in found._jdf.queryExecution().toString()
+
+
+def test_eigenpairs_on_the_driver_take_no_job_a_step(spark, monkeypatch):
+    """Four equal circles, whose values lie close together and repeat: as dense ones, within the steps allowed."""
+    import numpy as np
+
+    from tessella.operators import spectral
+
+    n = 150
+    pairs = [(c * n + i, c * n + (i + 1) % n) for c in range(4) for i in range(n)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs] + [(b, a, 1.0) for a, b in pairs], "src long, dst long, weight double")
+    exact, _ = spectral.top_eigenpairs(edges, 6)
+    monkeypatch.setattr(spectral, "DENSE", 10)
+    monkeypatch.setattr(spectral, "spmv", None)
+    found, coords = spectral.top_eigenpairs(edges, 6)
+    assert np.allclose(found, exact, atol=1e-6)
+    assert coords.count() == 4 * n and len(coords.first()["coords"]) == 6
