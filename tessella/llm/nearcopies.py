@@ -9,7 +9,7 @@ more. Golay keys find the candidates, the sets themselves decide.
    of one with every codeword within distance 4 of the other, both ways round.
 3. *Candidates.* Within a bucket, fingerprints are compared on 64 bits. A bucket of up to
    ``PAIRS`` classes gives all pairs within ``FIRST_BITS``, a larger one a spanning tree by
-   distance: what decides is who is connected. Candidates go on if they differ in at most
+   distance; pairs it leaves out follow in step 5. Candidates go on if they differ in at most
    ``ALL_BITS`` of 184 bits and in size as the similarity allows.
 4. *Verification.* In rounds, every component verifies its nearest candidates on the shingle
    sets, ``START`` at first (enough to connect most of a group at once, so that few
@@ -18,6 +18,11 @@ more. Golay keys find the candidates, the sets themselves decide.
    candidates to a text, all are verified. So a group of near copies is mostly settled by
    as many set comparisons as it has members, and no candidate that could join two groups
    is left out.
+5. *The rest.* The links need not be those of a bucket's tree, so a pair it leaves out could
+   still join two groups. The members of larger buckets are filed once more with their
+   component, and every pair of a bucket within ``FIRST_BITS`` whose components differ is
+   a candidate too. A bucket of one component has none, so a group of near copies makes
+   no rows with the square of its size; what is left out is within a component.
 
 A bucket over ``TREE`` classes is cut into runs of neighbours in the order of each of
 ``TURNS`` rotations of the fingerprint; every run gives its tree, and runs are chained.
@@ -56,6 +61,7 @@ SPLIT = 8
 SALT_ROWS = 256
 _MULTIPLIERS = np.random.default_rng(3).integers(1, 1 << 63, (3, 2), dtype=np.uint64) | np.uint64(1)
 _ENTRY = np.dtype([("key", "<u4"), ("f0", "<u8"), ("id", "<i8")])
+_ROOTED = np.dtype([*_ENTRY.descr, ("root", "<i8")])
 
 
 def shingle_set(text: str | None) -> tuple[bytes, np.ndarray]:
@@ -117,7 +123,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), *(pa.array(f[:, i]) for i in range(3)), pa.array(sizes, pa.int32())], ["doc_id", "th", "name", "f0", "f1", "f2", "n"])
 
 
-def _file(parts: int):
+def _file(parts: int, rooted: bool = False):
     buckets = parts * SPLIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +136,10 @@ def _file(parts: int):
                 row, key = (np.concatenate(x) for x in zip(*found, strict=True))
                 bucket = (key * np.uint32(0x9E3779B1) >> np.uint32(7)) % np.uint32(buckets)
                 order = np.argsort(bucket, kind="stable")
-                entries = np.empty(len(order), _ENTRY)
+                entries = np.empty(len(order), _ROOTED if rooted else _ENTRY)
                 entries["key"], entries["f0"], entries["id"] = key[order], f[0].view(np.uint64)[row[order]], ids[row[order]]
+                if rooted:
+                    entries["root"] = batch.column(4).to_numpy(zero_copy_only=False)[row[order]]
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 used = np.flatnonzero(ends[1:] > ends[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([entries[ends[b] : ends[b + 1]].tobytes() for b in used], pa.binary())], ["bucket", "blob"])
@@ -173,13 +181,35 @@ def _large(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatch]:
+    """``found(blobs)`` of every bucket."""
+    bucket, blobs = None, []
+    for batch in batches:
+        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if b != bucket and blobs:
+                yield from found(blobs)
+                blobs = []
+            bucket = b
+            blobs.append(blob)
+    if blobs:
+        yield from found(blobs)
+
+
+def _by_key(blobs: list[bytes], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order of key and id, and the start and size of each key's."""
+    entries = np.frombuffer(b"".join(blobs), dtype)
+    entries = entries[np.lexsort((entries["id"], entries["key"]))]
+    key = entries["key"]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return entries, start, np.diff(np.r_[start, len(key)])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found(blobs: list[bytes]) -> pa.RecordBatch:
-        entries = np.frombuffer(b"".join(blobs), _ENTRY)
-        entries = entries[np.lexsort((entries["id"], entries["key"]))]
+    """(a, b, large): candidate pairs, and whether the bucket gave a tree only; a = b only marks a member of one."""
+
+    def found(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        entries, start, size = _by_key(blobs, _ENTRY)
         key, f, ids = entries["key"], np.ascontiguousarray(entries["f0"]), entries["id"]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[start, len(key)])
         small = np.repeat(size <= PAIRS, size)
         a, b = [], []
         for d in range(1, PAIRS):
@@ -194,20 +224,33 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b.append(y + s)
         left, right = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
         ok = (np.bitwise_count(f[left] ^ f[right]) <= FIRST_BITS) & (ids[left] != ids[right])
-        x, y = ids[left[ok]], ids[right[ok]]
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        left, right = left[ok], right[ok]
+        # runs need not give every member of a bucket over TREE an edge
+        runs = ids[np.repeat(size > TREE, size)]
+        x, y = np.concatenate([ids[left], runs]), np.concatenate([ids[right], runs])
+        large = np.concatenate([~small[left], np.ones(len(runs), bool)])
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), large], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(bool))], ["a", "b", "large"])
 
-    bucket, blobs = None, []
-    for batch in batches:
-        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if b != bucket and blobs:
-                yield found(blobs)
-                blobs = []
-            bucket = b
-            blobs.append(blob)
-    if blobs:
-        yield found(blobs)
+    yield from _grouped(batches, found)
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): all pairs of a larger bucket within ``FIRST_BITS`` whose components differ."""
+
+    def found(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        entries, start, size = _by_key(blobs, _ROOTED)
+        for s, n in zip(start[size > PAIRS], size[size > PAIRS], strict=True):
+            f, ids, root = (np.ascontiguousarray(entries[c][s : s + n]) for c in ("f0", "id", "root"))
+            if (root == root[0]).all():
+                continue
+            for i in range(n - 1):
+                near = (np.bitwise_count(f[i + 1 :] ^ f[i]) <= FIRST_BITS) & (root[i + 1 :] != root[i])
+                if near.any():
+                    other = ids[i + 1 :][near]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[i])), pa.array(np.maximum(other, ids[i]))], ["a", "b"])
+
+    yield from _grouped(batches, found)
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,11 +264,12 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, d): pairs of ``classes(id, f0, f1, f2, n)`` that may be similar, with their distance."""
-    parts = shuffle_partitions(classes.sparkSession)
-    filed = classes.filter("n > 0").select("id", "f0", "f1", "f2").mapInArrow(_file(parts), "bucket int, blob binary")
-    pairs = filed.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_candidates, "a long, b long").distinct()
+def _bucketed(filed: DataFrame, parts: int) -> DataFrame:
+    return filed.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket")
+
+
+def _fitting(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, d): the pairs that differ in at most ``ALL_BITS`` and in size as the similarity allows."""
     sides = [classes.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("f0", "f1", "f2", "n")]) for s in ("a", "b")]
     joined = pairs.join(sides[0], "a").join(sides[1], "b")
     distance = sum((F.bit_count(F.col(f"a_f{i}").bitwiseXOR(F.col(f"b_f{i}"))) for i in (1, 2)), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
@@ -233,6 +277,36 @@ def candidates(classes: DataFrame) -> DataFrame:
     return joined.filter(fits).select("a", "b", distance.cast("int").alias("d")).filter(F.col("d") <= ALL_BITS)
 
 
+def near_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b, large) of ``classes(id, f0, f1, f2, n)``; see ``_candidates``."""
+    parts = shuffle_partitions(classes.sparkSession)
+    filed = classes.filter("n > 0").select("id", "f0", "f1", "f2").mapInArrow(_file(parts), "bucket int, blob binary")
+    return _bucketed(filed, parts).mapInArrow(_candidates, "a long, b long, large boolean").groupBy("a", "b").agg(F.max("large").alias("large"))
+
+
+def candidates(classes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(a, b, d): pairs of ``classes(id, f0, f1, f2, n)`` that may be similar, with their distance."""
+    pairs = near_pairs(classes) if pairs is None else pairs
+    return _fitting(pairs.filter("a <> b").select("a", "b"), classes)
+
+
+def remaining(classes: DataFrame, pairs: DataFrame, edges: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(a, b, d, ra, rb): the candidates that the trees of larger buckets left out and that join two components."""
+    parts = shuffle_partitions(classes.sparkSession)
+    roots = classes.select("id", F.col("id").alias("root"))
+    if links is not None:
+        linked = materialize(components(links, "a", "b"), "linked")
+        roots = classes.select("id").join(linked, F.col("id") == linked["node"], "left").select("id", F.coalesce("root", "id").alias("root"))
+    members = pairs.filter("large").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    rooted = materialize(classes.join(members, "id").join(roots, "id").select("id", "f0", "f1", "f2", "root"), "rooted")
+    filed = rooted.mapInArrow(_file(parts, True), "bucket int, blob binary")
+    apart = _bucketed(filed, parts).mapInArrow(_apart, "a long, b long").distinct().join(edges.select("a", "b"), ["a", "b"], "left_anti")
+    fitting = _fitting(apart, classes)
+    for side in ("a", "b"):
+        fitting = fitting.join(rooted.select(F.col("id").alias(side), F.col("root").alias(f"r{side}")), side)
+    return fitting.select("a", "b", "d", "ra", "rb")
+
+
 def _with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     """``pairs`` with the set of one side. A text in many pairs is copied, and its pairs spread over the copies."""
     copies = pairs.groupBy(side).agg(F.ceil(F.count("*") / SALT_ROWS).alias("copies"))
@@ -243,8 +317,12 @@ def _with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
 
 
 def similar_links(edges: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Verified links among the candidates ``edges(a, b, d)`` that connect what all verified ones would."""
-    open_ = materialize(edges.select("a", "b", "d", F.col("a").alias("ra"), F.col("b").alias("rb")), "open")
+    """Verified links among the candidates ``edges(a, b, d)`` that connect what all verified ones would.
+
+    Components known before are named by ``ra`` and ``rb``.
+    """
+    known = "ra" in edges.columns
+    open_ = materialize(edges.select("a", "b", "d", F.col("ra" if known else "a").alias("ra"), F.col("rb" if known else "b").alias("rb")), "open")
     nodes = sets.count()
     links: DataFrame | None = None
     share = START
@@ -289,6 +367,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(t.as_py())[1].tobytes() for t in batch.column("text")], pa.binary())], ["id", "hashes"])
 
 
+def _sets_of(docs: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, hashes): the shingle sets of the classes in ``edges``."""
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    firsts = classes.join(nodes, "id").select("id", F.col("least.doc_id").alias("first_id"), F.col("least.th").alias("first_th"))
+    texts = docs.select("doc_id", "text", text_hash(F.col("text")).alias("th"))
+    texts = texts.join(firsts, texts["doc_id"].eqNullSafe(firsts["first_id"]) & (texts["th"] == firsts["first_th"])).select("id", "text")
+    return materialize(texts.mapInArrow(_sets, "id long, hashes binary").dropDuplicates(["id"]), "sets")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id, with all its columns.
 
@@ -296,13 +383,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     null doc_id comes last. Of rows that agree in both, one stays.
     """
     classes = materialize(_classes(docs), "classes")
-    edges = materialize(candidates(classes), "candidates")
-    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    firsts = classes.join(nodes, "id").select("id", F.col("least.doc_id").alias("first_id"), F.col("least.th").alias("first_th"))
-    texts = docs.select("doc_id", "text", text_hash(F.col("text")).alias("th"))
-    texts = texts.join(firsts, texts["doc_id"].eqNullSafe(firsts["first_id"]) & (texts["th"] == firsts["first_th"])).select("id", "text")
-    sets = materialize(texts.mapInArrow(_sets, "id long, hashes binary").dropDuplicates(["id"]), "sets")
-    links = similar_links(edges, sets)
+    pairs = materialize(near_pairs(classes), "pairs")
+    edges = materialize(candidates(classes, pairs), "candidates")
+    links = similar_links(edges, _sets_of(docs, classes, edges))
+    rest = materialize(remaining(classes, pairs, edges, links), "rest")
+    if rest.limit(1).count():
+        more = similar_links(rest, _sets_of(docs, classes, rest))
+        links = more if links is None else links.union(more)
     out = classes.select(F.col("id").alias("root"), "least")
     if links is not None:
         roots = components(links, "a", "b")
