@@ -20,9 +20,11 @@ more. Golay keys find the candidates, the sets themselves decide.
    is left out.
 5. *The rest.* The links need not be those of a bucket's tree, so a pair it leaves out could
    still join two groups. The members of larger buckets are filed once more with their
-   component, and every pair of a bucket within ``FIRST_BITS`` whose components differ is
-   a candidate too. A bucket of one component has none, so a group of near copies makes
-   no rows with the square of its size; what is left out is within a component.
+   component. Pairs of a bucket within ``FIRST_BITS`` whose components differ connect these
+   to regions (a bucket gives a spanning forest of its components), and all pairs of a
+   region whose components differ are compared, ``TILE`` by ``TILE`` members at a time:
+   a tile counts common shingles by a matrix product and gives the links of a spanning
+   forest. So there is no row for a pair, and what is left out is within a component.
 
 A bucket over ``TREE`` classes is cut into runs of neighbours in the order of each of
 ``TURNS`` rotations of the fingerprint; every run gives its tree, and runs are chained.
@@ -56,6 +58,8 @@ BITS = 23
 FIRST_BITS, ALL_BITS = 20, 42
 START, GROWTH = 4, 8
 PAIRS, TREE, TURNS = 4, 2048, 8
+#: Members of a side of a tile, and columns of its matrix product at a time.
+TILE, COLUMNS = 512, 4096
 #: Sub-buckets of a task, so that it holds a part of its keys at a time; rows of a join with one text.
 SPLIT = 8
 SALT_ROWS = 256
@@ -253,6 +257,106 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _grouped(batches, found)
 
 
+class _Forest:
+    """Union-find over names; ``join`` says whether two were apart."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[x] = y
+        return x != y
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ra, rb): components that a pair of ``_apart`` joins, as a spanning forest of each bucket's."""
+
+    def found(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        entries, start, size = _by_key(blobs, _ROOTED)
+        forest, edges = _Forest(), []
+        for s, n in zip(start[size > PAIRS], size[size > PAIRS], strict=True):
+            f, root = (np.ascontiguousarray(entries[c][s : s + n]) for c in ("f0", "root"))
+            names, group, counts = np.unique(root, return_inverse=True, return_counts=True)
+            if len(names) == 1:
+                continue
+            # members of the largest component are met by all others
+            for i in np.flatnonzero(group != counts.argmax()):
+                near = (np.bitwise_count(f ^ f[i]) <= FIRST_BITS) & (group != group[i])
+                for other in names[np.unique(group[near])].tolist():
+                    if forest.join(int(root[i]), other):
+                        edges.append((int(root[i]), other))
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], ["ra", "rb"])
+
+    yield from _grouped(batches, found)
+
+
+def _sparse(sets: list[np.ndarray], shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(column, row) of the sets' elements that are among ``shared``, by column."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values = np.concatenate(sets)
+    column = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+    ok = shared[column] == values
+    column, row = column[ok], row[ok]
+    order = np.argsort(column, kind="stable")
+    return column[order], row[order]
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of each set of ``a`` with each of ``b``."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    shared = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    if not len(shared):
+        return out
+    sides = [_sparse(x, shared) for x in (a, b)]
+    for at in range(0, len(shared), COLUMNS):
+        parts = []
+        for (column, row), n in zip(sides, (len(a), len(b)), strict=True):
+            some = slice(*np.searchsorted(column, (at, at + COLUMNS)))
+            part = np.zeros((n, COLUMNS), np.float32)
+            part[row[some], column[some] - at] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): links between the components of a tile; ``side`` 2 is on both sides."""
+
+    def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sides = [[r for r in rows if r[0] in (k, 2)] for k in (0, 1)]
+        if not all(sides):
+            return
+        sets = [[np.frombuffer(r[3], np.uint64) for r in side] for side in sides]
+        root = [np.array([r[2] for r in side]) for side in sides]
+        size = [np.array([len(x) for x in side]) for side in sets]
+        both = common(*sets)
+        alike = both >= SIMILARITY * (size[0][:, None] + size[1] - both) - 1e-9
+        alike &= root[0][:, None] != root[1]
+        forest = _Forest()
+        links = [(sides[0][i][1], sides[1][j][1]) for i, j in np.argwhere(alike).tolist() if forest.join(sides[0][i][2], sides[1][j][2])]
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+    tile, rows = None, []
+    for batch in batches:
+        for t, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "id", "root", "hashes")), strict=True):
+            if t != tile and rows:
+                yield from found(rows)
+                rows = []
+            tile = t
+            rows.append(tuple(row))
+    if rows:
+        yield from found(rows)
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sets of shingles are similar enough."""
     for batch in batches:
@@ -290,15 +394,23 @@ def candidates(classes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     return _fitting(pairs.filter("a <> b").select("a", "b"), classes)
 
 
-def remaining(classes: DataFrame, pairs: DataFrame, edges: DataFrame, links: DataFrame | None) -> DataFrame:
-    """(a, b, d, ra, rb): the candidates that the trees of larger buckets left out and that join two components."""
-    parts = shuffle_partitions(classes.sparkSession)
+def _rooted(classes: DataFrame, pairs: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(id, f0, f1, f2, root): the members of larger buckets with their component."""
     roots = classes.select("id", F.col("id").alias("root"))
     if links is not None:
         linked = materialize(components(links, "a", "b"), "linked")
         roots = classes.select("id").join(linked, F.col("id") == linked["node"], "left").select("id", F.coalesce("root", "id").alias("root"))
     members = pairs.filter("large").select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rooted = materialize(classes.join(members, "id").join(roots, "id").select("id", "f0", "f1", "f2", "root"), "rooted")
+    return materialize(classes.join(members, "id").join(roots, "id").select("id", "f0", "f1", "f2", "root"), "rooted")
+
+
+def remaining(classes: DataFrame, pairs: DataFrame, edges: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(a, b, d, ra, rb): the candidates that the trees of larger buckets left out and that join two components.
+
+    The plain form of what ``remaining_links`` verifies, with a row for each pair.
+    """
+    parts = shuffle_partitions(classes.sparkSession)
+    rooted = _rooted(classes, pairs, links)
     filed = rooted.mapInArrow(_file(parts, True), "bucket int, blob binary")
     apart = _bucketed(filed, parts).mapInArrow(_apart, "a long, b long").distinct().join(edges.select("a", "b"), ["a", "b"], "left_anti")
     fitting = _fitting(apart, classes)
@@ -350,6 +462,35 @@ def similar_links(edges: DataFrame, sets: DataFrame) -> DataFrame | None:
     return links
 
 
+def remaining_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(a, b): links between components that the trees of larger buckets left out; see step 5."""
+    parts = shuffle_partitions(classes.sparkSession)
+    rooted = _rooted(classes, pairs, links)
+    filed = rooted.mapInArrow(_file(parts, True), "bucket int, blob binary")
+    meeting = materialize(_bucketed(filed, parts).mapInArrow(_meeting, "ra long, rb long").distinct(), "meeting")
+    regions = components(meeting, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("region"))
+    # a component of a tile or more has blocks of its own, the others of a region share some
+    sized = rooted.groupBy("root").count().join(regions, "root")
+    small = F.col("count") < TILE
+    sized = materialize(sized.select("root", "region", F.when(~small, F.col("root")).alias("own"), "count"), "regions")
+    blocks = sized.groupBy("region", "own").agg(F.ceil(F.sum("count") / TILE).cast("int").alias("blocks"))
+    blocks = materialize(blocks, "blocks")
+    placed = sized.join(blocks, sized["region"].eqNullSafe(blocks["region"]) & sized["own"].eqNullSafe(blocks["own"])).select("root", sized["region"], sized["own"], "blocks")
+    members = rooted.join(placed, "root").select("id", "root", "region", "own", F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("root")).otherwise(F.col("id"))), F.col("blocks")).cast("int").alias("block"))
+    members = materialize(members, "members")
+    every = blocks.select("region", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("region", F.struct("own", "block").alias("at"))
+    tiles = every.withColumnRenamed("at", "x").join(every.withColumnRenamed("at", "y"), "region")
+    tiles = tiles.filter((F.col("x") <= F.col("y")) & (F.col("x.own").isNull() | ~F.col("x.own").eqNullSafe(F.col("y.own"))))
+    tiles = tiles.withColumn("tile", F.xxhash64("region", "x", "y"))
+    same = F.col("x") == F.col("y")
+    sides = tiles.select("region", "tile", F.explode(F.when(same, F.array(F.struct(F.lit(2).alias("side"), F.col("x").alias("at")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("at")), F.struct(F.lit(1).alias("side"), F.col("y").alias("at"))))).alias("s"))
+    sides = sides.select("region", "tile", "s.side", F.col("s.at.own").alias("s_own"), F.col("s.at.block").alias("block"))
+    sets = _sets_of(docs, classes, members.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    held = members.join(sides, ["region", "block"]).filter(F.col("own").eqNullSafe(F.col("s_own"))).select("tile", "side", "id", "root")
+    held = held.join(sets, "id").select("tile", "side", "id", "root", "hashes")
+    return held.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_tile_links, "a long, b long")
+
+
 def text_hash(text: Column) -> Column:
     return F.coalesce(F.sha2(text, 256), F.lit(""))
 
@@ -386,14 +527,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     pairs = materialize(near_pairs(classes), "pairs")
     edges = materialize(candidates(classes, pairs), "candidates")
     links = similar_links(edges, _sets_of(docs, classes, edges))
-    rest = materialize(remaining(classes, pairs, edges, links), "rest")
-    if rest.limit(1).count():
-        more = similar_links(rest, _sets_of(docs, classes, rest))
-        links = more if links is None else links.union(more)
-    out = classes.select(F.col("id").alias("root"), "least")
-    if links is not None:
-        roots = components(links, "a", "b")
-        out = classes.join(roots, classes["id"] == roots["node"], "left").select(F.coalesce("root", "id").alias("root"), "least")
+    more = materialize(remaining_links(docs, classes, pairs, links), "rest")
+    links = more if links is None else links.union(more)
+    roots = components(links, "a", "b")
+    out = classes.join(roots, classes["id"] == roots["node"], "left").select(F.coalesce("root", "id").alias("root"), "least")
     kept_id, kept_th, th = fresh(docs, "__first"), fresh(docs, "__first_th"), fresh(docs, "__th")
     first = out.groupBy("root").agg(F.min("least").alias("least"))
     first = materialize(first.select(F.col("least.doc_id").alias(kept_id), F.col("least.th").alias(kept_th)), "firsts")

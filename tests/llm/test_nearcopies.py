@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import nearcopies
 
@@ -23,3 +24,44 @@ def test_pairs_outside_of_trees_follow(spark, monkeypatch, tree):
     assert first < want and first | {(r["a"], r["b"]) for r in rest} == want
     linked = spark.createDataFrame([(0, i) for i in range(1, 12)], "a long, b long")
     assert nearcopies.remaining(classes, pairs, edges, linked).count() == 0
+
+
+@pytest.mark.parametrize("tile", [512, 3])
+def test_texts_without_links_make_no_row_for_a_pair(spark, monkeypatch, tile):
+    """A group of texts that are near each other, of which few are alike: all links of the plain form, and few rows."""
+    monkeypatch.setattr(nearcopies, "TILE", tile)
+    random = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in range(100)).split() for _ in range(30)]
+    for k, text in enumerate(texts):
+        for at in random.choice(100, 3 + k % 4, replace=False):
+            text[at] = f"x{k // 2}" if k % 2 else f"y{k}"
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    classes = nearcopies._classes(docs).cache()
+    # one fingerprint, so that all pairs are candidates
+    classes = classes.withColumns({f"f{i}": F.lit(7 + i).cast("long") for i in range(3)}).cache()
+    ids = {r["id"]: r["least"]["doc_id"] for r in classes.collect()}
+    pairs = nearcopies.near_pairs(classes).cache()
+    sets = [nearcopies.shingle_set(" ".join(t))[1] for t in texts]
+    alike = {(i, j) for i, j in itertools.combinations(range(30), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    got = [(ids[r["a"]], ids[r["b"]]) for r in nearcopies.remaining_links(docs, classes, pairs, None).collect()]
+    assert {tuple(sorted(x)) for x in got} <= alike
+
+    def groups(links):
+        forest = nearcopies._Forest()
+        for a, b in links:
+            forest.join(a, b)
+        return {frozenset(i for i in range(30) if forest.find(i) == r) for r in map(forest.find, range(30))}
+
+    assert groups(got) == groups(alike) and 1 < len(groups(alike))
+    edges = nearcopies.candidates(classes, pairs)
+    plain = nearcopies.remaining(classes, pairs, edges, None).count()
+    filed = classes.select("id", "f0", "f1", "f2", F.col("id").alias("root")).mapInArrow(nearcopies._file(4, True), "bucket int, blob binary")
+    meeting = nearcopies._bucketed(filed, 4).mapInArrow(nearcopies._meeting, "ra long, rb long").distinct()
+    assert plain > 300 and nearcopies.components(meeting, "ra", "rb").select("root").distinct().count() == 1
+
+
+def test_common_elements_in_parts(monkeypatch):
+    monkeypatch.setattr(nearcopies, "COLUMNS", 7)
+    random = np.random.default_rng(5)
+    a, b = ([np.unique(random.integers(0, 60, random.integers(0, 50))).astype(np.uint64) for _ in range(n)] for n in (9, 5))
+    assert nearcopies.common(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
