@@ -19,7 +19,8 @@ the suffixes that can have a partner; the merge of all of these decides, byte by
 
 Runs hold each distinct segment once with its smallest doc_id, so a passage in a third of
 all documents is exchanged once a task. A receiver holds one of its ``SPLIT`` buckets at a
-time.
+time. The places it finds go to the documents in one row a partition of documents, whatever
+the number of documents, and meet the texts there. A task holds the places of its partition.
 
 Defined cases: a null or empty text, and one under 50 bytes, loses nothing and has no
 partner; equal strings in one document, or in rows with one doc_id, do not count; a null
@@ -35,11 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, shuffle_partitions
-from .common import table
+from .common import table, xxhash_int, xxhash_long
 
 LENGTH = 50
 GRAM = 24
@@ -158,6 +159,10 @@ MAX_ROWS, MAX_BYTES = 4_000, 64 << 20
 #: Buckets of a receiver; it holds one at a time.
 SPLIT = 4
 _PLACE = np.dtype([("first", "<u4"), ("more", "u1"), ("anchor", "u1")])
+#: A document of a row of places, and its number of places.
+_ABOUT = np.dtype([("d", "<i8"), ("th", "<i4"), ("n", "<u4")])
+#: Places that a receiver gathers over its buckets before it gives them out.
+HELD = 2_000_000
 COVERED, UNSURE, RUN = 0, 1, 2
 OUT = "kind int, bucket int, d long, th int, blob binary, docs binary"
 _OUT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("d", pa.int64()), ("th", pa.int32()), ("blob", pa.binary()), ("docs", pa.binary())])
@@ -167,13 +172,58 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, _OUT, strict=True)], schema=_OUT)
 
 
-def _by_doc(kind: int, key: np.ndarray, docs: np.ndarray, hashes: np.ndarray, places: np.ndarray, parts: int = 1) -> list[tuple]:
-    """A row for each document: its places; ``key`` numbers the documents, ``parts`` buckets take the rows."""
-    order = np.argsort(key, kind="stable")
-    key, places = key[order], places[order]
-    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
-    ends = [*cut[1:], len(key)] if len(key) else []
-    return [(kind, a % parts, int(docs[key[a]]), int(hashes[key[a]]), places[a:b].tobytes(), None) for a, b in zip(cut, ends, strict=True)]
+def _part_of(d: np.ndarray, th: np.ndarray, parts: int) -> np.ndarray:
+    """Partition of a document, as in ``_part_column``."""
+    return xxhash_int(th, xxhash_long(d)).view(np.int64) % parts
+
+
+def _part_column(parts: int) -> Column:
+    return F.pmod(F.xxhash64("d", "th"), F.lit(parts)).cast("int")
+
+
+def _by_part(kind: int, key: np.ndarray, docs: np.ndarray, hashes: np.ndarray, places: np.ndarray, parts: int) -> list[tuple]:
+    """A row for each partition of documents: its places (``blob``) and, with their number for each, its documents (``docs``).
+
+    ``key`` numbers the documents of the places.
+    """
+    if not len(key):
+        return []
+    used, key = np.unique(key, return_inverse=True)
+    part = _part_of(docs[used], hashes[used], parts)
+    rank = np.empty(len(used), np.int64)
+    by_part = np.argsort(part, kind="stable")
+    rank[by_part] = np.arange(len(used))
+    places = places[np.argsort(rank[key], kind="stable")]
+    about = np.empty(len(used), _ABOUT)
+    about["d"], about["th"], about["n"] = docs[used], hashes[used], np.bincount(key, minlength=len(used))
+    about, part = about[by_part], part[by_part]
+    end = np.r_[0, np.cumsum(about["n"], dtype=np.int64)]
+    cut = np.flatnonzero(_changes(part))
+    return [(kind, int(part[a]), None, None, places[end[a] : end[b]].tobytes(), about[a:b].tobytes()) for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True)]
+
+
+class _Found:
+    """Places found in a receiver's buckets; given out by partitions of documents, ``HELD`` places at a time."""
+
+    def __init__(self, kind: int, parts: int) -> None:
+        self.kind, self.into = kind, parts
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, key: np.ndarray, docs: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        used, key = np.unique(key, return_inverse=True)
+        self.parts.append((key, docs[used], hashes[used], places))
+        if sum(len(p[0]) for p in self.parts) >= HELD:
+            yield from self.given()
+
+    def given(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            begin = np.cumsum([0, *(len(p[1]) for p in self.parts)])
+            key = np.concatenate([p[0] + at for p, at in zip(self.parts, begin, strict=False)])
+            docs, hashes, places = (np.concatenate([p[i] for p in self.parts]) for i in (1, 2, 3))
+            self.parts = []
+            rows = _by_part(self.kind, key, docs, hashes, places, self.into)
+            for i in range(0, len(rows), 2000):
+                yield _emit(rows[i : i + 2000])
 
 
 def _places(first: np.ndarray, more: np.ndarray | int, anchor: np.ndarray | int = 0) -> np.ndarray:
@@ -230,7 +280,7 @@ def _segment_runs(parts: int):
             covered = np.zeros(len(gram), bool)
             covered[again] = True
             inside = first - batch.starts[row]
-            rows = _by_doc(COVERED, row[covered], batch.doc, batch.hash, _places(inside[covered], more[covered]), parts)
+            rows = _by_part(COVERED, row[covered], batch.doc, batch.hash, _places(inside[covered], more[covered]), parts)
             keep = ~covered
             packed = np.empty(int(keep.sum()), _SEGMENT)
             packed["g"], packed["row"] = gram[keep] >> np.uint64(32), row[keep]
@@ -275,25 +325,28 @@ def _doc_tables(runs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(docs), np.concatenate(hashes), np.cumsum([0, *map(len, docs)])
 
 
-def _match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for settled, runs in _bucket_groups(batches):
-        if settled is not None:
-            yield settled
-            continue
-        docs, hashes, begin = _doc_tables(runs)
-        items = [np.frombuffer(b, _SEGMENT) for b, _ in runs]
-        key = np.concatenate([x["row"].astype(np.int64) + at for x, at in zip(items, begin, strict=False)])
-        item = np.concatenate(items)
-        order = np.argsort(item["g"], kind="stable")
-        key, item = key[order], item[order]
-        doc = docs[key]
-        start = np.flatnonzero(_changes(item["g"]))
-        several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
-        unsure = np.repeat(several, np.diff(np.r_[start, len(doc)]))
-        places = _places(item["first"][unsure], item["more"][unsure], item["anchor"][unsure])
-        rows = _by_doc(UNSURE, key[unsure], docs, hashes, places)
-        for i in range(0, len(rows), 5000):
-            yield _emit(rows[i : i + 5000])
+def _match_segments(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Found(UNSURE, parts)
+        for settled, runs in _bucket_groups(batches):
+            if settled is not None:
+                yield settled
+                continue
+            docs, hashes, begin = _doc_tables(runs)
+            items = [np.frombuffer(b, _SEGMENT) for b, _ in runs]
+            key = np.concatenate([x["row"].astype(np.int64) + at for x, at in zip(items, begin, strict=False)])
+            item = np.concatenate(items)
+            order = np.argsort(item["g"], kind="stable")
+            key, item = key[order], item[order]
+            doc = docs[key]
+            start = np.flatnonzero(_changes(item["g"]))
+            several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+            unsure = np.repeat(several, np.diff(np.r_[start, len(doc)]))
+            places = _places(item["first"][unsure], item["more"][unsure], item["anchor"][unsure])
+            yield from found.add(key[unsure], docs, hashes, places)
+        yield from found.given()
+
+    return run
 
 
 def front_code(rows: np.ndarray) -> tuple[bytes, bytes]:
@@ -384,9 +437,9 @@ def _suffix_runs(parts: int):
     buckets = parts * SPLIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw in _slices(batches):
+        for raw in _slices(_gathered(_placed(batches, only=True))):
             batch = Batch(raw)
-            found = [np.frombuffer(b"".join(blobs), _PLACE) for blobs in raw.column("places").to_pylist()]
+            found = [np.frombuffer(blob, _PLACE) for blob in raw.column("places").to_pylist()]
             place = np.concatenate(found) if found else np.empty(0, _PLACE)
             row = np.repeat(np.arange(len(found)), [len(x) for x in found])
             start = batch.starts[row] + place["first"]
@@ -466,39 +519,97 @@ def _covered(known: np.ndarray, about: np.ndarray, doc: np.ndarray) -> Iterator[
         yield gone, about["first"][gone] + (high[gone] - o), np.zeros(len(gone), np.int64)
 
 
-def _merge_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for settled, runs in _bucket_groups(batches):
-        if settled is not None:
-            yield settled
-            continue
-        docs, hashes, begin = _doc_tables(runs)
-        strings, shared, about, keys = [], [], [], []
-        for (blob, _), at in zip(runs, begin, strict=False):
-            n = int.from_bytes(blob[:4], "little")
-            shared.append(blob[4 : 4 + n])
-            about.append(np.frombuffer(blob, _SUFFIX, n, 4 + n))
-            keys.append(about[-1]["row"].astype(np.int64) + at)
-            strings.append(read_front_coded(shared[-1], blob[4 + n + n * _SUFFIX.itemsize :]))
-        n = sum(map(len, strings))
-        offset = np.cumsum([0, *map(len, strings)]).tolist()
-        order, known = np.empty(n, np.int64), np.empty(n, np.int64)
-        for i, (run, index, same) in enumerate(merge_runs(strings, shared)):
-            order[i], known[i] = offset[run] + index, same
-        known[:1] = 0
-        del strings
-        key, item = np.concatenate(keys)[order], np.concatenate(about)[order]
-        index, first, more = (np.concatenate(x) for x in zip(*_covered(known, item, docs[key]), strict=True))
-        rows = _by_doc(COVERED, key[index], docs, hashes, _places(first, more))
-        for i in range(0, len(rows), 5000):
-            yield _emit(rows[i : i + 5000])
+def _merge_suffixes(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Found(COVERED, parts)
+        for _, runs in _bucket_groups(batches):
+            docs, hashes, begin = _doc_tables(runs)
+            strings, shared, about, keys = [], [], [], []
+            for (blob, _), at in zip(runs, begin, strict=False):
+                n = int.from_bytes(blob[:4], "little")
+                shared.append(blob[4 : 4 + n])
+                about.append(np.frombuffer(blob, _SUFFIX, n, 4 + n))
+                keys.append(about[-1]["row"].astype(np.int64) + at)
+                strings.append(read_front_coded(shared[-1], blob[4 + n + n * _SUFFIX.itemsize :]))
+            n = sum(map(len, strings))
+            offset = np.cumsum([0, *map(len, strings)]).tolist()
+            order, known = np.empty(n, np.int64), np.empty(n, np.int64)
+            for i, (of, index, same) in enumerate(merge_runs(strings, shared)):
+                order[i], known[i] = offset[of] + index, same
+            known[:1] = 0
+            del strings
+            key, item = np.concatenate(keys)[order], np.concatenate(about)[order]
+            index, first, more = (np.concatenate(x) for x in zip(*_covered(known, item, docs[key]), strict=True))
+            yield from found.add(key[index], docs, hashes, _places(first, more))
+        yield from found.given()
+
+    return run
+
+
+#: A row with places comes before the texts of its partition.
+PLACES, TEXT = 0, 1
+
+
+def _by_document(rows: list[tuple[bytes, bytes]]) -> dict[tuple[int, int], bytes]:
+    """The places of each document (d, th), from the rows of a partition."""
+    if not rows:
+        return {}
+    about = np.concatenate([np.frombuffer(docs, _ABOUT) for _, docs in rows])
+    places = np.frombuffer(b"".join(blob for blob, _ in rows), _PLACE)
+    n = about["n"].astype(np.int64)
+    begin = np.cumsum(n) - n
+    order = np.lexsort((about["th"], about["d"]))
+    about, n = about[order], n[order]
+    end = np.cumsum(n)
+    places = places[np.repeat(begin[order] - end + n, n) + np.arange(len(places))]
+    cut = np.flatnonzero(_changes(about["d"], about["th"]))
+    starts, ends = (end - n)[cut], end[np.append(cut[1:], len(end)) - 1]
+    return {doc: places[a:b].tobytes() for doc, a, b in zip(zip(about["d"][cut].tolist(), about["th"][cut].tolist(), strict=True), starts, ends, strict=True)}
+
+
+def _placed(batches: Iterator[pa.RecordBatch], only: bool) -> Iterator[pa.RecordBatch]:
+    """doc_id, d, th, text and places, from rows sorted by bucket and turn; ``only`` documents with places."""
+    bucket, rows, places = None, [], {}
+    for batch in batches:
+        buckets, turns = batch.column("bucket").to_numpy(), batch.column("turn").to_numpy()
+        cut = np.flatnonzero(_changes(buckets, turns)).tolist()
+        for a, b in zip(cut, [*cut[1:], batch.num_rows], strict=False):
+            part = batch.slice(a, b - a)
+            if buckets[a] != bucket:
+                bucket, rows, places = buckets[a], [], {}
+            if turns[a] == PLACES:
+                rows += zip(part.column("blob").to_pylist(), part.column("docs").to_pylist(), strict=True)
+                continue
+            if rows:
+                rows, places = [], _by_document(rows)
+            found = [places.get(doc, b"") for doc in zip(part.column("d").to_pylist(), part.column("th").to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([*map(part.column, _DOCUMENT), pa.array(found, pa.binary())], [*_DOCUMENT, "places"])
+            yield out.filter(pa.array([bool(x) for x in found], pa.bool_())) if only else out
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that fill a run, as far as the rows of one fit."""
+    some, rows, size = [], 0, 0
+    for batch in batches:
+        if some and (rows + batch.num_rows > MAX_ROWS or size + batch.nbytes > MAX_BYTES):
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            some, rows, size = [], 0, 0
+        if batch.num_rows:
+            some.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+    if some:
+        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _spans(size: int, blobs: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+_DOCUMENT = ["doc_id", "d", "th", "text"]
+
+
+def _spans(size: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal removed runs."""
-    place = np.frombuffer(b"".join(blobs or []), _PLACE)
+    place = np.frombuffer(blob, _PLACE)
     if not len(place):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     edge = np.zeros(size + 2, np.int32)
@@ -511,11 +622,11 @@ def _spans(size: int, blobs: list[bytes] | None) -> tuple[np.ndarray, np.ndarray
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _placed(batches, only=False):
         rows = []
-        for text, blobs in zip(batch.column("text"), batch.column("places").to_pylist(), strict=True):
+        for text, blob in zip(batch.column("text"), batch.column("places").to_pylist(), strict=True):
             data = (text.as_py() or "").encode()
-            starts, ends = _spans(len(data), blobs)
+            starts, ends = _spans(len(data), blob)
             digest, at = hashlib.sha256(), 0
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 digest.update(data[at:a])
@@ -526,27 +637,24 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def covered_places(docs: DataFrame) -> DataFrame:
-    """(d, th, places): per document (doc_id and a hash of its text) the covered window starts."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("d"), F.hash("text").alias("th"), "text")
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """One row per document; see ``RESULT``."""
+    parts = shuffle_partitions(docs.sparkSession)
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_DOC)).alias("d"), F.hash("text").alias("th"), "text")
 
     def exchanged(found: DataFrame, match) -> DataFrame:
         return found.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(match, OUT)
 
-    matched = materialize(exchanged(rows.mapInArrow(_segment_runs(parts), OUT), _match_segments), "matched")
-    unsure = matched.filter(F.col("kind") == UNSURE).groupBy("d", "th").agg(F.collect_list("blob").alias("places"))
-    suffixes = rows.join(unsure, ["d", "th"]).select("d", "th", "text", "places").mapInArrow(_suffix_runs(parts), OUT)
-    merged = materialize(exchanged(suffixes, _merge_suffixes), "merged")
-    found = matched.filter(F.col("kind") == COVERED).select("d", "th", "blob").union(merged.select("d", "th", "blob"))
-    return found.groupBy("d", "th").agg(F.collect_list("blob").alias("places"))
+    def with_texts(found: DataFrame) -> DataFrame:
+        """The places of each partition of documents before its texts, for ``_placed``."""
+        texts = rows.select(_part_column(parts).alias("bucket"), F.lit(TEXT).alias("turn"), *_DOCUMENT)
+        found = found.select("bucket", F.lit(PLACES).alias("turn"), "blob", "docs")
+        return texts.unionByName(found, allowMissingColumns=True).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "turn")
 
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row per document; see ``RESULT``."""
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_DOC)).alias("d"), F.hash("text").alias("th"), "text")
-    return rows.join(covered_places(docs), ["d", "th"], "left").select("doc_id", "text", "places").mapInArrow(_digest, RESULT)
+    matched = materialize(exchanged(rows.select("d", "th", "text").mapInArrow(_segment_runs(parts), OUT), _match_segments(parts)), "matched")
+    suffixes = with_texts(matched.filter(F.col("kind") == UNSURE)).mapInArrow(_suffix_runs(parts), OUT)
+    merged = materialize(exchanged(suffixes, _merge_suffixes(parts)), "merged")
+    return with_texts(matched.filter(F.col("kind") == COVERED).union(merged)).mapInArrow(_digest, RESULT)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

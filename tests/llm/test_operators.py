@@ -15,6 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.llm import fingerprint, languagemodel, licenses, mixing, nearcopies, packing, pii, quality, simhash, suffixes, urls
+from tessella.llm.common import xxhash_int, xxhash_long
+from tessella.session import materialize
 from tests.llm.cases import empty, hard
 
 SF = "/root/testdata/sf0.001"
@@ -265,6 +267,37 @@ def test_op6(spark, seed):
     assert sorted(map(tuple, suffixes.remove_repeats(docs).collect())) == repeats_brute([(i, t.encode()) for i, t in enumerate(texts)])
 
 
+def test_op6_rows_follow_the_partitions(spark, monkeypatch):
+    """A receiver gives its places out in a row a partition of documents, not in one for each document."""
+    r = random.Random(11)
+    passages = ["".join(r.choice("abcdefgh ") for _ in range(120)) for _ in range(40)]
+    texts = ["".join(r.choice("xyz") for _ in range(20)).join(r.sample(passages, 6)) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {}
+
+    def counted(df, name):
+        out = materialize(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffixes, "materialize", counted)
+    got = sorted(map(tuple, suffixes.remove_repeats(docs).collect()))
+    assert got == repeats_brute([(i, t.encode()) for i, t in enumerate(texts)])
+    parts = 4
+    assert rows["merged"] <= parts * parts
+    # those that the 4 runs settled, and the receivers'
+    assert rows["matched"] <= 2 * parts * parts
+
+
+def test_hash_of_columns_is_that_of_spark(spark):
+    r = random.Random(3)
+    rows = [(r.getrandbits(64) - (1 << 63), r.getrandbits(32) - (1 << 31)) for _ in range(500)]
+    got = spark.createDataFrame(rows, "d long, th int").select("d", "th", F.xxhash64("d", "th").alias("h"), suffixes._part_column(44).alias("b")).collect()
+    d, th = (np.array([x[k] for x in got], t) for k, t in (("d", np.int64), ("th", np.int32)))
+    assert xxhash_int(th, xxhash_long(d)).view(np.int64).tolist() == [x["h"] for x in got]
+    assert suffixes._part_of(d, th, 44).tolist() == [x["b"] for x in got]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.binary(min_size=6, max_size=6).map(lambda b: bytes(x % 3 for x in b)), max_size=8), max_size=6))
 def test_loser_tree(runs):
