@@ -11,6 +11,11 @@ doc_ids, and every later grouping is within a block, so it needs no further exch
 Scores are rounded to 2^-31 and carry 24 bits that name the pick, so a sample is one
 long and its minimum is a plain aggregate.
 
+A text's least score lies under ln(EXPECTED / words) but for exp(-EXPECTED) of the samples.
+So terms whose score is surely above are left out by bounds with fewer logarithms or none,
+before they are grouped; the texts with a sample that has no term under that (about 0.6 %)
+are sampled again without a bound. Results are those of all scores.
+
 The next document, in descending doc_id, is found within the block; only a block's first
 document is sent to the block above. Quantiles of doc_id cut the documents into zones, a
 zone into blocks by linear interpolation; an id that fills a quantile is a zone of its own
@@ -33,17 +38,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import let, table, words
+from .common import NOT_SPACE, let, table, words
 
-#: Hash functions, dealt out in LANES at a time: more make methods that are too large to compile well.
 SAMPLES = 64
-LANES = 2
+#: Scores of a text that are looked at for each sample, on average.
+EXPECTED = 10
 #: Documents to a block, on average, blocks to a group of blocks, and quantiles of doc_id.
 BLOCK = 64
 BLOCKS = 1024
 ZONES = 256
 _NAME_BITS = 24
 _UNIT = float(1 << 21)
+_FINE = float(1 << 31)
 
 
 def _uniform(h: Column, low: int) -> Column:
@@ -127,45 +133,95 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(next_text, F.lit(1), half))
 
 
-def signatures(texts: DataFrame, keys: list[str], partition: str) -> DataFrame:
-    """``keys`` and, for ``a`` and ``b``, an array of sampled terms; texts without terms are absent.
+def _where(rows: DataFrame, condition: Column) -> DataFrame:
+    """``rows`` where ``condition`` holds. No filter moves below a column that is not deterministic; it would draw anew at each mention."""
+    return rows.withColumn("__kept", F.when(condition, F.spark_partition_id())).where(F.col("__kept").isNotNull()).drop("__kept")
+
+
+def _may_count(dealt: DataFrame) -> DataFrame:
+    """The rows whose c * exp(-r * (t - b + 1)) may be up to ``most``, told without a logarithm.
 
-    ``texts`` is partitioned by the column ``partition``, which is among ``keys``.
+    With U = exp(-c), V = exp(-r): c >= 4 (1 - sqrt(U)) / (1 + sqrt(U)). For weight 1 the other factor is
+    V^(1 - b), over the weighted harmonic mean (q / (1 - b + b q))^8 of q = V^(1/8) and 1; for weight w
+    it is over V / w. b = 1 counts as 0.
     """
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("t")), F.struct(F.lit(1).alias("side"), F.col("b").alias("t"))))
-    terms = texts.select(*keys, sides.alias("s")).select(*keys, "s.side", F.explode(words(F.col("s.t"))).alias("word"))
+    h, g, p, q, d, v = map(F.col, "hgpqdv")
+    share = (F.shiftrightunsigned(h, 42) + 1).bitwiseAND((1 << 21) - 1) * F.col("single") / _UNIT
+    rows = dealt.select("*", (_uniform(h, 0) * _uniform(h, 21)).alias("v"), F.sqrt(_uniform(g, 0) * _uniform(g, 21)).alias("p"), share.alias("f"))
+    rows = rows.withColumn("q", F.sqrt(F.sqrt(F.sqrt(v)))).withColumn("d", 1 - F.col("f") * (1 - q))
+    rows = rows.withColumn("d", d * d).withColumn("d", d * d)
+    return _where(rows, (1 - p) * 4 * v <= (1 + p) * F.col("most") * d * d)
+
+
+def _may_count_by_step(drawn: DataFrame) -> DataFrame:
+    """As ``_may_count``, for a weight w of each side: r * (t - b + 1) is ln w + r * (1 - f), with f the part of ln w / r + b over t."""
+    p, q, v = map(F.col, "pqv")
+    rows = drawn.select("*", *[(1 - (F.col(f"y{side}") - F.col(f"t{side}")) * (1 - q)).alias(f"d{side}") for side in (0, 1)])
+    for _ in range(2):
+        rows = rows.withColumns({f"d{side}": F.col(f"d{side}") * F.col(f"d{side}") for side in (0, 1)})
+    may = [(1 - p) * 4 * v <= (1 + p) * F.col(f"most{side}") * F.col(f"d{side}") * F.col(f"d{side}") for side in (0, 1)]
+    return _where(rows, F.coalesce(may[0], F.lit(False)) | F.coalesce(may[1], F.lit(False)))
+
+
+def signatures(texts: DataFrame, keys: list[str], partition: str, expected: float | None = None) -> DataFrame:
+    """``keys`` and, for ``a`` and ``b``, an array of sampled terms and the number of them found; texts without terms are absent.
+
+    ``texts`` is partitioned by the column ``partition``, which is among ``keys``. With ``expected``
+    only scores below a bound are looked at, under which that many lie on average: a sample
+    that is found is the right one, and exp(-expected) of the samples are not found.
+    """
+    split = texts.select(*keys, words(F.col("a")).alias("w0"), words(F.col("b")).alias("w1"))
+    bounds = []
+    if expected is not None:
+        # exp of the least score is exponentially distributed, at the rate of the number of words
+        bounds = ["x0", "x1"]
+        split = split.select("*", *[(F.lit(float(expected)) / F.greatest(F.size(f"w{side}"), F.lit(1))).alias(f"x{side}") for side in (0, 1)])
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"w{side}").alias("t")) for side in (0, 1)]))
+    terms = split.select(*keys, *bounds, sides.alias("s")).select(*keys, *bounds, "s.side", F.explode("s.t").alias("word"))
     # a term of both texts has the same draws in both
-    weights = [F.log(F.nullif(F.sum(F.when(F.col("side") == side, 1).otherwise(0)), F.lit(0)).cast("double")).alias(f"lw{side}") for side in (0, 1)]
-    weighted = terms.select(*keys, "side", F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(*weights)
-    group = F.explode(F.array(*[F.lit(i) for i in range(SAMPLES // LANES)]))
-    dealt = weighted.select(*keys, "term", "lw0", "lw1", group.alias("lane"))
-    hashes = {f"h{i}": F.xxhash64("term", F.col("lane") * LANES + i) for i in range(LANES)}
-    dealt = dealt.select(*keys, "lane", "lw0", "lw1", *[c.alias(k) for k, c in hashes.items()])
-    dealt = dealt.select("*", *[F.xxhash64(F.col(f"h{i}")).alias(f"g{i}") for i in range(LANES)])
-    draws = []
-    for i in range(LANES):
-        h, g = F.col(f"h{i}"), F.col(f"g{i}")
-        draws += [_gamma(h).alias(f"r{i}"), F.log(_gamma(g)).alias(f"c{i}"), _uniform(h, 42).alias(f"b{i}"), g.alias(f"g{i}")]
-    dealt = dealt.select(*keys, "lane", "lw0", "lw1", *draws)
-    steps = [F.floor(F.col(f"lw{side}") / F.col(f"r{i}") + F.col(f"b{i}")).alias(f"t{side}{i}") for side in (0, 1) for i in range(LANES)]
-    dealt = dealt.select("*", *steps)
-
-    def sample(side: int, i: int) -> Column:
-        r, c, b, t, g = (F.col(x) for x in (f"r{i}", f"c{i}", f"b{i}", f"t{side}{i}", f"g{i}"))
-        # over -28 - 29 - ln w, so over -96 for any text, and under 4
-        score = c - r * (t - b + 1)
+    counts = [F.sum(F.when(F.col("side") == side, 1).otherwise(0)).alias(f"n{side}") for side in (0, 1)]
+    weighted = terms.select(*keys, *bounds, "side", F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(*counts, *[F.max(x).alias(x) for x in bounds])
+    about = [F.log(F.nullif(F.col(f"n{side}"), F.lit(0)).cast("double")).alias(f"lw{side}") for side in (0, 1)]
+    if bounds:
+        about += [F.floor((F.log(f"x{side}") + 96) * _FINE).alias(f"top{side}") for side in (0, 1)]
+        about += [(F.col(f"n{side}") * F.col(f"x{side}") * (1 + 1e-6)).alias(f"most{side}") for side in (0, 1)]
+        about.append((F.greatest(F.col("n0") * F.col("x0"), F.col("n1") * F.col("x1")) * (1 + 1e-6)).alias("most"))
+        about.append(F.when(F.greatest("n0", "n1") == 1, 1).otherwise(0).alias("single"))
+    tops = ["top0", "top1"] if bounds else []
+    dealt = weighted.select(*keys, "term", *about).select("*", F.explode(F.array(*[F.lit(i) for i in range(SAMPLES)])).alias("lane"))
+    dealt = dealt.withColumn("h", F.xxhash64("term", "lane")).withColumn("g", F.xxhash64("h"))
+    if bounds:
+        dealt = _may_count(dealt)
+    h, g = F.col("h"), F.col("g")
+    held = ["g", "v", "p", "q", "most0", "most1"] if bounds else ["g"]
+    dealt = dealt.select(*keys, "lane", "lw0", "lw1", *tops, *held, _gamma(h).alias("r"), _uniform(h, 42).alias("b"))
+    dealt = dealt.select("*", *[(F.col(f"lw{side}") / F.col("r") + F.col("b")).alias(f"y{side}") for side in (0, 1)])
+    dealt = dealt.select("*", *[F.floor(f"y{side}").alias(f"t{side}") for side in (0, 1)])
+    if bounds:
+        dealt = _may_count_by_step(dealt)
+    dealt = dealt.select(*keys, "lane", *tops, "g", "r", "b", "t0", "t1", F.log(_gamma(g)).alias("c"))
+
+    def score(side: int) -> Column:
+        r, c, b, t = (F.col(x) for x in ("r", "c", "b", f"t{side}"))
+        # over -28 - 29 - ln w, so over -96 for any text, and under 4; null for a term that is not in the text
+        return F.floor((c - r * (t - b + 1) + 96) * _FINE).cast("long").alias(f"s{side}")
+
+    def sample(side: int) -> Column:
+        s, t = F.col(f"s{side}"), F.col(f"t{side}")
         # bits of the hash that the draws leave over, with t
         name = F.shiftrightunsigned(g, 64 - _NAME_BITS).bitwiseXOR(t).bitwiseAND((1 << _NAME_BITS) - 1)
-        # least and greatest skip nulls: a term that is not in the text has no score
-        return F.when(t.isNotNull(), F.shiftleft(F.floor((score + 96) * float(1 << 31)).cast("long"), _NAME_BITS) + name)
-
-    dealt = dealt.select(*keys, "lane", *[sample(side, i).alias(f"s{side}{i}") for side in (0, 1) for i in range(LANES)])
-    least = [F.min(f"s{side}{i}").alias(f"m{side}{i}") for side in (0, 1) for i in range(LANES)]
-    lanes = dealt.groupBy(*keys, "lane").agg(*least)
+        known = s <= F.col(f"top{side}") if bounds else s.isNotNull()
+        return F.when(known, F.shiftleft(s, _NAME_BITS) + name).alias(f"m{side}")
+
+    dealt = dealt.select("*", score(0), score(1)).select(*keys, "lane", sample(0), sample(1))
+    if bounds:
+        dealt = _where(dealt, F.col("m0").isNotNull() | F.col("m1").isNotNull())
+    # least and greatest skip nulls
+    lanes = dealt.groupBy(*keys, "lane").agg(F.min("m0").alias("m0"), F.min("m1").alias("m1"))
     # one row a text: lanes in order
-    names = [F.array(*[F.coalesce(F.col(f"m{side}{i}").bitwiseAND((1 << _NAME_BITS) - 1), F.lit(0)).cast("int") for i in range(LANES)]).alias(f"n{side}") for side in (0, 1)]
-    whole = lanes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lane", *names))).alias("lanes"))
-    return whole.select(*keys, F.flatten("lanes.n0").alias("sig_a"), F.flatten("lanes.n1").alias("sig_b"))
+    names = [F.coalesce(F.col(f"m{side}").bitwiseAND((1 << _NAME_BITS) - 1), F.lit(0)).cast("int").alias(f"n{side}") for side in (0, 1)]
+    whole = lanes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lane", *names))).alias("lanes"), F.count("m0").alias("found_a"), F.count("m1").alias("found_b"))
+    return whole.select(*keys, F.col("lanes.n0").alias("sig_a"), F.col("lanes.n1").alias("sig_b"), "found_a", "found_b")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -175,18 +231,31 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(signature: Column) -> Column:
-    return F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x)), _NAME_BITS // 4, "0")), "")
+    return F.lower(F.array_join(F.transform(signature, lambda x: F.lpad(F.hex(x), _NAME_BITS // 4, "0")), ""))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document with its fingerprint, that of its edited text, and both likenesses."""
     pairs = with_next(docs)
     pairs = pairs.select("*", edited(F.col("text"), F.col("next_text")).alias("edit"))
-    sigs = signatures(pairs.select("block", "place", F.col("text").alias("a"), F.col("edit").alias("b")), ["block", "place"], "block")
-    about = pairs.select("block", "place", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit"), 256).alias("edited_sha256"), "next_block", "next_place")
-    none = F.array_repeat(F.lit(0), SAMPLES)
-    found = about.join(sigs, ["block", "place"], "left").withColumns({"sig_a": F.coalesce("sig_a", none), "sig_b": F.coalesce("sig_b", none)})
+    keys, none = ["block", "place"], F.array_repeat(F.lit(0), SAMPLES)
+
+    def signed(rows: DataFrame, expected: float | None) -> DataFrame:
+        sigs = signatures(rows.select(*keys, F.col("text").alias("a"), F.col("edit").alias("b")), keys, "block", expected)
+        return sigs.withColumnsRenamed({"found_a": "__a", "found_b": "__b"})
+
+    about = pairs.select(*keys, "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit"), 256).alias("edited_sha256"), "next_block", "next_place", "text", "edit")
+    found = about.join(signed(pairs, EXPECTED), keys, "left")
+    lacking = [F.col(t).rlike(NOT_SPACE) & (F.coalesce(n, F.lit(0)) < SAMPLES) for t, n in (("text", "__a"), ("edit", "__b"))]
+    # the few texts with a sample that was not found go on to a run without a bound
+    found = found.withColumn("again", lacking[0] | lacking[1])
+    found = found.withColumns({t: F.when(F.col("again"), F.col(t)) for t in ("text", "edit")})
+    found = found.withColumns({s: F.coalesce(s, none) for s in ("sig_a", "sig_b")}).drop("__a", "__b")
     found = materialize(found, "signatures")
+    rest = found.where("again").drop("sig_a", "sig_b").repartition("block")
+    rest = rest.join(signed(rest, None), keys, "left").withColumns({s: F.coalesce(s, none) for s in ("sig_a", "sig_b")})
+    columns = [c for c in found.columns if c not in ("text", "edit", "again")]
+    found = found.where(~F.col("again")).select(*columns).unionByName(materialize(rest.select(*columns), "again"))
     after = found.select(F.col("block").alias("next_block"), F.col("place").alias("next_place"), F.col("sig_a").alias("sig_next"))
     out = found.join(after, ["next_block", "next_place"])
     return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("sig_a")).alias("fingerprint"), as_text(F.col("sig_b")).alias("edited_fingerprint"), likeness(F.col("sig_a"), F.col("sig_b")).alias("near_edited"), likeness(F.col("sig_a"), F.col("sig_next")).alias("near_next"))

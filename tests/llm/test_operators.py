@@ -347,6 +347,34 @@ def test_op7_tells_near_copies_from_others(spark):
         assert np.sqrt(np.mean(off**2)) < 0.085
 
 
+def test_op7_bound_leaves_out_only_losers(spark, documents, monkeypatch):
+    """Samples found under a bound are those found without one, and texts with a sample under no bound go again."""
+    order = sorted(documents)[:60]
+    rows = [(0, k, documents[d], documents[order[k - 1]]) for k, d in enumerate(order)] + [(0, 60, "a", ""), (0, 61, "", " b  b c\n"), (0, 62, "x y " * 5000, "z " * 300 + "x y")]
+    texts = spark.createDataFrame(rows, "block long, place long, a string, b string").repartition("block")
+    want = {r["place"]: r for r in fingerprint.signatures(texts, ["block", "place"], "block").collect()}
+    got = {r["place"]: r for r in fingerprint.signatures(texts, ["block", "place"], "block", 10).collect()}
+    full = 0
+    for place, r in want.items():
+        for side in "ab":
+            if got[place][f"found_{side}"] == r[f"found_{side}"]:
+                full += 1
+                assert got[place][f"sig_{side}"] == r[f"sig_{side}"]
+    assert full >= 2 * len(want) - 6
+
+    docs = spark.createDataFrame([(k, a) for _, k, a, _ in rows], "doc_id long, text string")
+    usual = sorted(map(tuple, fingerprint.fingerprints(docs).collect()))
+    monkeypatch.setattr(fingerprint, "EXPECTED", 3)  # nearly every text has a sample that is not found
+    assert sorted(map(tuple, fingerprint.fingerprints(docs).collect())) == usual
+
+
+def test_op7_draws_few_scores(spark):
+    """Of 64 x 2000 scores of a text of 2000 words about 10 for each sample are looked at."""
+    dealt = spark.range(2000).select(F.xxhash64("id").alias("term"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("lane"))
+    dealt = dealt.withColumn("h", F.xxhash64("term", "lane")).withColumn("g", F.xxhash64("h")).withColumns({"most": F.lit(10 / 2000), "single": F.lit(1)})
+    assert 64 * 8 < fingerprint._may_count(dealt).count() < 64 * 30
+
+
 @pytest.mark.parametrize("kind", ["wide", "outlier", "hot"])
 def test_op7_any_ids(spark, monkeypatch, kind):
     """Ids at both ends of long, one far from all others, and a third of all rows under one id or none."""
