@@ -240,22 +240,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     pairs = pairs.select("*", edited(F.col("text"), F.col("next_text")).alias("edit"))
     keys, none = ["block", "place"], F.array_repeat(F.lit(0), SAMPLES)
 
-    def signed(rows: DataFrame, expected: float | None) -> DataFrame:
+    def signed(about: DataFrame, rows: DataFrame, expected: float | None) -> DataFrame:
         sigs = signatures(rows.select(*keys, F.col("text").alias("a"), F.col("edit").alias("b")), keys, "block", expected)
-        return sigs.withColumnsRenamed({"found_a": "__a", "found_b": "__b"})
-
-    about = pairs.select(*keys, "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit"), 256).alias("edited_sha256"), "next_block", "next_place", "text", "edit")
-    found = about.join(signed(pairs, EXPECTED), keys, "left")
-    lacking = [F.col(t).rlike(NOT_SPACE) & (F.coalesce(n, F.lit(0)) < SAMPLES) for t, n in (("text", "__a"), ("edit", "__b"))]
-    # the few texts with a sample that was not found go on to a run without a bound
-    found = found.withColumn("again", lacking[0] | lacking[1])
-    found = found.withColumns({t: F.when(F.col("again"), F.col(t)) for t in ("text", "edit")})
-    found = found.withColumns({s: F.coalesce(s, none) for s in ("sig_a", "sig_b")}).drop("__a", "__b")
+        return about.join(sigs, keys, "left").withColumns({s: F.coalesce(s, none) for s in ("sig_a", "sig_b")})
+
+    has = [F.col(t).rlike(NOT_SPACE).alias(f"has_{side}") for t, side in (("text", "a"), ("edit", "b"))]
+    about = pairs.select(*keys, "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit"), 256).alias("edited_sha256"), "next_block", "next_place", *has)
+    lacking = [F.col(f"has_{side}") & (F.coalesce(f"found_{side}", F.lit(0)) < SAMPLES) for side in "ab"]
+    found = signed(about, pairs, EXPECTED).withColumn("again", lacking[0] | lacking[1]).drop("has_a", "has_b", "found_a", "found_b")
     found = materialize(found, "signatures")
-    rest = found.where("again").drop("sig_a", "sig_b").repartition("block")
-    rest = rest.join(signed(rest, None), keys, "left").withColumns({s: F.coalesce(s, none) for s in ("sig_a", "sig_b")})
-    columns = [c for c in found.columns if c not in ("text", "edit", "again")]
-    found = found.where(~F.col("again")).select(*columns).unionByName(materialize(rest.select(*columns), "again"))
+    # the few texts with a sample that was not found go again without a bound; texts do not pass a second exchange for them
+    again = materialize(found.where("again").drop("again", "sig_a", "sig_b"), "again")
+    found = found.where(~F.col("again")).drop("again")
+    if not again.isEmpty():
+        rest = signed(again, pairs.join(again.select(*keys), keys), None)
+        found = found.unionByName(materialize(rest.select(*found.columns), "rest"))
     after = found.select(F.col("block").alias("next_block"), F.col("place").alias("next_place"), F.col("sig_a").alias("sig_next"))
     out = found.join(after, ["next_block", "next_place"])
     return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("sig_a")).alias("fingerprint"), as_text(F.col("sig_b")).alias("edited_fingerprint"), likeness(F.col("sig_a"), F.col("sig_b")).alias("near_edited"), likeness(F.col("sig_a"), F.col("sig_next")).alias("near_next"))
