@@ -163,6 +163,15 @@ def _may_count_by_step(drawn: DataFrame) -> DataFrame:
     return _where(rows, F.coalesce(may[0], F.lit(False)) | F.coalesce(may[1], F.lit(False)))
 
 
+def _both(first: Column, second: Column) -> Column:
+    """Two numbers under 2^31 in one long."""
+    return first.cast("long") + F.shiftleft(second.cast("long"), 32)
+
+
+def _apart(name: str, to: str) -> list[Column]:
+    return [F.col(name).bitwiseAND((1 << 32) - 1).alias(f"{to}0"), F.shiftrightunsigned(name, 32).alias(f"{to}1")]
+
+
 def signatures(texts: DataFrame, keys: list[str], partition: str, expected: float | None = None) -> DataFrame:
     """``keys`` and, for ``a`` and ``b``, an array of sampled terms and the number of them found; texts without terms are absent.
 
@@ -171,16 +180,19 @@ def signatures(texts: DataFrame, keys: list[str], partition: str, expected: floa
     that is found is the right one, and exp(-expected) of the samples are not found.
     """
     split = texts.select(*keys, words(F.col("a")).alias("w0"), words(F.col("b")).alias("w1"))
-    bounds = []
-    if expected is not None:
-        # exp of the least score is exponentially distributed, at the rate of the number of words
-        bounds = ["x0", "x1"]
-        split = split.select("*", *[(F.lit(float(expected)) / F.greatest(F.size(f"w{side}"), F.lit(1))).alias(f"x{side}") for side in (0, 1)])
+    bounds = [] if expected is None else ["sizes"]
+    if bounds:
+        split = split.select("*", _both(F.size("w0"), F.size("w1")).alias("sizes"))
     sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"w{side}").alias("t")) for side in (0, 1)]))
     terms = split.select(*keys, *bounds, sides.alias("s")).select(*keys, *bounds, "s.side", F.explode("s.t").alias("word"))
-    # a term of both texts has the same draws in both
-    counts = [F.sum(F.when(F.col("side") == side, 1).otherwise(0)).alias(f"n{side}") for side in (0, 1)]
-    weighted = terms.select(*keys, *bounds, "side", F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(*counts, *[F.max(x).alias(x) for x in bounds])
+    # a term of both texts has the same draws in both; both counts in one long keep the groups small
+    counts = F.sum(F.when(F.col("side") == 0, F.lit(1)).otherwise(F.lit(1 << 32))).alias("counts")
+    weighted = terms.select(*keys, *bounds, "side", F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(counts, *[F.max(x).alias(x) for x in bounds])
+    weighted = weighted.select("*", *_apart("counts", "n"))
+    if bounds:
+        # exp of the least score is exponentially distributed, at the rate of the number of words
+        weighted = weighted.select("*", *_apart("sizes", "z"))
+        weighted = weighted.select("*", *[(F.lit(float(expected)) / F.greatest(F.col(f"z{side}"), F.lit(1))).alias(f"x{side}") for side in (0, 1)])
     about = [F.log(F.nullif(F.col(f"n{side}"), F.lit(0)).cast("double")).alias(f"lw{side}") for side in (0, 1)]
     if bounds:
         about += [F.floor((F.log(f"x{side}") + 96) * _FINE).alias(f"top{side}") for side in (0, 1)]
