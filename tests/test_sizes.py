@@ -121,3 +121,42 @@ def test_eigenpairs_on_the_driver_take_no_job_a_step(spark, monkeypatch):
     found, coords = spectral.top_eigenpairs(edges, 6)
     assert np.allclose(found, exact, atol=1e-6)
     assert coords.count() == 4 * n and len(coords.first()["coords"]) == 6
+
+
+def test_eigenpairs_on_the_driver_need_no_setting(spark, monkeypatch):
+    """A session of the driver's own, where Arrow is off unless it is asked for."""
+    import numpy as np
+
+    from tessella.operators import spectral
+
+    pairs = [(i, (i + 1) % 40) for i in range(40)] + [(i, (i + 7) % 40) for i in range(0, 40, 3)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs] + [(b, a, 1.0) for a, b in pairs], "src long, dst long, weight double")
+    exact, _ = spectral.top_eigenpairs(edges, 3)
+    monkeypatch.setattr(spectral, "DENSE", 10)
+    setting = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        found, coords = spectral.top_eigenpairs(edges, 3)
+        rows = {r["id"]: r["coords"] for r in coords.collect()}
+    finally:
+        spark.conf.set(setting, before)
+    assert np.allclose(found, exact, atol=1e-6)
+    held = np.array([rows[i] for i in range(40)])
+    assert np.allclose(held.T @ held, np.eye(3), atol=1e-6)
+
+
+def test_eigenvalues_of_a_graph_of_many_components():
+    """Thirty circles: more values of one than the block has columns, so their gap is nothing."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.operators import spectral
+
+    n = 40
+    a = np.concatenate([c * n + np.arange(n) for c in range(30)])
+    b = np.concatenate([c * n + (np.arange(n) + 1) % n for c in range(30)])
+    matrix = pa.table({"src": np.concatenate([a, b]), "dst": np.concatenate([b, a]), "w": np.full(2 * len(a), 0.5)})
+    start = np.random.default_rng(1).uniform(-1, 1, (30 * n, 10))
+    values, _ = spectral._subspace(matrix, np.arange(30 * n), start, 2, 200, 1e-8)
+    assert np.abs(values[:2] - 1).max() < 1e-9
