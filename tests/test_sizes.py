@@ -30,6 +30,16 @@ def test_quotient_keeps_nodes_without_a_label(spark, tmp_path):
     assert compare(spark, replaced(tmp_path, part="select * from part where p_partkey % 3 > 0"), "g30_label_quotient") is None
 
 
+def test_quotient_contracts_components_within_labels(spark):
+    """Blocks of parts and suppliers: fewer nodes than before, the same weight, and a block that edges both leave and enter."""
+    con = connect(SF)
+    weight, parts, suppliers = con.execute("select sum(l_quantity), count(distinct l_partkey), count(distinct l_suppkey) from lineitem").fetchone()
+    rows = catalog.QUERIES["g30_label_quotient"](spark, SF).collect()
+    left, entered = {r["src"] for r in rows}, {r["dst"] for r in rows}
+    assert len(left | entered) < parts + suppliers and left & entered
+    assert sum(r["weight"] for r in rows) == pytest.approx(float(weight))
+
+
 def test_growth_widens_a_pool_without_edges(spark):
     """Hubs that meet only in nodes of low degree: the first pool is all hubs."""
     edges = spark.createDataFrame([(leaf, 1000 + hub) for hub in range(8) for leaf in range(hub, hub + 30)], "src long, dst long")
