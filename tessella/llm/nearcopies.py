@@ -20,9 +20,10 @@ more. Golay keys find the candidates, the sets themselves decide.
    is left out.
 5. *The rest.* The links need not be those of a bucket's tree, so a pair it leaves out could
    still join two groups. The members of larger buckets are filed once more with their
-   component. Pairs of a bucket within ``FIRST_BITS`` whose components differ connect these
-   to regions (a bucket gives a spanning forest of its components), and all pairs of a
-   region whose components differ are compared, ``TILE`` by ``TILE`` members at a time:
+   component and whole fingerprint. Pairs of a bucket within ``FIRST_BITS`` and ``ALL_BITS``
+   whose components differ connect these to regions (a bucket gives a spanning forest of its
+   components); on 64 bits alone chance pairs of a large table would connect all to one
+   region, and its tiles grow with the square of the table. All pairs of a region whose components differ are compared, ``TILE`` by ``TILE`` members at a time:
    a tile counts common shingles by a matrix product and gives the links of a spanning
    forest. So there is no row for a pair, and what is left out is within a component.
 
@@ -37,6 +38,7 @@ sequence is one shingle; a null text counts as empty.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -60,12 +62,14 @@ START, GROWTH = 4, 8
 PAIRS, TREE, TURNS = 4, 2048, 8
 #: Members of a side of a tile, and columns of its matrix product at a time.
 TILE, COLUMNS = 512, 4096
+#: Passes over the pairs of words in which all classes are filed with their component, so that its shuffle holds a part of the keys.
+PASSES = 7
 #: Sub-buckets of a task, so that it holds a part of its keys at a time; rows of a join with one text.
 SPLIT = 8
 SALT_ROWS = 256
 _MULTIPLIERS = np.random.default_rng(3).integers(1, 1 << 63, (3, 2), dtype=np.uint64) | np.uint64(1)
 _ENTRY = np.dtype([("key", "<u4"), ("f0", "<u8"), ("id", "<i8")])
-_ROOTED = np.dtype([*_ENTRY.descr, ("root", "<i8")])
+_ROOTED = np.dtype([*_ENTRY.descr, ("f1", "<u8"), ("f2", "<u8"), ("root", "<i8")])
 
 
 def shingle_set(text: str | None) -> tuple[bytes, np.ndarray]:
@@ -99,13 +103,16 @@ def golay_words(fingerprints: np.ndarray) -> np.ndarray:
     return bits.reshape(-1, WORDS, BITS).astype(np.int64) @ (1 << np.arange(BITS))
 
 
-def keys(fingerprints: np.ndarray, code: Golay) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, key) of all keys, by pairs of words."""
+def keys(fingerprints: np.ndarray, code: Golay, turn: int = 0, passes: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, key) of all keys, by pairs of words; of several passes, those of the pairs whose turn it is."""
     words = golay_words(fingerprints)
     near = [code.near(words[:, i]) for i in range(WORDS)]
     pair = 0
     for i in range(WORDS):
         for j in range(i):
+            if pair % passes != turn:
+                pair += 1
+                continue
             a, b = near[i][0][:, :1], near[j][0][:, :1]
             both = np.concatenate([a << 12 | near[j][0], near[i][0] << 12 | b], axis=1)
             counts = np.concatenate([near[j][1], near[i][1]], axis=1)
@@ -127,7 +134,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), *(pa.array(f[:, i]) for i in range(3)), pa.array(sizes, pa.int32())], ["doc_id", "th", "name", "f0", "f1", "f2", "n"])
 
 
-def _file(parts: int, rooted: bool = False):
+def _file(parts: int, rooted: bool = False, turn: int = 0, passes: int = 1):
     buckets = parts * SPLIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,13 +143,14 @@ def _file(parts: int, rooted: bool = False):
             for at in range(0, whole.num_rows, 8000):
                 batch = whole.slice(at, 8000)
                 ids, *f = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-                found = list(keys(np.stack(f, axis=1).view(np.uint64), code))
+                found = list(keys(np.stack(f, axis=1).view(np.uint64), code, turn, passes))
                 row, key = (np.concatenate(x) for x in zip(*found, strict=True))
                 bucket = (key * np.uint32(0x9E3779B1) >> np.uint32(7)) % np.uint32(buckets)
                 order = np.argsort(bucket, kind="stable")
                 entries = np.empty(len(order), _ROOTED if rooted else _ENTRY)
                 entries["key"], entries["f0"], entries["id"] = key[order], f[0].view(np.uint64)[row[order]], ids[row[order]]
                 if rooted:
+                    entries["f1"], entries["f2"] = f[1].view(np.uint64)[row[order]], f[2].view(np.uint64)[row[order]]
                     entries["root"] = batch.column(4).to_numpy(zero_copy_only=False)[row[order]]
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 used = np.flatnonzero(ends[1:] > ends[:-1])
@@ -276,22 +284,29 @@ class _Forest:
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ra, rb): components that a pair of ``_apart`` joins, as a spanning forest of each bucket's."""
+    """(ra, rb): components that a pair of ``_apart`` within ``ALL_BITS`` joins, as a spanning forest of each bucket's."""
 
     def found(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         entries, start, size = _by_key(blobs, _ROOTED)
         forest, edges = _Forest(), []
-        for s, n in zip(start[size > PAIRS], size[size > PAIRS], strict=True):
-            f, root = (np.ascontiguousarray(entries[c][s : s + n]) for c in ("f0", "root"))
-            names, group, counts = np.unique(root, return_inverse=True, return_counts=True)
-            if len(names) == 1:
+        prints, roots = [np.ascontiguousarray(entries[c]) for c in ("f0", "f1", "f2")], np.ascontiguousarray(entries["root"])
+        for s, n in zip(start[size > PAIRS].tolist(), size[size > PAIRS].tolist(), strict=True):
+            f, root = [x[s : s + n] for x in prints], roots[s : s + n]
+            if (root == root[0]).all():
                 continue
+            names, group, counts = np.unique(root, return_inverse=True, return_counts=True)
             # members of the largest component are met by all others
-            for i in np.flatnonzero(group != counts.argmax()):
-                near = (np.bitwise_count(f ^ f[i]) <= FIRST_BITS) & (group != group[i])
-                for other in names[np.unique(group[near])].tolist():
-                    if forest.join(int(root[i]), other):
-                        edges.append((int(root[i]), other))
+            others = np.flatnonzero(group != counts.argmax())
+            step = max(1, TILE * TILE // n)
+            for at in range(0, len(others), step):
+                some = others[at : at + step]
+                first, *rest = (np.bitwise_count(x[some, None] ^ x) for x in f)
+                near = (first <= FIRST_BITS) & (first.astype(np.int16) + rest[0] + rest[1] <= ALL_BITS) & (group != group[some, None])
+                for i in np.flatnonzero(near.any(axis=1)).tolist():
+                    own = int(root[some[i]])
+                    for other in names[np.unique(group[near[i]])].tolist():
+                        if forest.join(own, other):
+                            edges.append((own, other))
         if edges:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], ["ra", "rb"])
 
@@ -466,8 +481,13 @@ def remaining_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links
     """(a, b): links between components that the trees of larger buckets left out; see step 5."""
     parts = shuffle_partitions(classes.sparkSession)
     rooted = _rooted(classes, pairs, links)
-    filed = rooted.mapInArrow(_file(parts, True), "bucket int, blob binary")
-    meeting = materialize(_bucketed(filed, parts).mapInArrow(_meeting, "ra long, rb long").distinct(), "meeting")
+    # chance fills buckets as the classes grow, until most classes are members of larger ones
+    passes = max(1, math.ceil(PASSES * rooted.count() / max(1, classes.count())))
+    meeting: DataFrame | None = None
+    for turn in range(passes):
+        filed = rooted.mapInArrow(_file(parts, True, turn, passes), "bucket int, blob binary")
+        met = materialize(_bucketed(filed, parts).mapInArrow(_meeting, "ra long, rb long").distinct(), "meeting")
+        meeting = met if meeting is None else meeting.union(met)
     regions = components(meeting, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("region"))
     # a component of a tile or more has blocks of its own, the others of a region share some
     sized = rooted.groupBy("root").count().join(regions, "root")

@@ -60,6 +60,27 @@ def test_texts_without_links_make_no_row_for_a_pair(spark, monkeypatch, tile):
     assert plain > 300 and nearcopies.components(meeting, "ra", "rb").select("root").distinct().count() == 1
 
 
+def _met(spark, rows, passes=1):
+    rooted = spark.createDataFrame(rows, "id long, f0 long, f1 long, f2 long, root long")
+    found = []
+    for turn in range(passes):
+        filed = rooted.mapInArrow(nearcopies._file(4, True, turn, passes), "bucket int, blob binary")
+        found += nearcopies._bucketed(filed, 4).mapInArrow(nearcopies._meeting, "ra long, rb long").collect()
+    return {tuple(sorted((r["ra"], r["rb"]))) for r in found}
+
+
+@pytest.mark.parametrize("passes", [1, 7])
+def test_texts_near_in_64_bits_only_meet_in_no_region(spark, passes):
+    """Buckets filled by chance: of their members only those near in the whole fingerprint connect components."""
+    random = np.random.default_rng(6)
+    far = [tuple(int(x) for x in random.integers(-(1 << 62), 1 << 62, 2)) for _ in range(40)]
+    rows = [(i, 5 ^ (1 << i % 40), *f, i) for i, f in enumerate(far)]
+    want = {(i, j) for i, j in itertools.combinations(range(40), 2) if sum((a & (1 << 64) - 1 ^ b & (1 << 64) - 1).bit_count() for a, b in zip(rows[i][1:4], rows[j][1:4], strict=True)) <= nearcopies.ALL_BITS}
+    assert not want and not _met(spark, rows, passes)
+    near = [(40 + i, r[1], r[2] ^ 7, r[3], 40 + i) for i, r in enumerate(rows[:3])]
+    assert _met(spark, rows + near, passes) == {(i, 40 + i) for i in range(3)}
+
+
 def test_common_elements_in_parts(monkeypatch):
     monkeypatch.setattr(nearcopies, "COLUMNS", 7)
     random = np.random.default_rng(5)
